@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leitmotiv.llm import bpe, licenses, linedup, lm, urls
+from leitmotiv.llm import bpe, licenses, linedup, lm, shingles, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,15 +39,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.link_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.oracle_sql(),
     "op7_line_dedup": linedup.oracle_sql(),
+    "op8_ngram_jaccard": shingles.oracle_sql(),
 }
