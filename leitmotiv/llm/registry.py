@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leitmotiv.llm import bpe, licenses, linedup, lm, shingles, urls
+from leitmotiv.llm import bpe, licenses, linedup, lm, shingles, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -48,12 +52,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
+    "op6_embedding_neardup": op6_embedding_neardup,
     "op7_line_dedup": op7_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": urls.oracle_sql(),
+    "op6_embedding_neardup": vectors.oracle_sql(),
     "op7_line_dedup": linedup.oracle_sql(),
     "op8_ngram_jaccard": shingles.oracle_sql(),
 }
