@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leitmotiv.llm import bpe, licenses, linedup, lm, shingles, urls, vectors
+from leitmotiv.llm import bpe, decontam, licenses, linedup, lm, shingles, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.link_documents(_read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_lm_score": op2_lm_score,
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_line_dedup": op7_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
