@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from leitmotiv.llm.common import map_arrow, utf8
 
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Entries that a worker's memo holds before it starts anew; it bounds memory and changes no result.
-MEMO = 150_000
+#: Entries that each of a worker's memos holds before it starts anew (some 150 MB in all); it bounds memory and changes no result.
+MEMO = 400_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -132,14 +132,22 @@ class WordBPE:
         back = [0] * (len(s) + 1)
         done = 0
         compatible = self.compatible
+        known = self.pairs.get
         for stop, (n, t) in self.automaton.iter(s):
             stop += 1
             if stop == done:
                 continue  # the prefix has its token
             start = stop - n
-            before = token[start]
-            if start == 0 or before is not None and compatible(before, t):
-                token[stop], back[stop], done = t, start, stop
+            if start:
+                before = token[start]
+                if before is None:
+                    continue
+                fits = known((before, t))
+                if fits is None:
+                    fits = compatible(before, t)
+                if not fits:
+                    continue
+            token[stop], back[stop], done = t, start, stop
         ids, at = [], len(s)
         while at:
             ids.append(token[at])
@@ -163,7 +171,8 @@ class WordBPE:
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for word in self.pattern.findall(part.lower()):
+            part = part.lower()
+            for word in (part,) if part.isalpha() else self.pattern.findall(part):
                 ids.extend(self.encode_word(word))
         out = (" ".join(map(str, ids)), len(ids), " ".join([self.token[i] for i in ids]))
         if len(piece) > 64:
