@@ -10,7 +10,7 @@ window that a third of all documents hold does not gather in one task.
 
 Defined results: null and empty texts, and texts of fewer lines than a window, have no window and stay as they are. A window of
 blank lines only is no window. Rows that agree in id and text count as one document, and each gets the same result;
-rows with one id and different texts are different documents. A null id is one id, before all others.
+rows with one id and different texts are different documents. Other columns stay, but for those named as a result. A null id is one id, before all others.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 def _windows(lines: int) -> Column:
     """struct(p, h1, h2) of each window of the array column _lines; p counts from 0."""
-    parts = lambda p: [F.element_at("_lines", p + k + 1) for k in range(lines)]
+    parts = lambda p: [F.element_at("__ld_lines", p + k + 1) for k in range(lines)]
     full = F.transform(
-        F.sequence(F.lit(0), F.size("_lines") - lines),
+        F.sequence(F.lit(0), F.size("__ld_lines") - lines),
         lambda p: F.struct(
             p.cast("int").alias("p"),
             F.xxhash64(*parts(p)).alias("h1"),
@@ -31,7 +31,7 @@ def _windows(lines: int) -> Column:
             (F.trim(F.concat(*parts(p))) == "").alias("blank"),
         ),
     )
-    return F.when(F.size("_lines") >= lines, F.filter(full, lambda w: ~w["blank"]))
+    return F.when(F.size("__ld_lines") >= lines, F.filter(full, lambda w: ~w["blank"]))
 
 
 def oracle_sql(lines: int = 3) -> str:
@@ -66,29 +66,29 @@ from documents d left join joined j on j.doc_id = d.doc_id and j.was = d.text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = 3) -> DataFrame:
     """The input's columns with the text's later occurrences removed, and n_lines, n_removed (long)."""
     split = docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64(F.col(text_col), F.length(text_col)).alias("_t"),
-        F.split(F.col(text_col), "\n", -1).alias("_lines"),
+        F.col(id_col).alias("__ld_id"),
+        F.xxhash64(F.col(text_col), F.length(text_col)).alias("__ld_t"),
+        F.split(F.col(text_col), "\n", -1).alias("__ld_lines"),
     )
-    windows = split.select("_id", "_t", F.explode(_windows(lines)).alias("w")).select("_id", "_t", "w.p", "w.h1", "w.h2")
-    place = F.struct("_id", "_t", "p")
+    windows = split.select("__ld_id", "__ld_t", F.explode(_windows(lines)).alias("w")).select("__ld_id", "__ld_t", "w.p", "w.h1", "w.h2")
+    place = F.struct("__ld_id", "__ld_t", "p")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.where(~F.col("first").eqNullSafe(F.col("last")))
     later = windows.join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = (
-        later.groupBy("_id", "_t", "p").count()
-        .groupBy("_id", "_t").agg(F.sort_array(F.collect_list("p")).alias("_starts"))
+        later.groupBy("__ld_id", "__ld_t", "p").count()
+        .groupBy("__ld_id", "__ld_t").agg(F.sort_array(F.collect_list("p")).alias("__ld_starts"))
     )
     # A line is covered if a covering window starts at it or at one of the lines - 1 lines before it.
-    cut = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + lines - 1))))
-    covered = covered.select(F.col("_id").alias("_cid"), F.col("_t").alias("_ct"), F.sort_array(cut).alias("_cut"))
-    own = docs.withColumn("_t", F.xxhash64(F.col(text_col), F.length(text_col)))
-    met = own.join(covered, own[id_col].eqNullSafe(F.col("_cid")) & (F.col("_t") == F.col("_ct")), "left")
+    cut = F.array_distinct(F.flatten(F.transform("__ld_starts", lambda s: F.sequence(s, s + lines - 1))))
+    covered = covered.select(F.col("__ld_id").alias("__ld_cid"), F.col("__ld_t").alias("__ld_ct"), F.sort_array(cut).alias("__ld_cut"))
+    own = docs.withColumn("__ld_t", F.xxhash64(F.col(text_col), F.length(text_col)))
+    met = own.join(covered, own[id_col].eqNullSafe(F.col("__ld_cid")) & (F.col("__ld_t") == F.col("__ld_ct")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_cut"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__ld_cut"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(parts, i + 1)), "\n")
     return met.select(
-        *[F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns],
+        *[F.when(F.col("__ld_cut").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__ld_cut"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leitmotiv.llm import bpe, decontam, licenses, linedup, lm, quality, shingles, urls, vectors
+from leitmotiv.llm import bpe, decontam, licenses, linedup, lm, quality, secrets, shingles, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_url_filter": op3_url_filter,
     "op4_bpe": op4_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_line_dedup": op7_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
