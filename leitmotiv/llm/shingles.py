@@ -3,7 +3,7 @@
 A document is the set of its distinct word n-grams, as 64-bit hashes. The hashes fall into `groups` groups, and the counts by group are
 the document's point. For two documents, the sum over groups of the smaller count bounds their overlap from above; the same
 sum over two boxes' upper corners bounds it for all their points, which is how an R-tree over the points prunes. Pairs
-that survive are verified on the texts themselves.
+that survive are held against their prefixes (below), and the rest is verified on the texts themselves.
 
 Over a whole corpus, boxes of random documents overlap in all dimensions, so one R-tree would end in comparing everything.
 Hence the points are first dealt out without loss: two sets that reach the threshold share one of the first
@@ -58,21 +58,15 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(out + np.uint64(n)))
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes], at_once: int = 500) -> Iterator[np.ndarray]:
     """Of each text: the hashes of its words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased."""
-    number: dict[bytes, int] = {}
-    hashes: list[int] = []
-    for text in texts:
-        words = text.lower().split()
-        for w in words:
-            if w not in number:
-                number[w] = len(hashes)
-                hashes.append(xxhash.xxh3_64_intdigest(w))
-        if len(hashes) > 500_000:
-            yield np.array([hashes[number[w]] for w in words], np.uint64)
-            number, hashes = {}, []
-        else:
-            yield np.array([hashes[number[w]] for w in words], np.uint64)
+    for k in range(0, len(texts), at_once):
+        number: dict[bytes, int] = {}
+        add, size = number.setdefault, number.__len__
+        coded = [np.array([add(w, size()) for w in text.lower().split()], np.int64) for text in texts[k : k + at_once]]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
+        for c in coded:
+            yield hashes[c]
 
 
 def reaches(overlap, a, b, percent: int):
@@ -222,6 +216,31 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int, groups: int) -> It
         yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(ok)), "b": b.column(1).filter(pa.array(ok))})
 
 
+def _ordered(batches: Iterator[pa.RecordBatch], percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs whose prefixes leave enough. Up to the earlier of the two prefixes' last hashes both sets are known in full; past it
+    they share at most what the one with less left has. Columns: a, b, n_a, prefix_a, n_b, prefix_b."""
+
+    def within(p: np.ndarray, late: np.ndarray, m: tuple) -> np.ndarray:
+        return p[(late < m[0]) | ((late == m[0]) & (p <= m[1]))]
+
+    for batch in batches:
+        keep = []
+        for n_a, p_a, n_b, p_b in zip(batch.column(2).to_pylist(), _lists(batch.column(3)), batch.column(4).to_pylist(), _lists(batch.column(5))):
+            late_a, late_b = np.isin(p_a, common), np.isin(p_b, common)
+            m = min((bool(late_a[-1]), int(p_a[-1])), (bool(late_b[-1]), int(p_b[-1])))
+            x, y = within(p_a, late_a, m), within(p_b, late_b, m)
+            most = len(np.intersect1d(x, y, assume_unique=True)) + min(n_a - len(x), n_b - len(y))
+            keep.append(bool(reaches(most, n_a, n_b, percent)))
+        if batch.num_rows:
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep))})
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    flat, offsets = np.asarray(column.flatten()).view(np.uint64), np.asarray(column.offsets)
+    offsets = offsets - offsets[0]
+    return [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
+
+
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -247,7 +266,7 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common = spark.sparkContext.broadcast(_common(base, size))  # at most (all hashes of the sample) / least
+    common = spark.sparkContext.broadcast(_common(base, size))  # at most a third of the sample's hashes
     sketch = materialize(base.mapInArrow(lambda b: _sketches(b, size, percent, groups, common.value), SKETCH), "sketches")
 
     real = sketch.where("n > 0 and id is not null")
@@ -261,6 +280,11 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
     pairs = bucket.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("points").alias(f"p_{x}"))
 
+    def ordered(found: DataFrame) -> DataFrame:
+        known = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"))
+        both = found.join(known("a"), "a").join(known("b"), "b").select("a", "b", "n_a", "p_a", "n_b", "p_b")
+        return both.mapInArrow(lambda b: _ordered(b, percent, common.value), "a long, b long")
+
     def verify(found: DataFrame) -> DataFrame:
         texts = base.where("id is not null and text is not null").join(found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct(), "id", "left_semi")
         text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
@@ -269,7 +293,7 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
 
     sized = pairs.join(side("a"), "a").where(F.col("n_a") > 0).join(side("b"), "b").where("100 * least(n_a, n_b) >= " + f"{percent} * greatest(n_a, n_b)")
     bounded = sized.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(lambda b: _bounded(b, percent, groups), "a long, b long")
-    links = materialize(verify(materialize(bounded, "pairs")), "links")
+    links = materialize(verify(materialize(ordered(materialize(bounded, "bounded")), "pairs")), "links")
     label = materialize(connected_components(links), "labels")
 
     marked = reps.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -283,7 +307,7 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
     rows = rows.join(reps.select("id", "n", "points"), "id").select("key", "i", "j", "id", "n", "component", "points")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = materialize(rows.mapInArrow(lambda b: _search(b, percent, groups), "a long, b long").distinct(), "rest")
-    more = verify(rest)
+    more = verify(materialize(ordered(rest), "ordered"))
     at = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     joined = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     over = materialize(connected_components(joined), "joined")
