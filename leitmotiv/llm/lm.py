@@ -38,8 +38,8 @@ from leitmotiv.llm.common import materialize, utf8
 
 END = b"\n"  # no word has white space
 ADD = 0.1
-BLOCK_BYTES = 8_000_000
-SHARD_TOKENS = 1_200_000
+BLOCK_BYTES = 6_000_000
+SHARD_TOKENS = 800_000
 HELD_OUT_OF = 10
 
 
