@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 
 from leitmotiv.llm.common import connected_components, materialize, utf8
 
-#: Documents whose hashes are counted to order them, a bound for any corpus; and from which share of them on a hash comes last.
-ORDER_SAMPLE = 4000
-COMMON_SHARE = 0.002
+#: Documents whose hashes are counted to order them, a bound for any corpus; and in how many of them a hash must be to come last.
+ORDER_SAMPLE = 30_000
+COMMON = 3
+GROUPS = 256
 CELL = 1024
 LEAF = 32
 
@@ -88,7 +89,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int, groups
         for h in word_hashes(utf8(batch.column(1))):
             u = shingles(h, size)
             s = xxhash.xxh3_128_digest(u.tobytes())
-            late = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u if len(common) else np.zeros(len(u), bool)
+            late = _among(u, common)
             p = prefix_length(len(u), percent) if len(u) else 0
             first = u[~late][:p]
             if len(first) < p:
@@ -96,24 +97,42 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int, groups
             out["n"].append(len(u))
             out["s1"].append(int.from_bytes(s[:8], "little", signed=True))
             out["s2"].append(int.from_bytes(s[8:], "little", signed=True))
-            out["points"].append(np.bincount((u % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<u4").tobytes())
+            out["points"].append(encode_points(np.bincount((u % np.uint64(groups)).astype(np.int64), minlength=groups)))
             out["prefix"].append(first.view(np.int64))
         yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | out | {"prefix": pa.array(out["prefix"], longs)})
 
 
+def _among(u: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of u are in the sorted array."""
+    return common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u if len(common) else np.zeros(len(u), bool)
+
+
 def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """The hashes that at least COMMON_SHARE of a sample of ORDER_SAMPLE documents hold."""
+    """The hashes that at least COMMON of a sample of ORDER_SAMPLE documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h in word_hashes(utf8(b.column(0))):
                 yield pa.RecordBatch.from_pydict({"h": shingles(h, size).view(np.int64)})
 
-    sample = docs.orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE).select("text")
-    sample = sample.repartition(F.xxhash64("text"))
-    counted = sample.mapInArrow(run, "h long").groupBy("h").count()
-    least = max(4, int(ORDER_SAMPLE * COMMON_SHARE))
-    return np.sort(np.array([r[0] for r in counted.where(F.col("count") >= least).select("h").collect()], np.int64).view(np.uint64))
+    ids = docs.select("id").orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE).distinct()
+    counted = docs.join(ids, "id", "left_semi").select("text").mapInArrow(run, "h long").groupBy("h").count()
+    found = counted.where(F.col("count") >= COMMON).select("h").toArrow()["h"]
+    return np.sort(np.asarray(found).view(np.uint64))
+
+
+def encode_points(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold the largest: 1, 2 or 4."""
+    most = int(counts.max(initial=0))
+    return counts.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<u4").tobytes()
+
+
+def decode_points(blobs: list[bytes], groups: int) -> np.ndarray:
+    widths = {len(b) // groups for b in blobs}
+    if len(widths) == 1:
+        w = widths.pop()
+        return np.frombuffer(b"".join(blobs), f"<u{w}").reshape(-1, groups).astype(np.int16 if w == 1 else np.int32)
+    return np.stack([np.frombuffer(b, f"<u{len(b) // groups}").astype(np.int32) for b in blobs])
 
 
 def upper_bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,7 +202,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _points(column: pa.ChunkedArray, groups: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, groups).astype(np.int32)
+    return decode_points(column.to_pylist(), groups)
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int, groups: int) -> Iterator[pa.RecordBatch]:
@@ -226,7 +245,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], percent: int, common: np.ndarray
     for batch in batches:
         keep = []
         for n_a, p_a, n_b, p_b in zip(batch.column(2).to_pylist(), _lists(batch.column(3)), batch.column(4).to_pylist(), _lists(batch.column(5))):
-            late_a, late_b = np.isin(p_a, common), np.isin(p_b, common)
+            late_a, late_b = _among(p_a, common), _among(p_b, common)
             m = min((bool(late_a[-1]), int(p_a[-1])), (bool(late_b[-1]), int(p_b[-1])))
             x, y = within(p_a, late_a, m), within(p_b, late_b, m)
             most = len(np.intersect1d(x, y, assume_unique=True)) + min(n_a - len(x), n_b - len(y))
@@ -259,7 +278,7 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
         yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep))})
 
 
-def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for each row: sets link when 100 * overlap >= percent * union."""
     if not 50 <= percent <= 100:
         raise ValueError("percent: 50 to 100")
