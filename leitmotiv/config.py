@@ -9,6 +9,8 @@ from dataclasses import dataclass
 class MotifConfig:
     """window: length of a subsequence; low, high: on how many of the dimensions motifs are measured; k: how many motifs.
 
+    may_end_exact: whether the exact search may take over once hashing has cost as much.
+
     K, L: codes of a signature and repetitions; r: bin width (0: estimated); delta: allowed probability of missing a motif.
     """
 
@@ -22,7 +24,8 @@ class MotifConfig:
     r: float = 0
     seed: int = 7
     stop_rule: str = "matching"
-    batch: int = 20
+    batch: int = 64
+    may_end_exact: bool = True
 
     def check(self, n: int, dims: int) -> None:
         """ValueError for what no search can answer. Window n is allowed, though it has no pair."""

@@ -51,3 +51,10 @@ def collision_probability_col(distance: Column, r: Column) -> Column:
     q = r / distance
     p = 1 - 2 * normal_cdf_col(-q) - 2 / (math.sqrt(2 * math.pi) * q) * (1 - F.exp(-q * q / 2))
     return F.when(distance <= 0, F.lit(1.0)).otherwise(p)
+
+
+def miss_probability_col(p: Column, dims: int, i: Column, j: Column, K: int, L: int) -> Column:
+    """miss_probability with rule "matching" for `dims` dimensions that each collide with probability p."""
+    q = F.pow(p, F.lit(dims))
+    shorter = F.pow(1 - F.pow(q, K - i), j) * F.pow(1 - F.pow(q, K - i + 1), L - j)
+    return F.when(i == 0, F.pow(1 - F.pow(q, F.lit(K)), j)).otherwise(shorter)

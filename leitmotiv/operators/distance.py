@@ -45,7 +45,7 @@ def _tensor(z: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of one dimension: all squared distances of rows of a and b, summed in the order of the offsets."""
-    if a.shape[1] <= 64:
+    if a.shape[1] <= 16:
         out = np.zeros((len(a), len(b)))
         for o in range(a.shape[1]):
             diff = a[:, o, None] - b[None, :, o]
@@ -79,7 +79,7 @@ def over_cells(rows: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.nda
 
 
 def _empty(schema: str) -> dict:
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64())}
+    kinds = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
     return {c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(", ")}
 
 

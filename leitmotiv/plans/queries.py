@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leitmotiv.config import MotifConfig
-from leitmotiv.functions.stop import collision_probability_col, miss_probability
+from leitmotiv.functions.stop import collision_probability_col, miss_probability_col
 from leitmotiv.operators import distance as dist
 from leitmotiv.operators import exact, lsh, sax, topk
 from leitmotiv.operators import windows as win
@@ -387,8 +387,9 @@ select x, i, j, round(case when i = 0 then pow(1 - pow(pow(p, 2), 8), j) else po
 from p, (select unnest([0, 1, 2]) as i), (select unnest([10, 100, 200]) as j)""",
 )
 def stop_probability(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(x, i, j, round(miss_probability([x, x], 8.0, i, j, 8, 200), 5) + 0.0) for x in (1.0, 2.0, 4.0) for i in (0, 1, 2) for j in (10, 100, 200)]
-    return spark.createDataFrame(rows, "x double, i int, j int, miss double")
+    df = spark.createDataFrame([(x, i, j) for x in (1.0, 2.0, 4.0) for i in (0, 1, 2) for j in (10, 100, 200)], "x double, i int, j int")
+    p = collision_probability_col(F.col("x"), F.lit(8.0))
+    return df.withColumn("miss", F.round(miss_probability_col(p, 2, F.col("i"), F.col("j"), 8, 200), 5))
 
 
 # Symbols
@@ -518,7 +519,7 @@ def noise_dims_union(spark: SparkSession, sf: str) -> DataFrame:
 @query("discover_motifs", sql.with_parts(CAND, sql.greedy(K_MOTIFS, W), select=f"select d, rank, a, b, round(distance, 6) as distance, dims from chosen where d = {D}"))
 def discover_motifs(spark: SparkSession, sf: str) -> DataFrame:
     """By hashing, down to prefixes that leave a missing probability of 0.001: what the exact search finds."""
-    cfg = MotifConfig(window=W, low=D, high=D, k=K_MOTIFS, K=4, L=40, delta=0.001, r=8, seed=SEED, batch=20)
+    cfg = MotifConfig(window=W, low=D, high=D, k=K_MOTIFS, K=4, L=40, delta=0.001, r=8, seed=SEED, batch=20, may_end_exact=False)
     return _motif_columns(search.find_motifs(_events(spark, sf), cfg).motifs, "d", "rank")
 
 
@@ -535,7 +536,7 @@ def discover_auto(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("discover_planted")
 def discover_planted(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = MotifConfig(window=PLANTED[2], low=2, high=2, k=1, L=20, seed=SEED, batch=20)
+    cfg = MotifConfig(window=PLANTED[2], low=2, high=2, k=1, L=20, seed=SEED, batch=20, may_end_exact=False)
     return _motif_columns(search.find_motifs(synthetic.planted(spark, *PLANTED), cfg).motifs, "d", "rank")
 
 

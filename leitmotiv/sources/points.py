@@ -50,8 +50,7 @@ def read_whitespace(spark: SparkSession, path: str, series_id: str = "s", drop_f
     """Columns between runs of white space, of which the first is time and left out."""
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"), *_file_order()).where(F.element_at("v", 1) != "")
     values = F.slice("v", 2, F.size("v") - 1) if drop_first else F.col("v")
-    t = F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1
-    out = rows.select(t.cast("bigint").alias("t"), F.posexplode(F.transform(values, lambda x: x.cast("double"))).alias("dim", "value"))
+    out = numbered(rows, *PLACE).select("t", F.posexplode(F.transform(values, lambda x: x.cast("double"))).alias("dim", "value"))
     return out.select(F.lit(series_id).alias("series_id"), "t", "dim", "value")
 
 
@@ -64,14 +63,18 @@ def read_parquet(spark: SparkSession, path: str, time_col: str | None = None, tr
     return out
 
 
+PLACE = ("_file", "_block", "_at")
+
+
 def _file_order() -> list:
-    return [F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at")]
+    """A row's place: its file, the part of the file, and its number in a task, which grows within a part."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
 
 
 def _in_order(df: DataFrame, cols: list[str], time_col: str | None, series_id: str) -> DataFrame:
     if time_col:
         return from_wide(df, time_col, cols, series_id)
-    return from_wide(numbered(df.withColumn("_at", F.monotonically_increasing_id()), "_at"), "t", cols, series_id)
+    return from_wide(numbered(df.select("*", *_file_order()), *PLACE), "t", cols, series_id)
 
 
 def fill_grid(points: DataFrame, value: float | None = 0.0) -> DataFrame:

@@ -49,13 +49,21 @@ def parse_header(lines: list[str]) -> TsfHeader:
     return out
 
 
+def _windows_1252() -> tuple[str, str]:
+    """Characters that ISO 8859-1 gives for bytes 80 to 9F, and what Windows-1252 has there."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for a, b in pairs if b)
+
+
 def read_tsf(spark: SparkSession, path: str, encoding: str = "windows-1252") -> tuple[DataFrame, TsfHeader]:
     """A row for each series: its attributes, series_value (array<double>, null where missing), and series_no in the file's order.
 
     Lines are read by Spark and can be split over tasks; only the header's lines come to the driver.
     """
-    lines = spark.read.csv(path, sep="\x01", quote="", escape="", encoding=encoding, schema="line string", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, maxCharsPerColumn=-1)
-    lines = lines.where("line is not null and line <> ''").withColumn("_at", F.monotonically_increasing_id())
+    lines = spark.read.csv(path, sep="\x01", quote="", escape="", encoding="iso-8859-1" if encoding == "windows-1252" else encoding, schema="line string", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, maxCharsPerColumn=-1)
+    if encoding == "windows-1252":
+        lines = lines.withColumn("line", F.translate("line", *_windows_1252()))
+    lines = lines.where("line is not null and line <> ''").select("line", F.monotonically_increasing_id().alias("_at"))
     heads = [r[0] for r in lines.where(F.col("line").startswith("@")).orderBy("_at").select("line").collect()]
     if not heads and lines.isEmpty():
         raise ValueError("empty file")
