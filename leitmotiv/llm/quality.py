@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,8 @@ def shape(text: bytes) -> list[float]:
 
 
 def features(word: bytes) -> list[int]:
-    """The word and its beginnings, as hashes."""
-    return [xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest(word[:n], seed=n) for n in STEMS if n <= len(word))]
+    """The word and its beginnings, as hashes of 32 bits."""
+    return [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:n], seed=n) for n in STEMS if n <= len(word))]
 
 
 def feature_set(text: bytes) -> set[int]:
@@ -84,21 +85,25 @@ def _association(a: int, n1: int, b: int, n0: int) -> float:
     return 2 * sum(x * np.log(x * (n1 + n0) / (n * m)) for x, n, m in cells if x)
 
 
-def fit(shapes: np.ndarray, words: list[np.ndarray], y: np.ndarray, most: int = WORDS, ridge: float = 1.0) -> Regression:
-    centre, scale = shapes.mean(0) if len(shapes) else np.zeros(0), shapes.std(0) if len(shapes) else np.ones(0)
+def fit(shapes: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int = WORDS, ridge: float = 1.0) -> Regression:
+    """flat: all documents' features, each once a document; doc: which document each is of."""
+    none = np.zeros(shapes.shape[1])
+    centre, scale = (shapes.mean(0), shapes.std(0)) if len(shapes) else (none, none)
     scale = np.where(scale < 1e-9, 1.0, scale)
     if not y.any() or y.all():
         return Regression({}, np.zeros(shapes.shape[1]), 12.0 if len(y) and y.all() else -12.0, centre, scale)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    count = lambda which: np.unique(np.concatenate([w for w, is_pos in zip(words, y) if is_pos == which]), return_counts=True)
-    pos, neg = count(True), count(False)
+    pos, neg = (np.unique(flat[y[doc] == which], return_counts=True) for which in (True, False))
     keys = np.union1d(pos[0], neg[0])
     a, b = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     a[np.searchsorted(keys, pos[0])], b[np.searchsorted(keys, neg[0])] = pos[1], neg[1]
     often = np.flatnonzero((a + b >= 8) & (np.abs(a / n1 - b / n0) > 0.002))
     score = {int(keys[k]): _association(int(a[k]), n1, int(b[k]), n0) for k in often}
     chosen = sorted((w for w in score if score[w] > 30), key=lambda w: (-score[w], w))[:most]
-    x = np.hstack([np.clip((shapes - centre) / scale, -8, 8), np.array([np.isin(np.array(chosen, np.uint64), w) for w in words], float).reshape(len(y), len(chosen)), np.ones((len(y), 1))])
+    present = np.zeros((len(y), len(chosen)))
+    for k, w in enumerate(chosen):
+        present[doc[flat == w], k] = 1
+    x = np.hstack([np.clip((shapes - centre) / scale, -8, 8), present, np.ones((len(y), 1))])
     beta = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
@@ -147,14 +152,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(2))
-            words = [np.array(sorted(feature_set(t)), np.uint64).tobytes() for t in texts]
+            words = pa.array([np.array(sorted(feature_set(t)), np.uint32).view(np.int32) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({"low": pa.array([int(q == 0) for q in b.column(0).to_pylist()], pa.int32()), "toxic": b.column(1).cast(pa.int32()), "shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": words})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").dropDuplicates(["id"])
-    rows = texts.select("quality", "toxic", "text").mapInArrow(run, "low int, toxic int, shape array<double>, words binary").toArrow().to_pylist()
-    shapes = np.array([r["shape"] for r in rows]).reshape(len(rows), len(shape(b"")))
-    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    return Evidence(*(fit(shapes, words, np.array([r[k] for r in rows], bool)) for k in ("low", "toxic")))
+    rows = texts.select("quality", "toxic", "text").mapInArrow(run, "low int, toxic int, shape array<double>, words array<int>").toArrow()
+    shapes = np.array(rows["shape"].to_pylist()).reshape(rows.num_rows, len(shape(b"")))
+    lists = rows["words"].combine_chunks()
+    flat, sizes = np.asarray(lists.flatten()).view(np.uint32), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), sizes)
+    return Evidence(*(fit(shapes, flat, doc, np.asarray(rows[k]).astype(bool)) for k in ("low", "toxic")))
 
 
 def _logit(p: Column) -> Column:
