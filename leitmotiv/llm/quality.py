@@ -35,6 +35,8 @@ from leitmotiv.llm.common import materialize, utf8
 from leitmotiv.llm.licenses import WORD
 
 SAMPLE = 8000
+#: Of each of these documents, at most so many features (those with the smallest hashes) come to the driver; all count when documents are scored.
+FIT_FEATURES = 8192
 WORDS = 160
 STEMS = (4, 5, 6)
 SYMBOLS = (b"!", b"|", b"#", b"$", b"%", b"&", b"*", b"?", b"<")
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(2))
-            words = pa.array([np.array(sorted(feature_set(t)), np.uint32).view(np.int32) for t in texts], pa.list_(pa.int32()))
+            words = pa.array([np.array(sorted(feature_set(t))[:FIT_FEATURES], np.uint32).view(np.int32) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({"low": pa.array([int(q == 0) for q in b.column(0).to_pylist()], pa.int32()), "toxic": b.column(1).cast(pa.int32()), "shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": words})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").dropDuplicates(["id"])

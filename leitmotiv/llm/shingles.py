@@ -37,6 +37,8 @@ from leitmotiv.llm.common import connected_components, materialize, utf8
 #: Documents whose hashes are counted to order them, a bound for any corpus; and in how many of them a hash must be to come last.
 ORDER_SAMPLE = 30_000
 COMMON = 3
+#: The list of such hashes goes to all executors; it has at most so many (32 MB), those of the most documents.
+MOST_COMMON = 4_000_000
 GROUPS = 256
 CELL = 1024
 LEAF = 32
@@ -117,7 +119,14 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
     ids = docs.select("id").orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE).distinct()
     counted = docs.join(ids, "id", "left_semi").select("text").mapInArrow(run, "h long").groupBy("h").count()
-    found = counted.where(F.col("count") >= COMMON).select("h").toArrow()["h"]
+    counted = materialize(counted.where(F.col("count") >= COMMON), "common")
+    least, held = COMMON, 0
+    for count, n in sorted(counted.groupBy("count").agg(F.count("*")).collect(), reverse=True):  # one row a count, of ORDER_SAMPLE at most
+        held += n
+        if held > MOST_COMMON:
+            least = count + 1
+            break
+    found = counted.where(F.col("count") >= least).select("h").toArrow()["h"]
     return np.sort(np.asarray(found).view(np.uint64))
 
 
@@ -285,7 +294,7 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common = spark.sparkContext.broadcast(_common(base, size))  # at most a third of the sample's hashes
+    common = spark.sparkContext.broadcast(_common(base, size))  # MOST_COMMON at most
     sketch = materialize(base.mapInArrow(lambda b: _sketches(b, size, percent, groups, common.value), SKETCH), "sketches")
 
     real = sketch.where("n > 0 and id is not null")
