@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import replace
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leitmotiv.config import MotifConfig
@@ -16,15 +16,23 @@ from leitmotiv.sources.synthetic import planted, with_noise_dims
 SWEEP = "dataset string, K int, L int, r double, delta double, window int, low int, high int, d int, rank int, a bigint, b bigint, distance double, comparisons bigint, seconds double"
 
 
+def with_group(runs: DataFrame, by: tuple[str, ...], **aggregates: Column) -> DataFrame:
+    """Adds aggregates of each row's group: partial sums and a join, as a window would gather each group in one task."""
+    keys = [F.col(c).alias(f"_k{n}") for n, c in enumerate(by)]
+    groups = runs.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    on = [runs[c].eqNullSafe(groups[f"_k{n}"]) for n, c in enumerate(by)]
+    return runs.join(groups, on).drop(*[f"_k{n}" for n in range(len(by))])
+
+
 def recall(runs: DataFrame, *by: str, distance: str = "distance", within: float = 0.1) -> DataFrame:
     """by, recall: the share of runs whose distance is less than `within` above the group's least."""
-    least = runs.withColumn("_least", F.min(distance).over(Window.partitionBy(*by)))
+    least = with_group(runs, by, _least=F.min(distance))
     return least.groupBy(*by).agg(F.avg((F.col(distance) - F.col("_least") < within).cast("double")).alias("recall"))
 
 
 def relative_error(runs: DataFrame, *by: str, distance: str = "distance") -> DataFrame:
     """by, mare: the mean of (distance - least) / least."""
-    least = runs.withColumn("_least", F.min(distance).over(Window.partitionBy(*by)))
+    least = with_group(runs, by, _least=F.min(distance))
     return least.groupBy(*by).agg(F.avg((F.col(distance) - F.col("_least")) / F.col("_least")).alias("mare"))
 
 
@@ -34,7 +42,7 @@ def group_mean(runs: DataFrame, value: str, *by: str) -> DataFrame:
 
 def max_normalised(runs: DataFrame, value: str, *by: str) -> DataFrame:
     """Adds normalised: value over its group's largest."""
-    return runs.withColumn("normalised", F.col(value) / F.max(value).over(Window.partitionBy(*by)))
+    return with_group(runs, by, _most=F.max(value)).withColumn("normalised", F.col(value) / F.col("_most")).drop("_most")
 
 
 def mean_interval(runs: DataFrame, value: str, *by: str, quantile: float = 1.96) -> DataFrame:

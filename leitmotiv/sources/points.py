@@ -77,10 +77,16 @@ def _in_order(df: DataFrame, cols: list[str], time_col: str | None, series_id: s
     return from_wide(numbered(df.select("*", *_file_order()), *PLACE), "t", cols, series_id)
 
 
-def fill_grid(points: DataFrame, value: float | None = 0.0) -> DataFrame:
-    """A row for every t from the series' first to its last and every dimension it has; missing cells hold value."""
+def fill_grid(points: DataFrame, value: float | None = 0.0, chunk: int = 65_536) -> DataFrame:
+    """A row for every t from the series' first to its last and every dimension it has; missing cells hold value.
+
+    Times are made in chunks that are dealt out, so no task makes a whole series' times.
+    """
     span = points.groupBy("series_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.collect_set("dim").alias("dims"))
-    grid = span.select("series_id", F.explode(F.sequence("lo", "hi")).alias("t"), "dims").withColumn("dim", F.explode("dims")).drop("dims")
+    part = F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor(F.col("hi") / chunk))).alias("c")
+    parts = span.select("series_id", "lo", "hi", "dims", part).repartition("series_id", "c")
+    t = F.explode(F.sequence(F.greatest("lo", F.col("c") * chunk), F.least("hi", F.col("c") * chunk + chunk - 1))).alias("t")
+    grid = parts.select("series_id", t, "dims").select("series_id", "t", F.explode("dims").alias("dim"))
     return grid.join(points, ["series_id", "t", "dim"], "left").select("series_id", "t", "dim", F.coalesce("value", F.lit(value).cast("double")).alias("value"))
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from leitmotiv.sources import points as src
-from leitmotiv.sources import tsf, wfdb
+from leitmotiv.sources import spectral, tsf, wfdb
 
 GOOD = """# a comment
 @relation x
@@ -82,3 +82,32 @@ def test_shared_table(spark):
     df = spark.createDataFrame([("s", 0, 0, 1.0)], src.POINTS)
     assert src.share(df, "shared_points").count() == 1 and spark.catalog.isCached("shared_points")
     spark.catalog.uncacheTable("shared_points")
+
+
+def samples(spark, x):
+    return spark.createDataFrame([("s", t, float(v)) for t, v in enumerate(x)], "series_id string, t bigint, value double")
+
+
+def test_band_energies(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "FRAMES", 16)
+    rate, t = 40.0, np.arange(400)
+    x = np.sin(2 * np.pi * 10 * t / rate)
+    got = {(r["t"], r["dim"]): r["value"] for r in spectral.band_energies(samples(spark, x), rate, bands=4).collect()}
+    assert len(got) == 4 * 99
+    energy = [sum(got[f, b] for f in range(99)) for b in range(4)]
+    assert int(np.nanargmax(energy)) == 1 and np.isnan(energy[3])  # 10 Hz, of the bands from 1 to 20; none of the transform's is in the last
+    w = spectral.tukey(8)
+    seg = x[40:48] - x[40:48].mean()
+    power = np.abs(np.fft.rfft(seg * w)) ** 2 / (rate * (w**2).sum()) * np.array([1, 2, 2, 2, 1])
+    assert np.isclose(got[10, 1], power[2])
+
+
+def test_mel_decibels(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "FRAMES", 8)
+    rate, t = 16000.0, np.arange(6000)
+    out = spectral.mel_decibels(samples(spark, np.sin(2 * np.pi * 1000 * t / rate)), rate, bands=16).collect()
+    value = {(r["t"], r["dim"]): r["value"] for r in out}
+    assert len(value) == 16 * (6000 // 128 + 1) and max(value.values()) == 0 and min(value.values()) >= -80
+    loudest = max(range(16), key=lambda b: value[20, b])
+    filters = spectral.mel_filters(rate, 2048, 16, 0, 8000)
+    assert loudest == int(filters[:, 128].argmax())
