@@ -129,3 +129,10 @@ def minhash_bands(sig: DataFrame, permutations: int, rows: int) -> DataFrame:
     mins = F.array(*[F.array_min(F.transform("_tokens", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(permutations)])
     out = sets.withColumn("_m", mins).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(permutations // rows - 1))))
     return out.select("series_id", "t", "l", "band", F.xxhash64(F.slice("_m", F.col("band") * rows + 1, rows)).alias("key"))
+
+
+def minhash_candidates(bands: DataFrame, exclusion: int) -> DataFrame:
+    """series_id, a, b: windows that share a band's key in a repetition, b - a > exclusion."""
+    left, right = bands.withColumnRenamed("t", "a"), bands.withColumnRenamed("t", "b")
+    met = left.join(right, ["series_id", "l", "band", "key"]).where(F.col("b") - F.col("a") > exclusion)
+    return met.select("series_id", "a", "b").distinct()

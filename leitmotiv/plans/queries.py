@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leitmotiv.config import MotifConfig
+from leitmotiv.functions.random import bits
 from leitmotiv.functions.stop import collision_probability_col, miss_probability_col
 from leitmotiv.operators import distance as dist
 from leitmotiv.operators import exact, lsh, sax, topk
@@ -15,7 +16,7 @@ from leitmotiv.operators import windows as win
 from leitmotiv.plans import evaluate, search
 from leitmotiv.plans import oracles as sql
 from leitmotiv.sources import points as src
-from leitmotiv.sources import synthetic
+from leitmotiv.sources import spectral, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +115,37 @@ def moving_average_smooth(spark: SparkSession, sf: str) -> DataFrame:
     return win.moving_average(_events(spark, sf), 2).select("t", "dim", r6("value").alias("value"))
 
 
+SG = 9
+
+
+@query(
+    "savitzky_golay_smooth",
+    sql.with_parts(
+        POINTS,
+        "span as (select max(t) as hi from points)",
+        f"mid as (select t, dim, avg(value) over (partition by dim order by t rows between {SG // 2} preceding and {SG // 2} following) as m from points)",
+        f"head as (select dim, regr_slope(value, t) as s, regr_intercept(value, t) as c from points where t < {SG} group by dim)",
+        f"tail as (select dim, regr_slope(value, t) as s, regr_intercept(value, t) as c from points, span where t > hi - {SG} group by dim)",
+        select=f"select p.t, p.dim, round(case when p.t < {SG // 2} then head.c + head.s * p.t when p.t > hi - {SG // 2} then tail.c + tail.s * p.t else m end, 5) + 0.0 as value from points p join mid using (t, dim) join head using (dim) join tail using (dim), span",
+    ),
+)
+def savitzky_golay_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    return win.savitzky_golay(_events(spark, sf), SG).select("t", "dim", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query("random_crop", sql.with_parts(POINTS, f"o as (select {sql._bits('7', chr(39) + 'crop' + chr(39))} % 20 as o)", select="select t - o as t, dim, value from points, o where t >= o and t < o + 25"))
+def random_crop(spark: SparkSession, sf: str) -> DataFrame:
+    """25 consecutive times from a random place."""
+    at = bits(7, "crop") % 20
+    return _events(spark, sf).where(F.col("t").between(at, at + 24)).select((F.col("t") - at).alias("t"), "dim", "value")
+
+
+@query("band_energies")
+def band_energies(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _events(spark, sf).where("dim = 0").select("series_id", "t", "value")
+    return spectral.band_energies(samples, 40.0, bands=4).select("t", "dim", r6("value").alias("value"))
+
+
 @query("prefix_truncate", sql.with_parts(POINTS, select="select t, dim, value from points where t < 100"))
 def prefix_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf).where("t < 100").select("t", "dim", "value")
@@ -249,6 +281,13 @@ def motif_highlight(spark: SparkSession, sf: str) -> DataFrame:
     return exact.highlight(points, motif, W).select("side", "t", "dim", "value")
 
 
+@query("motif_occurrence_list")
+def motif_occurrence_list(spark: SparkSession, sf: str) -> DataFrame:
+    points = _events(spark, sf)
+    motif = topk.top(exact.best_pairs(points, W, D, D, 1), 1).withColumn("rank", F.lit(1))
+    return exact.occurrences(win.subsequences(points, W), motif, W, 5.0).select("rank", "t", r6("distance").alias("distance"))
+
+
 # Hashing
 
 
@@ -361,6 +400,23 @@ def minhash_bands(spark: SparkSession, sf: str) -> DataFrame:
     return lsh.minhash_bands(_sig(spark, sf).withColumn("code", F.slice("code", 1, 3)), 2 * D, 2).select("t", "l", "band", "key")
 
 
+@query("minhash_candidates")
+def minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    bands = lsh.minhash_bands(_sig(spark, sf).withColumn("code", F.slice("code", 1, 2)), 2 * D, 2)
+    return lsh.minhash_candidates(bands, W).select("a", "b")
+
+
+@query("task_order", "select i, j, row_number() over (order by i, j) as place from (select unnest(range(4)) as i), (select unnest(range(5)) as j)")
+def task_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefix steps and repetitions in the order a search takes them: longer prefixes first."""
+    cfg = MotifConfig(window=W, low=D, high=D, K=4, L=5, batch=2, may_end_exact=False)
+    rows, plan = [], search.Batches(cfg, 100)
+    for i, reps in plan:
+        rows += [(i, j, len(rows) + k + 1) for k, j in enumerate(reps)]
+        plan.count(len(rows), 0)
+    return spark.createDataFrame(rows, "i bigint, j bigint, place bigint")
+
+
 # Stopping
 
 
