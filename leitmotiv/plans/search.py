@@ -70,23 +70,31 @@ class Kernel:
     def __init__(self, x: np.ndarray, cfg: MotifConfig, projections: lsh.Projections) -> None:
         self.x, self.cfg, self.p = np.ascontiguousarray(x.T), cfg, projections
         w = cfg.window
-        view = np.lib.stride_tricks.sliding_window_view(self.x, w, axis=1)
-        self.view, self.n = view, view.shape[1]
-        self.mean = view.mean(2)
-        std = view.std(2)
-        self.std = np.where(std == 0, ZERO_STD, std)
-
-    def codes(self, rep: int) -> np.ndarray:
-        """windows x dimensions x K."""
-        a, b = self.p.of(rep)
-        out = np.empty((self.n, len(self.x), len(a)), np.int32)
+        self.view = np.lib.stride_tricks.sliding_window_view(self.x, w, axis=1)
+        self.n = self.view.shape[1]
+        self.step = max(1, 4_000_000 // w)  # windows that are copied out at once
+        self.mean, self.std = np.empty((2, len(self.x), self.n))
+        for m in range(len(self.x)):
+            for k in range(0, self.n, self.step):
+                s = slice(k, k + self.step)
+                v = self.view[m, s]
+                self.mean[m, s] = v.mean(1)
+                self.std[m, s] = v.std(1)
+        self.std[self.std == 0] = ZERO_STD
+
+    def keys(self, rep: int, prefix: int) -> np.ndarray:
+        """windows x dimensions: one number for each code prefix."""
+        a, b = (p[:prefix] for p in self.p.of(rep))
+        out = np.zeros((self.n, len(self.x)), np.uint64)
         total = a.sum(1)
-        step = max(1, 4_000_000 // self.cfg.window)
         for m in range(len(self.x)):
-            for k in range(0, self.n, step):
-                s = slice(k, k + step)
+            for k in range(0, self.n, self.step):
+                s = slice(k, k + self.step)
                 dot = self.view[m, s] @ a.T
-                out[s, m] = np.floor(((dot - self.mean[m, s, None] * total) / self.std[m, s, None] + b) / self.p.r)
+                code = np.floor(((dot - self.mean[m, s, None] * total) / self.std[m, s, None] + b) / self.p.r).astype(np.int64).view(np.uint64)
+                for c in range(prefix):
+                    out[s, m] = (out[s, m] ^ code[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+                    out[s, m] ^= out[s, m] >> np.uint64(29)
         return out
 
     def _equal_pairs(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,13 +118,9 @@ class Kernel:
             yield a[ok], b[ok]
             at = stop
 
-    def candidates(self, codes: np.ndarray, prefix: int, least_dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def candidates(self, mixed: np.ndarray, least_dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs whose prefixes agree on at least least_dims dimensions, found on each choice of so many."""
-        dims = codes.shape[1]
-        mixed = np.zeros((self.n, dims), np.uint64)
-        for c in range(prefix):
-            mixed = (mixed ^ codes[:, :, c].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
+        dims = mixed.shape[1]
         if math.comb(dims, least_dims) <= 256:
             for choice in combinations(range(dims), least_dims):
                 key = np.zeros(self.n, np.uint64)
@@ -133,7 +137,7 @@ class Kernel:
 
     def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty((len(a), len(self.x)))
-        step = max(1, 4_000_000 // self.cfg.window)
+        step = self.step
         for k in range(0, len(a), step):
             i, j = a[k : k + step], b[k : k + step]
             for m in range(len(self.x)):
@@ -146,11 +150,11 @@ class Kernel:
     def search(self, rep: int, prefix: int, ds: list[int]) -> tuple[list[dict], int, float]:
         """Of each d the KEEP best candidates of one repetition; how many distances; seconds of hashing."""
         began = time.perf_counter()
-        codes = self.codes(rep)
+        mixed = self.keys(rep, prefix)
         hashed = time.perf_counter() - began
         best: dict[int, list] = {d: [] for d in ds}
         compared = 0
-        for a, b in self.candidates(codes, prefix, min(ds)):
+        for a, b in self.candidates(mixed, min(ds)):
             if not len(a):
                 continue
             pair = np.unique(a * self.n + b)
