@@ -35,7 +35,7 @@ def main() -> None:
     events.count()
     embeddings = src.from_embeddings(spark, SF).cache()
     embeddings.count()
-    planted = {n: synthetic.planted(spark, n, 5, 200, 2, (n // 10, n // 2)).cache() for n in (10_000, 100_000)}
+    planted = {n: synthetic.planted(spark, n, 5, 200, 2, (n // 10, n // 2)).cache() for n in (10_000, 100_000, 1_000_000)}
     for p in planted.values():
         p.count()
     count = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).collect()  # noqa: E731  reads every column
@@ -45,6 +45,7 @@ def main() -> None:
         "motifs_hashed_embeddings": lambda: find(embeddings, window=50, low=3, high=3, r=8),
         "motifs_hashed_planted_10k": lambda: find(planted[10_000], window=200, low=2, high=2),
         "motifs_hashed_planted_100k": lambda: find(planted[100_000], window=200, low=2, high=2),
+        "motifs_hashed_planted_1m": lambda: find(planted[1_000_000], window=200, low=2, high=2),
         "motifs_exact_events": lambda: exact.exact_motifs(events, 8, 2, 2, 3).collect(),
         "matrix_profile_embeddings": lambda: count(exact.matrix_profile(embeddings, 8, 2, 2)),
         "motifs_symbols_events": lambda: search.find_motifs_sax(events, 16, 2, 2, 6).collect(),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leitmotiv.functions.random import gaussian, uniform
+from leitmotiv.operators.windows import ZERO_STD, chunked
 
 
 class Projections:
@@ -136,3 +137,72 @@ def minhash_candidates(bands: DataFrame, exclusion: int) -> DataFrame:
     left, right = bands.withColumnRenamed("t", "a"), bands.withColumnRenamed("t", "b")
     met = left.join(right, ["series_id", "l", "band", "key"]).where(F.col("b") - F.col("a") > exclusion)
     return met.select("series_id", "a", "b").distinct()
+
+
+def _gapless(t: np.ndarray, values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the full windows in points sorted by t, and their values."""
+    if len(t) < window:
+        return t[:0], values[:0].reshape(0, window)
+    full = np.flatnonzero(t[window - 1 :] - t[: len(t) - window + 1] == window - 1)
+    return t[full], np.lib.stride_tricks.sliding_window_view(values, window)[full]
+
+
+def _normalised(v: np.ndarray) -> np.ndarray:
+    std = v.std(1, keepdims=True)
+    return (v - v.mean(1, keepdims=True)) / np.where(std == 0, ZERO_STD, std)
+
+
+def point_signatures(points: DataFrame, window: int, projections: Projections, reps: range | None = None, chunk: int = 16_384) -> DataFrame:
+    """signatures() straight from points: the windows of a chunk are made and hashed in its task, and never shuffled or written."""
+    reps = reps or range(projections.L)
+    shared = points.sparkSession.sparkContext.broadcast(projections)  # as large as the configuration, not as the data
+
+    def run(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        p, (series, dim, c) = shared.value, (k.as_py() for k in key)
+        table = table.sort_by("t")
+        starts, values = _gapless(np.asarray(table["t"]), np.asarray(table["value"], np.float64), window)
+        own = starts // chunk == c
+        starts, values = starts[own], values[own]
+        rows = np.array([p.rows[rep] for rep in reps])
+        step = max(1, 500_000 // rows.size)
+        for k in range(0, len(starts), step):
+            codes = p.codes(_normalised(values[k : k + step]))[:, rows]
+            m = len(codes)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(m * len(rows) + 1, dtype=np.int32) * p.K), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_pydict({
+                "series_id": pa.array([series] * (m * len(rows)), pa.string()), "t": np.repeat(starts[k : k + step], len(rows)),
+                "dim": np.full(m * len(rows), dim, np.int32), "l": np.tile(np.array(list(reps), np.int32), m), "code": flat,
+            })
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        kinds = pa.schema([("series_id", pa.string()), ("t", pa.int64()), ("dim", pa.int32()), ("l", pa.int32()), ("code", pa.list_(pa.int32()))])
+        return pa.Table.from_batches([b.cast(kinds) for b in run(key, table)], kinds)
+
+    parts = chunked(points, window - 1, chunk=chunk).drop("_own")
+    return parts.groupBy("series_id", "dim", "_chunk").applyInArrow(whole, "series_id string, t bigint, dim int, l int, code array<int>")
+
+
+def windows_at(points: DataFrame, starts: DataFrame, window: int, chunk: int = 16_384) -> DataFrame:
+    """series_id, t, z (array of arrays, by dimension): the windows at starts(series_id, t), where all dimensions have them."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[int, list] = {int(t): [] for t in np.sort(np.asarray(right["t"]))}
+        dims = np.asarray(left["dim"])
+        left_t, left_v = np.asarray(left["t"]), np.asarray(left["value"], np.float64)
+        for m in np.unique(dims):
+            at = np.flatnonzero(dims == m)
+            at = at[np.argsort(left_t[at])]
+            starts_of, values = _gapless(left_t[at], left_v[at], window)
+            wanted = np.flatnonzero(np.isin(starts_of, np.fromiter(out, np.int64, len(out))))
+            for t, z in zip(starts_of[wanted].tolist(), _normalised(values[wanted])):
+                out[t].append(z.tolist())
+        full = len(np.unique(dims))
+        rows = [(t, z) for t, z in out.items() if z and len(z) == full]
+        return pa.table({
+            "series_id": pa.array([key[0].as_py()] * len(rows), pa.string()), "t": pa.array([r[0] for r in rows], pa.int64()),
+            "z": pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.float64()))),
+        })
+
+    parts = chunked(points, window - 1, chunk=chunk).drop("_own").groupBy("series_id", "_chunk")
+    asked = starts.select("series_id", "t").distinct().withColumn("_chunk", F.floor(F.col("t") / chunk).cast("bigint")).groupBy("series_id", "_chunk")
+    return parts.cogroup(asked).applyInArrow(run, "series_id string, t bigint, z array<array<double>>")

@@ -6,7 +6,7 @@ without close pairs would go on to prefixes that compare everything many times o
 would, that takes over and misses nothing. The whole is then at most twice the cheaper of the two.
 
 It has two physical plans. A series of at most RESIDENT values is sent to all tasks, each of which hashes and compares one repetition; its
-size is checked first. A larger one stays a DataFrame: signatures meet in an equi-join, and the windows are joined to the candidate pairs.
+size is checked first. A larger one stays a DataFrame: signatures meet in an equi-join, and only the candidates' windows are made and joined to the pairs.
 """
 
 from __future__ import annotations
@@ -294,25 +294,34 @@ def _kernel(key: str, shared: Broadcast) -> Kernel:
     return _kernels[key]
 
 
+def _distributed_bin_width(points: DataFrame, cfg: MotifConfig, n: int, sample: int = 2000) -> int:
+    """From some `sample` windows, chosen by a hash of their place; at least one."""
+    share = max(1, n // sample)
+    starts = points.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).select("series_id", "t")
+    z = lsh.windows_at(points, starts, cfg.window).select("series_id", "t", F.posexplode("z").alias("dim", "z"))
+    found = lsh.bin_width(written(z, "sample"), cfg.window, seed=cfg.seed).agg(F.max("r")).first()[0]
+    return found or 4
+
+
 def _distributed(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
     began = time.perf_counter()
     n, dims = points.agg(F.countDistinct("t"), F.countDistinct("dim")).first()
     cfg.check(n, dims)
-    z = written(subsequences(points, cfg.window).select("series_id", "t", "dim", "z"), "z")
-    r = cfg.r or lsh.bin_width(z.where(F.pmod(F.xxhash64("t"), F.lit(max(1, n // 2000))) == 0), cfg.window, seed=cfg.seed).agg(F.max("r")).first()[0]
-    windows = written(pack(z), "windows")
+    r = cfg.r or _distributed_bin_width(points, cfg, n)
     projections = lsh.Projections(cfg.window, cfg.K, cfg.L, r, cfg.seed)
     kept: DataFrame | None = None
     seen: DataFrame | None = None
     compared, done = 0, 0
     plan = Batches(cfg, n)
     for i, reps in plan:
-        pairs = lsh.candidates(lsh.signatures(z, projections, reps), cfg.K - i, cfg.low, cfg.window).select("series_id", "a", "b").distinct()
+        pairs = lsh.candidates(lsh.point_signatures(points, cfg.window, projections, reps), cfg.K - i, cfg.low, cfg.window).select("series_id", "a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["series_id", "a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         compared += pairs.count()
         seen = pairs if seen is None else seen.unionByName(pairs)
+        ends = pairs.select("series_id", F.col("a").alias("t")).unionByName(pairs.select("series_id", F.col("b").alias("t")))
+        windows = written(lsh.windows_at(points, ends, cfg.window), "windows")
         found = profile_of_dims(lsh.pair_windows(pairs, windows), cfg.low, cfg.high)
         now = top(found if kept is None else found.unionByName(kept), KEEP * cfg.k, "series_id", "d")
         kept = written(now, "best")

@@ -62,6 +62,7 @@ def test_planted_is_found_by_all_searches(spark):
     for rows in (search.find_motifs(points, CFG).motifs.collect(), search.find_motifs(points, CFG, resident=10).motifs.collect(), exact.exact_motifs(points, 30, 2, 2).collect()):
         (m,) = rows
         assert (m["a"], m["b"], sorted(m["dims"])) == (40, 180, [0, 1]) and m["distance"] < 1e-6
+    assert search.find_motifs(points, MotifConfig(window=30, low=2, high=2, K=4, L=20), resident=10).motifs.first()["a"] == 40  # own bin width
     (m,) = search.find_motifs_sax(points, 30, 2, 5).collect()
     assert abs(m["a"] - 40) < 30 and abs(m["b"] - 180) < 30
 
@@ -187,6 +188,20 @@ def test_longer_prefixes_have_fewer_candidates(spark):
     assert pairs[0] <= pairs[1] <= pairs[2] and pairs[2]
 
 
+def test_signatures_from_points(spark):
+    """With chunks, halos and a gap, those of the windows that the SQL way makes."""
+    points = frame(spark, noise(70, 2)).where("t <> 33").cache()
+    p = lsh.Projections(6, 4, 4, 4.0, 7)
+    rows = lambda df: sorted((r["t"], r["dim"], r["l"], tuple(r["code"])) for r in df.collect())
+    z = windows.subsequences(points, 6)
+    assert rows(lsh.point_signatures(points, 6, p, chunk=16)) == rows(lsh.signatures(z, p))
+    starts = spark.createDataFrame([("s", t) for t in (0, 15, 16, 31, 64, 99)], "series_id string, t bigint")
+    got = {r["t"]: r["z"] for r in lsh.windows_at(points, starts, 6, chunk=16).collect()}
+    assert sorted(got) == [0, 15, 16, 64]
+    want = {(r["t"], r["dim"]): r["z"] for r in z.collect()}
+    assert all(np.allclose(got[t][m], want[t, m]) for t in got for m in (0, 1))
+
+
 def test_recall_over_seeds(spark):
     x = planted(n=200, w=20, at=(30, 120))
     x[30:50] += 0.3 * noise(20, 5, 9)
