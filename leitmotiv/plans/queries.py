@@ -285,7 +285,7 @@ def motif_highlight(spark: SparkSession, sf: str) -> DataFrame:
 def motif_occurrence_list(spark: SparkSession, sf: str) -> DataFrame:
     points = _events(spark, sf)
     motif = topk.top(exact.best_pairs(points, W, D, D, 1), 1).withColumn("rank", F.lit(1))
-    return exact.occurrences(win.subsequences(points, W), motif, W, 5.0).select("rank", "t", r6("distance").alias("distance"))
+    return exact.occurrences(win.subsequences(points, W), motif, W, 8.0).select("rank", "t", r6("distance").alias("distance"))
 
 
 # Hashing
