@@ -145,8 +145,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_bytes: i
         return pa.RecordBatch.from_pydict(data)
 
     number, ids, sizes, tokens, _, held = fresh()
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+    for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
+        for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
             words = text.lower().split()  # bytes: A-Z, and white space [\x20\x09-\x0D]
             add, size = number.setdefault, number.__len__
             coded = [add(w, size()) for w in words]
@@ -271,7 +271,8 @@ def score_documents(docs: DataFrame, order: int = 2, mass: float = 5.0, id_col:
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
                 yield pa.RecordBatch.from_pylist(list(_requests(row, order, shards)), schema)
 
     asked = blocks.select("block", "lengths", "train", "vocabulary", "tokens").mapInArrow(requests, "shard int, block long, n int, keys binary, counts binary")
