@@ -1,13 +1,14 @@
 """Embedding near-dedup: sorted projection passes.
 
 In each pass every vector gets a key of concatenated random sign bits; the vectors are sorted by it, and each is compared with
-its `window` next neighbours in that order. The passes are as many as the wanted recall needs at the threshold, for the number of vectors
-there are. Verified pairs of all passes are united into components.
+its `window` next neighbours in that order. Verified pairs of all passes are united into components. The first passes are as many as the
+wanted recall needs at the threshold if all sign buckets were equally full. Where vectors crowd in one direction, a bucket holds more than a window and a
+pass meets fewer pairs; so further rounds follow, each of as many passes as all before it together, until a round links no two components.
 
 Equal vectors are one class, compared once. A pass only passes on a spanning forest of what it links within a block, so groups of near
 copies cost rows in proportion to their members. Then the exact part: within each component all pairs are compared, in cells of
 bounded size, which gives every member's number of links, however far apart in the sorted orders the copies were. Only links
-between different components depend on the recall.
+between different components depend on the recall, which stays a probability: a lone pair in a crowd may be missed by all rounds.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a component that isn't finite link with nothing, and are their own
 component; so are vectors with a null id, whose component is null. Vectors of different lengths don't link. Rows that repeat an id count as vectors
@@ -49,7 +50,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keys(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], passes: range, seed: int) -> Iterator[pa.RecordBatch]:
     planes: dict[tuple[int, int], np.ndarray] = {}
     weight = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
     for b in batches:
@@ -57,7 +58,7 @@ def _keys(batches: Iterator[pa.RecordBatch], passes: int, seed: int) -> Iterator
         for dim in np.unique(dims).tolist():
             own = b.filter(pa.array(dims == dim))
             x = _unit(_matrix(own.column(2), dim))
-            for p in range(passes):
+            for p in passes:
                 if (p, dim) not in planes:
                     planes[p, dim] = np.random.default_rng((seed, p, dim)).standard_normal((dim, BITS))
                 key = ((x @ planes[p, dim]) > 0) @ weight
@@ -82,20 +83,20 @@ def _forest(links: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray
 
 
 def _windows(table: pa.Table, window: int, threshold: float) -> pa.Table:
-    """Spanning edges of the links found within a block. Columns: block, rank, pass, dim, rep, vec."""
+    """Spanning edges of the links found within a block between different components. Columns: block, rank, pass, dim, rep, component, vec."""
     table = table.sort_by("rank")
     dims, turn = np.asarray(table["dim"]), np.asarray(table["pass"])
-    ids = np.asarray(table["rep"])
+    ids, component = np.asarray(table["rep"]), np.asarray(table["component"])
     a, b = [], []
     for dim in np.unique(dims).tolist():
         for p in np.unique(turn[dims == dim]).tolist():
             at = np.flatnonzero((dims == dim) & (turn == p))
             x = _unit(_matrix(table["vec"].take(pa.array(at)), dim))
-            links = []
+            links, group = [], component[at]
             for k in range(0, len(at), window):
                 s = x[k : k + window] @ x[k : k + 2 * window].T
                 i, j = np.nonzero(s >= threshold)
-                ok = (j > i) & (j - i <= window)
+                ok = (j > i) & (j - i <= window) & (group[i + k] != group[j + k])
                 links.append((i[ok] + k, j[ok] + k))
             label = _forest(links, len(at))
             own = ids[at]
@@ -124,6 +125,29 @@ def _count(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             yield pa.RecordBatch.from_pydict({"rep": ids[right], "links": s.T @ copies[left]})
 
 
+def _pass_edges(reps: DataFrame, label: DataFrame, n: int, passes: range, window: int, threshold: float, seed: int) -> DataFrame:
+    """a, b: links between different components of label that the passes meet."""
+    spark = reps.sparkSession
+    keyed = reps.select("rep", "dim", "vec").mapInArrow(lambda b: _keys(b, passes, seed), "pass int, dim int, key long, rep long")
+    parts = max(8, math.ceil(n * len(passes) / 200_000))
+    ordered = keyed.repartitionByRange(parts, "pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
+    ordered = ordered.select("pass", "dim", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
+    ordered = materialize(ordered, "order")
+    sizes = sorted(ordered.groupBy("part").count().collect())  # one row a partition
+    before, rows = 0, []
+    for part, size in sizes:
+        rows.append((part, before))
+        before += size
+    offset = spark.createDataFrame(rows, "part int, before long")
+    ranked = ordered.join(F.broadcast(offset), "part").select("pass", "dim", "rep", (F.col("pos") + F.col("before")).alias("rank"))
+    block = F.floor(F.col("rank") / BLOCK)
+    # The first rows of a block also close the block before it.
+    ranked = ranked.withColumn("block", F.explode(F.when(F.col("rank") % BLOCK < window, F.array(block, block - 1)).otherwise(F.array(block))))
+    own = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "vec")
+    met = ranked.join(own, "rep").select("block", "rank", "pass", "dim", "rep", "component", "vec")
+    return met.groupBy("block").applyInArrow(lambda t: _windows(t, window, threshold), "a long, b long")
+
+
 def link_vectors(
     vectors: DataFrame, threshold: float = 0.9, window: int = 128, recall: float = 0.999, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -139,26 +163,12 @@ def link_vectors(
     reps = usable.join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"])
     reps = materialize(reps.select("h1", "h2", "rep", "copies", F.size("vec").alias("dim"), "vec"), "vectors")
     n = reps.count()
-    passes = passes_needed(n, window, threshold, recall)
-
-    keyed = reps.select("rep", "dim", "vec").mapInArrow(lambda b: _keys(b, passes, seed), "pass int, dim int, key long, rep long")
-    parts = max(8, math.ceil(n * passes / 200_000))
-    ordered = keyed.repartitionByRange(parts, "pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
-    ordered = ordered.select("pass", "dim", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
-    ordered = materialize(ordered, "order")
-    sizes = sorted(ordered.groupBy("part").count().collect())  # one row a partition
-    before, rows = 0, []
-    for part, size in sizes:
-        rows.append((part, before))
-        before += size
-    offset = spark.createDataFrame(rows, "part int, before long")
-    ranked = ordered.join(F.broadcast(offset), "part").select("pass", "dim", "rep", (F.col("pos") + F.col("before")).alias("rank"))
-    block = F.floor(F.col("rank") / BLOCK)
-    # The first rows of a block also close the block before it.
-    ranked = ranked.withColumn("block", F.explode(F.when(F.col("rank") % BLOCK < window, F.array(block, block - 1)).otherwise(F.array(block))))
-    met = ranked.join(reps.select("rep", "vec"), "rep").select("block", "rank", "pass", "dim", "rep", "vec")
-    edges = met.groupBy("block").applyInArrow(lambda t: _windows(t, window, threshold), "a long, b long")
-    label = materialize(connected_components(edges), "labels")
+    done, passes = 0, passes_needed(n, window, threshold, recall)
+    label = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    while not (edges := materialize(_pass_edges(reps, label, n, range(done, done + passes), window, threshold, seed), "links")).isEmpty():
+        label = materialize(connected_components(edges.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
+        done += passes
+        passes = max(passes, done)
 
     sized = label.groupBy("component").agg(F.count("*").alias("members"))
     members = label.join(sized, "component").withColumnRenamed("node", "rep").join(reps.select("rep", "copies", "dim", "vec"), "rep")

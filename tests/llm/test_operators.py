@@ -192,6 +192,28 @@ def test_vectors_are_brute_force(spark, monkeypatch):
     assert got == [(i, int(link[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
 
 
+def dense_third(n, dim, seed=4):
+    """Vectors of which a third lie at a mutual cosine of about 0.8, with pairs of cosine 0.90 to 0.92 planted among these; and the pairs."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x, m = unit(rng.standard_normal((n, dim))), n // 3
+    x[:m] = unit(np.sqrt(0.8) * unit(rng.standard_normal(dim)) + np.sqrt(0.2) * x[:m])
+    planted = np.arange(0, m // 4, 2)
+    cosine = rng.uniform(0.9, 0.92, len(planted))[:, None]
+    away = rng.standard_normal((len(planted), dim))
+    away = unit(away - (away * x[planted]).sum(1, keepdims=True) * x[planted])
+    x[planted + 1] = cosine * x[planted] + np.sqrt(1 - cosine**2) * away
+    return x, planted
+
+
+def test_vectors_of_a_dense_third_are_brute_force(spark):
+    x, _ = dense_third(1500, 128)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.link_vectors(df, window=16).collect()}
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    assert links.sum() > 100 and [got[i] for i in range(len(x))] == links.tolist()
+
+
 def test_passes_grow_with_the_vectors():
     few, many = (vectors.passes_needed(n, 128, 0.9, 0.999) for n in (10_000, 10_000_000))
     assert 5 < few < many
