@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leitmotiv.functions.written import written
+
 
 def top(pairs: DataFrame, k: int, *by: str) -> DataFrame:
     """The k best rows by (distance, a, b), overlapping or not. Without `by`, a bounded top-n in every task and one merge."""
@@ -34,3 +36,23 @@ def greedy(candidates: DataFrame, k: int, window: int, *by: str) -> DataFrame:
     )
     out = grouped.select(*by, F.posexplode(chosen).alias("_pos", "_x"))
     return out.select(*by, (F.col("_pos") + 1).alias("rank"), *[F.col(f"_x.{c}").alias(c) for c in ("a", "b", "distance", *kept)])
+
+
+def choose(candidates: DataFrame, k: int, window: int, *by: str) -> DataFrame:
+    """As greedy, over candidates of any number: one grouped minimum for each rank, past what overlaps the pairs chosen before.
+
+    The candidates are read k times, so they should be a written table.
+    """
+    kept = [c for c in candidates.columns if c not in ("distance", "a", "b", *by)]
+    item = F.struct("distance", "a", "b", *kept).alias("_x")
+    chosen = None
+    for rank in range(1, k + 1):
+        left = candidates
+        if chosen is not None:
+            taken = chosen.groupBy(*by).agg(F.collect_list(F.struct("_x.a", "_x.b")).alias("_taken"))  # at most k a group
+            left = candidates.join(F.broadcast(taken), list(by)).where(~F.exists("_taken", lambda y: overlaps(F.struct("a", "b"), y, window)))
+        best = written(left.groupBy(*by).agg(F.min(item).alias("_x")).withColumn("rank", F.lit(rank)), "chosen")
+        chosen = best if chosen is None else chosen.unionByName(best)
+        if best.isEmpty():
+            break
+    return chosen.select(*by, "rank", *[F.col(f"_x.{c}").alias(c) for c in ("a", "b", "distance", *kept)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leitmotiv.config import MotifConfig
 from leitmotiv.functions.random import bits
 from leitmotiv.functions.stop import collision_probability_col, miss_probability_col
+from leitmotiv.functions.written import written
 from leitmotiv.operators import distance as dist
 from leitmotiv.operators import exact, lsh, sax, topk
 from leitmotiv.operators import windows as win
@@ -355,13 +356,13 @@ LSH_CAND = f"{SIG}, {sql.candidate_pairs(2, W, D)}, lp as (select distinct a, b
 @query("lsh_motifs_fixed_d", sql.with_parts(LSH_CAND, sql.greedy(K_MOTIFS, W), select=f"select rank, a, b, round(distance, 6) as distance, dims from chosen where d = {D}"))
 def lsh_motifs_fixed_d(spark: SparkSession, sf: str) -> DataFrame:
     found = _lsh_measured(spark, sf, D, D)
-    return _motif_columns(topk.greedy(topk.top(found, 1000), K_MOTIFS, W), "rank")
+    return _motif_columns(topk.choose(written(found, "measured"), K_MOTIFS, W, "d"), "rank")
 
 
 @query("lsh_motifs_range_d", sql.with_parts(LSH_CAND, sql.greedy(K_MOTIFS, W), select="select d, rank, a, b, round(distance, 6) as distance, dims from chosen where d <= 4"))
 def lsh_motifs_range_d(spark: SparkSession, sf: str) -> DataFrame:
-    found = topk.top(_lsh_measured(spark, sf, 2, 4), 1000, "d")
-    return _motif_columns(topk.greedy(found, K_MOTIFS, W, "d"), "d", "rank")
+    found = written(_lsh_measured(spark, sf, 2, 4), "measured")
+    return _motif_columns(topk.choose(found, K_MOTIFS, W, "d"), "d", "rank")
 
 
 @query(

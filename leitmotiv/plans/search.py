@@ -31,7 +31,7 @@ from leitmotiv.functions.written import written
 from leitmotiv.operators import lsh, sax
 from leitmotiv.operators.distance import pack, profile_of_dims
 from leitmotiv.operators.exact import exact_motifs
-from leitmotiv.operators.topk import greedy, top
+from leitmotiv.operators.topk import choose
 from leitmotiv.operators.windows import ZERO_STD, impute_mean, jitter, orient, subsequences
 
 RESIDENT = 8_000_000
@@ -147,14 +147,18 @@ class Kernel:
                 out[k : k + step, m] = np.sqrt(np.einsum("ij,ij->i", za, za))
         return out
 
-    def search(self, rep: int, prefix: int, ds: list[int]) -> tuple[list[dict], int, float]:
-        """Of each d the KEEP best candidates of one repetition; how many distances; seconds of hashing."""
+    def search(self, rep: int, prefix: int, ds: list[int], taken: list[tuple[int, int]] = ()) -> tuple[list[dict], dict[int, tuple], int, float]:
+        """Of each d the KEEP best candidates of one repetition that don't overlap the pairs taken; for each d of which some were
+        left out, the last one kept, as (distance, a, b); how many distances; seconds of hashing."""
         began = time.perf_counter()
         mixed = self.keys(rep, prefix)
         hashed = time.perf_counter() - began
         best: dict[int, list] = {d: [] for d in ds}
-        compared = 0
+        compared, left_out = 0, set()
         for a, b in self.candidates(mixed, min(ds)):
+            for q in taken:
+                free = np.all([np.abs(x - y) >= self.cfg.window for x in (a, b) for y in q], axis=0)
+                a, b = a[free], b[free]
             if not len(a):
                 continue
             pair = np.unique(a * self.n + b)
@@ -167,22 +171,51 @@ class Kernel:
             for d in ds:
                 at = np.arange(len(a))
                 if len(at) > KEEP:
-                    at = np.argpartition(running[:, d - 1], KEEP)[:KEEP]
+                    far = running[:, d - 1]
+                    at = np.flatnonzero(far <= np.partition(far, KEEP - 1)[KEEP - 1])
+                    at = at[np.lexsort((b[at], a[at], far[at]))[:KEEP]]
+                    left_out.add(d)
                 best[d] += [(running[i, d - 1], int(a[i]), int(b[i]), order[i, :d].tolist(), ranked[i, :d].tolist()) for i in at]
-                best[d] = sorted({x[:3]: x for x in best[d]}.values())[:KEEP]
+                best[d] = sorted({x[:3]: x for x in best[d]}.values())
+                if len(best[d]) > KEEP:
+                    left_out.add(d)
+                    best[d] = best[d][:KEEP]
         rows = [{"d": d, "distance": x[0], "a": x[1], "b": x[2], "dims": x[3], "dim_dists": x[4]} for d in ds for x in best[d]]
-        return rows, compared, hashed
+        return rows, {d: best[d][-1][:3] for d in left_out}, compared, hashed
 
 
-def _choose(rows: list[dict], k: int, window: int) -> list[dict]:
-    """The k best of a bounded list that don't overlap."""
-    out: list[dict] = []
-    for r in sorted({(r["distance"], r["a"], r["b"]): r for r in rows}.items()):
-        if len(out) == k:
-            break
-        if all(abs(r[1][x] - q[y]) >= window for q in out for x in "ab" for y in "ab"):
-            out.append(r[1])
-    return out
+ALL = (math.inf, 0, 0)
+
+
+class Found:
+    """The best candidates of one d over all repetitions so far, and how far each repetition's lists reach.
+
+    A list holds a repetition's candidates that don't overlap some taken pairs, up to an end. So it also holds all up to there that don't overlap more pairs.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple, dict] = {}
+        self.ends: dict[tuple[int, int], dict[frozenset, tuple]] = {}
+
+    def add(self, run: tuple[int, int], taken: list[tuple[int, int]], rows: list[dict], end: tuple) -> None:
+        self.rows.update({(r["distance"], r["a"], r["b"]): r for r in rows})
+        self.ends.setdefault(run, {})[frozenset(taken)] = end
+
+    def choose(self, k: int, window: int) -> tuple[list[dict], list[tuple[int, int]]]:
+        """The best pairs that don't overlap, k at most, as far as the lists tell; and the repetitions to search again past these."""
+        out: list[dict] = []
+        for key, r in sorted(self.rows.items(), key=lambda x: x[0]):
+            if len(out) == k:
+                break
+            if all(abs(r[x] - q[y]) >= window for q in out for x in "ab" for y in "ab"):
+                if short := self._short(out, key):
+                    return out, short
+                out.append(r)
+        return out, [] if len(out) == k else self._short(out, ALL)
+
+    def _short(self, out: list[dict], key: tuple) -> list[tuple[int, int]]:
+        taken = {(q["a"], q["b"]) for q in out}
+        return [run for run, ends in self.ends.items() if max(end for over, end in ends.items() if over <= taken) < key]
 
 
 def _frame(spark: SparkSession, chosen: dict[int, list[dict]]) -> DataFrame:
@@ -244,36 +277,52 @@ def _resident(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
     r = cfg.r or estimate_bin_width(x, cfg.window, cfg.seed)
     projections = lsh.Projections(cfg.window, cfg.K, cfg.L, r, cfg.seed)
     shared, key = spark.sparkContext.broadcast((x, cfg, projections)), uuid.uuid4().hex
-    open_ds, rows = list(range(cfg.low, cfg.high + 1)), {d: [] for d in range(cfg.low, cfg.high + 1)}
+    open_ds, found = list(range(cfg.low, cfg.high + 1)), {d: Found() for d in range(cfg.low, cfg.high + 1)}
     compared, hashed, done = 0, 0.0, 0
-    out = "d int, distance double, a bigint, b bigint, dims array<int>, dim_dists array<double>, compared bigint, hashed double"
+    chosen: dict[int, list[dict]] = {}
+    out = "rep int, d int, distance double, a bigint, b bigint, dims array<int>, dim_dists array<double>, last boolean, compared bigint, hashed double"
     if cfg.window >= len(x):
         yield SearchResult(_frame(spark, {}), 0, 0.0, time.perf_counter() - began, 0, False)
         return
-    plan = Batches(cfg, len(x))
-    for i, reps in plan:
-        prefix, ds = cfg.K - i, list(open_ds)
 
-        def run(batches: Iterator[pa.RecordBatch], prefix=prefix, ds=ds) -> Iterator[pa.RecordBatch]:
+    def look(reps: list[int], prefix: int, ds: list[int], taken: list[tuple[int, int]] = ()) -> None:
+        """Searches the repetitions, past the pairs taken."""
+        nonlocal compared, hashed
+        past = [(int(a - origin), int(b - origin)) for a, b in taken]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _kernel(key, shared)
+            schema = pa.schema([("rep", pa.int32()), ("d", pa.int32()), ("distance", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("dims", pa.list_(pa.int32())), ("dim_dists", pa.list_(pa.float64())), ("last", pa.bool_()), ("compared", pa.int64()), ("hashed", pa.float64())])
             for b in batches:
                 for rep in b.column(0).to_pylist():
-                    found, n, seconds = own.search(rep, prefix, ds)
-                    none = {"d": None, "distance": None, "a": None, "b": None, "dims": None, "dim_dists": None}
-                    found = [f | {"compared": 0, "hashed": 0.0} for f in found] + [none | {"compared": n, "hashed": seconds}]
-                    yield pa.RecordBatch.from_pylist(found, pa.schema([("d", pa.int32()), ("distance", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("dims", pa.list_(pa.int32())), ("dim_dists", pa.list_(pa.float64())), ("compared", pa.int64()), ("hashed", pa.float64())]))
-
-        got = spark.range(reps.start, reps.stop, 1, len(reps)).mapInArrow(run, out).toArrow().to_pylist()  # KEEP rows a repetition and d
+                    rows, ends, n, seconds = own.search(rep, prefix, ds, past)
+                    none = {"d": None, "distance": None, "a": None, "b": None, "dims": None, "dim_dists": None, "last": False}
+                    rows = [f | {"rep": rep, "last": (f["distance"], f["a"], f["b"]) == ends.get(f["d"]), "compared": 0, "hashed": 0.0} for f in rows]
+                    yield pa.RecordBatch.from_pylist([*rows, none | {"rep": rep, "compared": n, "hashed": seconds}], schema)
+
+        table = spark.createDataFrame([(r,) for r in reps], "id long").repartition(len(reps))
+        got = table.mapInArrow(run, out).toArrow().to_pylist()  # KEEP rows a repetition and d
+        rows: dict[tuple[int, int], list[dict]] = {(rep, d): [] for rep in reps for d in ds}
         for g in got:
             compared, hashed = compared + g["compared"], hashed + g["hashed"]
             if g["d"] is not None:
-                rows[g["d"]].append({**g, "a": g["a"] + origin, "b": g["b"] + origin})
+                rows[g["rep"], g["d"]].append({**g, "a": g["a"] + origin, "b": g["b"] + origin})
+        for (rep, d), own in rows.items():
+            end = next(((m["distance"], m["a"], m["b"]) for m in own if m["last"]), ALL)
+            found[d].add((prefix, rep), taken, own, end)
+
+    plan = Batches(cfg, len(x))
+    for i, reps in plan:
+        look(list(reps), cfg.K - i, open_ds)
         done += len(reps)
         plan.count(done, compared)
-        chosen = {}
-        for d in rows:
-            chosen[d] = _choose(rows[d], cfg.k, cfg.window)
-            rows[d] = sorted(rows[d], key=lambda m: (m["distance"], m["a"], m["b"]))[: 50 * KEEP]
+        for d in open_ds:
+            chosen[d], again = found[d].choose(cfg.k, cfg.window)
+            while again:
+                taken = [(m["a"], m["b"]) for m in chosen[d]]
+                for prefix in sorted({p for p, _ in again}):
+                    look([rep for p, rep in again if p == prefix], prefix, [d], taken)
+                chosen[d], again = found[d].choose(cfg.k, cfg.window)
         open_ds = [d for d in open_ds if not _finished(chosen[d], cfg, r, i, reps.stop)]
         yield SearchResult(_frame(spark, chosen), compared, hashed, time.perf_counter() - began, done, not open_ds)
         if not open_ds:
@@ -323,11 +372,11 @@ def _distributed(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
         ends = pairs.select("series_id", F.col("a").alias("t")).unionByName(pairs.select("series_id", F.col("b").alias("t")))
         windows = written(lsh.windows_at(points, ends, cfg.window), "windows")
         found = profile_of_dims(lsh.pair_windows(pairs, windows), cfg.low, cfg.high)
-        now = top(found if kept is None else found.unionByName(kept), KEEP * cfg.k, "series_id", "d")
-        kept = written(now, "best")
+        found = written(found, "measured")
+        kept = found if kept is None else kept.unionByName(found)
         done += len(reps)
         plan.count(done, compared)
-        motifs = greedy(kept, cfg.k, cfg.window, "series_id", "d")
+        motifs = choose(kept, cfg.k, cfg.window, "series_id", "d")
         chosen = {}
         for m in motifs.collect():  # k rows a dimensionality
             chosen.setdefault(m["d"], []).append(m)
@@ -388,7 +437,7 @@ def find_motifs_sax(points: DataFrame, window: int, d: int, segment: int, alphab
     dims = points.agg(F.max("dim")).first()[0] + 1
     pairs = sax.promising(sax.collision_counts(sax.words(z, segment, alphabet), dims, d, window), least)
     measured = profile_of_dims(lsh.pair_windows(pairs.select("series_id", "a", "b"), pack(z)), d, d)
-    return greedy(top(measured, 1000 * k, "series_id"), k, window, "series_id").drop("d")
+    return choose(written(measured, "measured"), k, window, "series_id").drop("d")
 
 
 def find_motifs_exact(points: DataFrame, window: int, k: int, dims: tuple[int, int]) -> DataFrame:

@@ -1,10 +1,10 @@
 """Motifs over a stream of points, kept up to date batch by batch.
 
 A batch of points completes windows: those that hold one of its points and now have all their points. Only these are hashed; they meet the
-signatures of all windows so far in an equi-join, and their candidates compete with the best pairs so far. Points may come late and in any order,
+signatures of all windows so far in an equi-join, and their candidates compete with all pairs so far. Points may come late and in any order,
 as a window is complete whenever its last point comes.
 
-The store holds a folder for each batch (points, signatures, windows, best pairs). A batch that Spark repeats after a failure writes its
+The store holds a folder for each batch (points, signatures, windows, measured pairs). A batch that Spark repeats after a failure writes its
 folders anew, so each counts once.
 """
 
@@ -17,12 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 from leitmotiv.config import MotifConfig
 from leitmotiv.operators import lsh
 from leitmotiv.operators.distance import pack, profile_of_dims
-from leitmotiv.operators.topk import greedy, top
+from leitmotiv.operators.topk import choose
 from leitmotiv.operators.windows import subsequences
 from leitmotiv.sources.points import POINTS
 
-KEEP = 200
-
 
 class MotifStream:
     """cfg.r must be given. prefix: how many codes must agree (cfg.K unless given). dims: dimensions of the series."""
@@ -57,7 +55,7 @@ class MotifStream:
         self._put(z.select("series_id", "t", "dim", "z"), "z", number)
         z = self.spark.read.parquet(f"{self.store}/z/batch={number}")
         self._put(lsh.signatures(z, self.projections), "sig", number)
-        self._put(top(profile_of_dims(self._pairs(number), self.cfg.low, self.cfg.high).unionByName(self._best(number - 1)), KEEP * self.cfg.k, "series_id", "d"), "best", number)
+        self._put(profile_of_dims(self._pairs(number), self.cfg.low, self.cfg.high), "best", number)
 
     def _pairs(self, number: int) -> DataFrame:
         """Candidate pairs with a window of this batch, measured."""
@@ -73,8 +71,8 @@ class MotifStream:
         empty = self.spark.createDataFrame([], "series_id string, a bigint, b bigint, d int, distance double, dims array<int>, dim_dists array<double>")
         if number < 0:
             return empty
-        return self.spark.read.parquet(f"{self.store}/best/batch={number}").select(empty.columns)
+        return self._get("best", number).select(empty.columns)
 
     def motifs(self, number: int) -> DataFrame:
         """series_id, d, rank, a, b, distance, dims, dim_dists after a batch."""
-        return greedy(self._best(number), self.cfg.k, self.cfg.window, "series_id", "d")
+        return choose(self._best(number), self.cfg.k, self.cfg.window, "series_id", "d")

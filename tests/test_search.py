@@ -225,3 +225,15 @@ def test_occurrences_and_highlight(spark):
     (m,) = motif.collect()
     assert {m["a"], m["b"], *(r["t"] for r in found)} == {40, 180, 300}
     assert exact.highlight(points, motif, 30).count() == 2 * 2 * 30
+
+
+def test_later_motifs_of_a_smooth_series(spark):
+    """The neighbours (p + i, q + i) of the best pair fill any short list; the others come all the same, in both plans."""
+    x = planted(400, 2, 40, (20, 150))
+    t = np.arange(len(x))
+    x[:, 0], x[:, 1] = np.sin(t * 0.05) * 5 + 0.05 * x[:, 0], np.cos(t * 0.05) * 5 + 0.05 * x[:, 1]
+    points = frame(spark, x).cache()
+    cfg = MotifConfig(window=40, low=2, high=2, k=3, K=2, L=4, delta=0.01, r=32, batch=4, may_end_exact=False)
+    got = lambda resident: [(m["rank"], m["a"], m["b"]) for m in sorted(search.find_motifs(points, cfg, resident).motifs.collect(), key=lambda m: m["rank"])]
+    want = got(10)
+    assert len(want) == 3 and got(10**6) == want
