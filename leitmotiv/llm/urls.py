@@ -1,7 +1,7 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression and the literal tokens that any url it matches must contain. Each rule is filed
-under that one of its tokens which the fewest urls contain. A url's tokens fetch the rules filed under them, and
+under that one of its tokens which the fewest urls contain, or under each of its `either`. A url's tokens fetch the rules filed under them, and
 only those run their expression. Beside them stand host rules (host, path, verdict), of which the longest that
 fits wins and overrides the patterns.
 
@@ -36,11 +36,13 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """pattern: for both Java and RE2. tokens: lower-case runs of [a-z0-9], all of them in every url that matches."""
+    """pattern: for both Java and RE2. tokens: lower-case runs of [a-z0-9], all of them in every url that matches. either: tokens of which
+    every such url has one at least; they take the place of tokens in the index."""
 
     name: str
     pattern: str
     tokens: tuple[str, ...]
+    either: tuple[str, ...] = ()
 
 
 HOST_RULES = (
@@ -57,7 +59,7 @@ PATTERN_RULES = (
     PatternRule("casino", r"://([a-z0-9-]+\.)*casino-win\.", ("casino", "win")),
     PatternRule("trackers", r"://([a-z0-9-]+\.)*ads-track\.", ("ads", "track")),
     PatternRule("bets", r"://([a-z0-9-]+\.)*free-bets\.", ("free", "bets")),
-    PatternRule("archives", r"\.(zip|rar|exe)([?#]|$)", ("download",)),
+    PatternRule("archives", r"\.(zip|rar|exe)([?#]|$)", ("download",), ("zip", "rar", "exe")),  # "download" only serves oracle_sql, which asks for it still
     PatternRule("login", r"/login(\.php)?([/?#]|$)", ("login",)),
     PatternRule("cart", r"/cart([/?#]|$)", ("cart",)),
 )
@@ -97,14 +99,13 @@ def index_rules(urls: DataFrame, rules: tuple[PatternRule, ...], url_col: str =
 
     Only the rules' own tokens are counted, so what comes to the driver is as long as the rules are.
     """
-    known = sorted({t for r in rules for t in r.tokens})
-    if not known:
-        return {}
+    known = sorted({t for r in rules if not r.either for t in r.tokens})
     hits = F.array_intersect(url_tokens(F.col(url_col)), F.array(*map(F.lit, known)))
-    counts = {t: n for t, n in urls.select(F.explode(hits).alias("t")).groupBy("t").count().collect()}
+    counts = {t: n for t, n in urls.select(F.explode(hits).alias("t")).groupBy("t").count().collect()} if known else {}
     index: dict[str, list[PatternRule]] = {}
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
+        for t in r.either or (min(r.tokens, key=lambda t: (counts.get(t, 0), t)),):
+            index.setdefault(t, []).append(r)
     return index
 
 
@@ -118,7 +119,7 @@ def filter_urls(
     """keep, host, path, rule, verdict, and patterns: the names of the pattern rules that match."""
     for r in pattern_rules:
         re.compile(r.pattern)
-        if not r.tokens:
+        if not r.tokens and not r.either:
             raise ValueError(f"rule {r.name} has no literal token")
     index = index_rules(pages, pattern_rules, url_col)
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -127,10 +128,11 @@ def filter_urls(
     base = base.withColumn("_base", host_rule(F.col("host"), F.col("path"), host_rules))
     none = F.array().cast("array<string>")
     if index:
-        filed = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern")) for t, rs in sorted(index.items()) for r in rs])
+        under = lambda r: F.array(*[F.lit(t) for t, rs in sorted(index.items()) if r in rs])
+        filed = F.array(*[F.struct(under(r).alias("tokens"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern")) for r in pattern_rules])
         fetched = F.array_intersect("_tokens", F.array(*map(F.lit, sorted(index))))
         base = base.withColumn("_fetched", fetched)
-        run = F.filter(filed, lambda r: F.array_contains(F.col("_fetched"), r["token"]) & F.regexp_like(lower_ascii(F.col("_url")), r["pattern"]))
+        run = F.filter(filed, lambda r: F.arrays_overlap(F.col("_fetched"), r["tokens"]) & F.regexp_like(lower_ascii(F.col("_url")), r["pattern"]))
         matched = F.when(F.size("_fetched") > 0, F.transform(run, lambda r: r["name"])).otherwise(none)
     else:
         matched = none

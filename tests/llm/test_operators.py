@@ -121,6 +121,13 @@ def test_only_fetched_rules_run(spark):
     assert got[9] == "a" and all(got[k] == "b" for k in range(5))
 
 
+def test_archives_need_no_other_token(spark):
+    paths = ["files/setup.exe", "a.zip?x=b.exe", "a.RAR#top", "download/a.zip", "zip/a.html", "a.zip.html"]
+    df = spark.createDataFrame([(k, f"http://host.net/{p}") for k, p in enumerate(paths)], "page_id long, url string")
+    got = [(r["verdict"], r["patterns"]) for r in urls.filter_urls(df).orderBy("page_id").collect()]
+    assert got == [("block", "archives")] * 4 + [("allow", "")] * 2
+
+
 # BPE
 
 
