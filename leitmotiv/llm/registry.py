@@ -24,7 +24,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(_read(spark, sf_dir, "documents"))
+    return lm.score_documents(_read(spark, sf_dir, "documents"), order=3)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,14 @@ def test_packed_integers():
     assert (lm.unpack_sorted(lm.pack_sorted(keys)) == keys).all()
 
 
+def test_lm_query_scores_trigrams(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    orders = []
+    monkeypatch.setattr(lm, "score_documents", lambda docs, order=2: orders.append(order))
+    registry.op2_lm_score(spark, str(tmp_path))
+    assert orders == [3]
+
+
 # Urls
 
 
