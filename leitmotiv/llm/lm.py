@@ -11,9 +11,9 @@ where h' is h without its first word. So an arc for hw has the log of the second
 
 The n-grams grow with the corpus, so no one process holds them. Texts are cut into blocks. Each block lists its own distinct
 n-grams as sorted 64-bit keys with their training counts; the lists are dealt over shards by key ranges, a shard sums the
-counts over blocks and answers each list in its order, and a block builds the part of the automaton that its texts walk through and
-scores them. A frequent n-gram is one entry a block, so no shard is hot. The counts cover all training texts, nothing is pruned.
-What is shuffled is about six bytes for each distinct n-gram of a block; the blocks are written to the shared folder.
+counts over blocks and answers each list in its order, and a block builds the part of the automaton that its texts can reach and
+walks them through it. A frequent n-gram is one entry a block, so no shard is hot. The counts cover all training texts, nothing is pruned.
+What is shuffled is about five bytes for each distinct n-gram of a block; the blocks are written to the shared folder.
 
 Keys of longer n-grams have 56 bits, words have 64; equal keys of different n-grams would add their counts.
 
@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,74 +49,126 @@ def held_out(doc_id: object) -> bool:
 
 
 class BackoffAutomaton:
-    """For counts that fit in memory: states, arcs and failure arcs as dictionaries, and a walk word by word.
+    """The part of the model that a block's texts walk through: states, arcs and failure arcs as arrays.
 
-    counts: from tuples of words, all orders, to counts; n_tokens, n_types: N and V.
+    State 0 is the root. An n-gram of fewer than `order` words that training texts hold is a state; its failure arc leads to the n-gram
+    without its first word, with the weight of the backoff. An n-gram of any order that they hold is an arc from the state of its first
+    words, and leads to the longest state its words end in. The root has an arc for every word of the block, also for unknown
+    ones, so each word ends in one. Arcs of other states are found by binary search for (state, word).
     """
 
-    def __init__(self, counts: dict[tuple, int], n_tokens: int, n_types: int, order: int = 2, mass: float = 5.0) -> None:
-        self.order = order
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], positions: int, n_tokens: int, n_types: int, mass: float) -> None:
+        """grams: for each order from 1, the distinct n-grams' counts, the positions where an n-gram ends, and its number there."""
         total = n_tokens + ADD * (n_types + 1)
-        self.unknown = math.log10(ADD / total)
-        self.arcs: dict[tuple[tuple, object], float] = {}
-        self.fail: dict[tuple, float] = {}
-        p: dict[tuple, float] = {}
-        for gram in sorted(counts, key=len):
-            c = counts[gram]
-            if len(gram) == 1:
-                p[gram] = (c + ADD) / total
-            elif len(gram) <= order:
-                h = gram[:-1]
-                p[gram] = (c + mass * self._lower(p, gram[1:], counts, mass, total)) / (counts[h] + mass)
-            else:
-                continue
-            self.arcs[gram[:-1], gram[-1]] = math.log10(p[gram])
-            if len(gram) < order:
-                self.fail[gram] = math.log10(mass / (c + mass))
-
-    @staticmethod
-    def _lower(p: dict, gram: tuple, counts: dict, mass: float, total: float) -> float:
-        if gram in p:
-            return p[gram]
-        if len(gram) == 1:
-            return ADD / total
-        h = counts.get(gram[:-1], 0)
-        return mass / (h + mass) * BackoffAutomaton._lower(p, gram[1:], counts, mass, total)
-
-    def walk(self, words: Iterable) -> float:
-        state, out = (), 0.0
-        for w in words:
-            while (arc := self.arcs.get((state, w))) is None and state:
-                out += self.fail.get(state, 0.0)
-                state = state[1:]
-            out += self.unknown if arc is None else arc
-            state = (*state, w)[-(self.order - 1) :] if self.order > 1 else ()
-            while state and state not in self.fail:
-                state = state[1:]
-        return out
+        self.order = len(grams)
+        counts, _, self.words = grams[0]
+        p = (counts + ADD) / total
+        self.types, self.root_log = len(counts), np.log10(p)
+        self.known = counts > 0
+        states = np.cumsum([1, *(len(c) for c, _, _ in grams[:-1])])  # the number of each order's first state
+        self.root_to = np.where(self.known, states[0] + np.arange(len(counts)), 0) if self.order > 1 else np.zeros(len(counts), np.int64)
+        self.fail_log, self.fail_to = np.zeros(int(states[-1])), np.zeros(int(states[-1]), np.int64)
+        if self.order > 1:
+            self.fail_log[1 : states[1]] = np.log10(mass / (counts + mass))
+        number, before = self.words, counts  # the n-gram of one word less that ends at each position, and the counts of those
+        keys, logs, to = [], [], []
+        for n, (counts, at, inverse) in enumerate(grams[1:], 2):
+            end = np.zeros(len(counts), np.int64)
+            end[inverse] = at  # one place of each
+            prefix, suffix = number[end - 1], number[end]
+            p = (counts + mass * p[suffix]) / (before[prefix] + mass)
+            real = np.flatnonzero(counts > 0)
+            keys.append((states[n - 2] + prefix[real]) * self.types + self.words[end[real]])
+            logs.append(np.log10(p[real]))
+            to.append(states[n - 1] + real if n < self.order else states[n - 2] + suffix[real])
+            if n < self.order:
+                self.fail_log[states[n - 1] : states[n]] = np.log10(mass / (counts + mass))
+                self.fail_to[states[n - 1] : states[n]] = states[n - 2] + suffix
+                number = np.full(positions, -1)
+                number[at] = inverse
+                before = counts
+        order = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        self.keys, self.logs, self.to = (np.concatenate(x)[order] if x else np.zeros(0, k) for x, k in ((keys, np.int64), (logs, float), (to, np.int64)))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the weights on the way there, failure arcs included, of many walks."""
+        weight, out = self.root_log[word], self.root_to[word]  # of those that the root's arc takes in the end
+        at = np.flatnonzero(state)
+        s = state[at]
+        spent = np.zeros(len(state))
+        while len(at) and len(self.keys):
+            key = s * self.types + word[at]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[i] == key
+            weight[at[hit]], out[at[hit]] = self.logs[i[hit]], self.to[i[hit]]
+            at, s = at[~hit], s[~hit]
+            spent[at] += self.fail_log[s]
+            s = self.fail_to[s]
+            at, s = at[s > 0], s[s > 0]
+        return out, weight + spent
+
+    def walk(self, starts: np.ndarray, lane: int = 256) -> np.ndarray:
+        """The weight of each word. The stream of texts is cut into lanes that are walked side by side, each from left to right; a lane begins
+        order - 1 words early at the root, after which its state is the one that a walk from the text's start has."""
+        early, n = self.order - 1, len(self.words)
+        lanes = -(-n // lane)
+        words = np.zeros(early + lanes * lane, np.int64)
+        words[early : early + n] = self.words
+        fresh = np.zeros(len(words), bool)
+        fresh[early + starts] = True
+        out, state, first = np.empty(lanes * lane), np.zeros(lanes, np.int64), np.arange(lanes) * lane
+        for j in range(early + lane):
+            state[fresh[first + j]] = 0
+            state, weight = self.step(state, words[first + j])
+            if j >= early:
+                out[first + j - early] = weight
+        return out[:n]
+
+
+_COMPRESSED = 0x80
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, as many as the largest needs; the first byte says how many."""
+    """Unsigned integers as byte planes, as many as the largest needs, compressed if that is shorter; the first byte says how many and whether."""
     n = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
-    return bytes([n]) + planes.tobytes()
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+    short = zstandard.ZstdCompressor(level=1).compress(planes) if len(planes) > 64 else planes
+    return bytes([n | _COMPRESSED]) + short if len(short) < len(planes) else bytes([n]) + planes
 
 
 def unpack(b: bytes) -> np.ndarray:
-    n = b[0]
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(n, -1)
+    n, rest = b[0] & ~_COMPRESSED, b[1:]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(rest) if b[0] & _COMPRESSED else rest, np.uint8).reshape(n, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :n] = planes.T
     return out.view("<u8").ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    """Ascending 64-bit numbers by the Elias-Fano code: the low bits as they are, the high bits' steps in unary. About two bits a number
+    above log2(span / numbers), however short the list is."""
+    if not len(keys):
+        return b""
+    base = keys[0]
+    rest = keys - base
+    low = max(0, (int(rest[-1]) // len(keys)).bit_length() - 1)
+    bits = np.unpackbits(rest.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
+    high = (rest >> np.uint64(low)).astype(np.int64) + np.arange(len(keys))
+    unary = np.zeros(int(high[-1]) + 1, bool)
+    unary[high] = True
+    return len(keys).to_bytes(4, "little") + bytes([low]) + int(base).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes() + np.packbits(unary, bitorder="little").tobytes()
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b), dtype=np.uint64)
+    if not b:
+        return np.zeros(0, np.uint64)
+    n, low, base = int.from_bytes(b[:4], "little"), b[4], np.uint64(int.from_bytes(b[5:13], "little"))
+    raw = np.frombuffer(b, np.uint8, offset=13)
+    size = -(-n * low // 8)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, :low] = np.unpackbits(raw[:size], bitorder="little", count=n * low).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(raw[size:], bitorder="little"))[:n] - np.arange(n)
+    return base + (high.astype(np.uint64) << np.uint64(low)) + np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -191,19 +244,18 @@ def _grams(row: dict, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def _edges(shards: int) -> np.ndarray:
-    return np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
+    return np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)  # as long as the shards are many
 
 
 def _requests(row: dict, order: int, shards: int) -> Iterator[dict]:
     train = np.repeat(np.frombuffer(row["train"], np.uint8), unpack(row["lengths"]).astype(np.int64))
     for n, keys, at, inverse in _grams(row, order):
         counts = np.bincount(inverse, weights=train[at], minlength=len(keys)).astype(np.uint64)
-        cuts = [0, *np.searchsorted(keys, _edges(shards)).tolist(), len(keys)]
-        for shard in range(shards):
-            if cuts[shard] < cuts[shard + 1]:
-                s = slice(cuts[shard], cuts[shard + 1])
-                own = keys[s] >> np.uint64(8) if n > 1 else keys[s]
-                yield {"shard": shard, "block": row["block"], "n": n, "keys": pack_sorted(own), "counts": pack(counts[s])}
+        cuts = np.r_[0, np.searchsorted(keys, _edges(shards)), len(keys)]
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            s = slice(cuts[shard], cuts[shard + 1])
+            own = keys[s] >> np.uint64(8) if n > 1 else keys[s]
+            yield {"shard": shard, "block": row["block"], "n": n, "keys": pack_sorted(own), "counts": pack(counts[s])}
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -231,32 +283,18 @@ ANSWER_SCHEMA = "block long, n int, shard int, totals binary, types long"
 
 
 def _score(row: dict, answers: list[dict], order: int, mass: float, n_tokens: int, n_types: int) -> dict[str, np.ndarray]:
-    """Walks all texts of a block at once: at each position the arc, or the failure arcs and the shorter context's arc."""
+    """Builds a block's automaton and walks its texts."""
     lengths = unpack(row["lengths"]).astype(np.int64)
     starts = np.cumsum(lengths) - lengths
-    by = {}
+    by: dict[int, list] = {}
     for a in sorted(answers, key=lambda a: (a["n"], a["shard"])):
         by.setdefault(a["n"], []).append(unpack(a["totals"]))
-    total = n_tokens + ADD * (n_types + 1)
-    before = None  # the counts of the n-grams that end at each position, of one order less
-    for n, keys, at, inverse in _grams(row, order):
-        counts = np.concatenate(by[n]).astype(np.float64)[inverse] if len(keys) else np.zeros(0)
-        if n == 1:
-            c = counts
-            p = (c + ADD) / total
-            log = np.log10(p)
-            base, known = log, c > 0
-            log, before = log.copy(), c
-            continue
-        context = before[at - 1]
-        arc = np.log10((counts + mass * p[at]) / (context + mass))
-        failure = np.log10(mass / (context + mass))
-        log[at] = np.where(counts > 0, arc, failure + log[at])
-        p = np.power(10.0, log) if n < order else p
-        before = np.zeros(len(log))
-        before[at] = counts
+    grams = []
+    for n, _, at, inverse in _grams(row, order):
+        grams.append((np.concatenate(by.pop(n)).astype(np.float64) if n in by else np.zeros(0), at, inverse))
+    model = BackoffAutomaton(grams, int(lengths.sum()), n_tokens, n_types, mass)
     add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  each text has its end, so none is empty
-    return {"n_tokens": lengths, "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(log)}
+    return {"n_tokens": lengths, "n_known": add(model.known[model.words].astype(np.int64)), "base_score": add(model.root_log[model.words]), "score": add(model.walk(starts))}
 
 
 def score_documents(docs: DataFrame, order: int = 2, mass: float = 5.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -73,8 +73,19 @@ def test_license_templates():
 # Language model
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_is_the_automaton(documents, texts, order):
+def smoothed(counts, total, types, mass=5.0):
+    """p(history, word) straight from the formula."""
+
+    def p(h, w):
+        if not h:
+            return (counts[(w,)] + 0.1) / (total + 0.1 * (types + 1))
+        return (counts[(*h, w)] + mass * p(h[1:], w)) / (counts[tuple(h)] + mass)
+
+    return p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_is_the_formula(documents, texts, order):
     tokens = {i: SPACE.findall(lower(t)) + ["\n"] for i, t in texts.items()}
     counts = Counter()
     for i, w in tokens.items():
@@ -82,24 +93,51 @@ def test_lm_is_the_automaton(documents, texts, order):
             for n in range(1, order + 1):
                 counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
     total, types = sum(v for k, v in counts.items() if len(k) == 1), sum(len(k) == 1 for k in counts)
-    model = lm.BackoffAutomaton(counts, total, types, order)
+    p = smoothed(counts, total, types)
+    walk = lambda w: sum(math.log10(p(w[max(0, k - order + 1) : k], w[k])) for k in range(len(w)))
     got = {r["doc_id"]: r for r in lm.score_documents(documents.repartition(3), order=order, block_bytes=40_000).collect()}
     assert len(got) == len(tokens)
     for i, w in tokens.items():
         base = sum(math.log10((counts[(x,)] + 0.1) / (total + 0.1 * (types + 1))) for x in w)
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(counts[(x,)] > 0 for x in w), total)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], model.walk(w), rel_tol=1e-9)
-
-
-def test_lm_is_a_distribution():
-    text = "a b a c a b b a".split() + ["\n"]
-    counts = Counter((w,) for w in text) + Counter(zip(text, text[1:]))
-    types = len(set(text))
-    model = lm.BackoffAutomaton(counts, len(text), types)
-    for h in ("a", "b", "c"):
-        known = sum(10 ** (model.walk([h, w]) - model.walk([h])) for w in set(text))
-        assert math.isclose(known + 10 ** (model.walk([h, "unseen"]) - model.walk([h])), 1)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], walk(w), rel_tol=1e-9)
+
+
+def test_lm_is_a_distribution(spark):
+    """Of each word after a text's first words, the unknown one included, the probabilities sum to one."""
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10]
+    held = [k for k in range(400) if not zlib.crc32(str(k).encode()) % 10]
+    rows = [(ids[0], "a b a c a b b a")]
+    heads, words = ("a", "b", "c", "a b", "b z"), ("a", "b", "c", "unseen")
+    asked = [(h, w) for h in heads for w in words]
+    rows += [(held[k], h) for k, h in enumerate(heads)] + [(held[5 + k], f"{h} {w}") for k, (h, w) in enumerate(asked)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()}
+    counts = Counter(tuple("a b a c a b b a \n".split(" ")[k : k + n]) for n in (1, 2, 3) for k in range(10 - n))
+    p = smoothed(counts, 9, 4)
+    end = lambda t: math.log10(p(t.split()[-2:], "\n"))
+    of = {(h, w): 10 ** (got[held[5 + k]] - end(f"{h} {w}") - (got[held[heads.index(h)]] - end(h))) for k, (h, w) in enumerate(asked)}
+    for h in heads:
+        assert math.isclose(sum(of[h, w] for w in words) + p(h.split(), "\n"), 1)
+
+
+def test_lm_lanes_carry_the_state():
+    """Texts longer than a lane, and many in one, are scored as in a walk from their own starts."""
+    rng = np.random.default_rng(3)
+    words, starts = rng.integers(0, 30, 2000), np.array([0, 3, 4, 700, 1990])
+    offset = np.arange(2000) - starts[np.searchsorted(starts, np.arange(2000), "right") - 1]
+    grams, key = [], np.zeros(2000, np.int64)
+    for n in (1, 2, 3):
+        key = words if n == 1 else np.r_[0, key[:-1]] * 31 + words + 1
+        at = np.flatnonzero(offset >= n - 1)
+        _, inverse = np.unique(key[at], return_inverse=True)
+        grams.append((np.bincount(inverse, weights=at % 3 > 0), at, inverse))
+    counts = [g[0] for g in grams]
+    grams[2] = (np.minimum(counts[2], counts[2] > 0), *grams[2][1:])
+    grams[1] = (np.maximum(counts[1], 1), *grams[1][1:])  # whatever a longer one has, the shorter have too
+    model = lm.BackoffAutomaton(grams, 2000, 1500, 30, 5.0)
+    whole = model.walk(starts, 2000)
+    assert all(np.array_equal(model.walk(starts, lane), whole) for lane in (1, 2, 7, 256))
 
 
 def test_packed_integers():
