@@ -1,15 +1,16 @@
 """Line dedup: overlapping three-line windows.
 
-Every window of `lines` consecutive lines is hashed (two 64-bit hashes). A window that occurs more than once in the whole
+Every window of `lines` consecutive lines is hashed (two 64-bit hashes). So is a run of fewer lines where it says as much as a window: one of more
+than `words` words, or the whole of a text that has no more lines. A window that occurs more than once in the whole
 corpus keeps its first occurrence, by (id, text hash, position); each later one covers its lines, and the covered
 lines of a document, merged over all its windows, are removed.
 
 The texts themselves are shuffled once, to meet the covered positions; windows travel as hashes. A window's first occurrence
 is a grouped minimum, with partial sums before the shuffle, and it is joined back to the occurrences, so a
-window that a third of all documents hold does not gather in one task.
+window that a third of all documents hold does not gather in one task (the join back splits such a key by AQE's skew join).
 
-Defined results: null and empty texts, and texts of fewer lines than a window, have no window and stay as they are. A window of
-blank lines only is no window. Rows that agree in id and text count as one document, and each gets the same result;
+Defined results: null and empty texts have no window and stay as they are. A window of
+blank lines only (ASCII white space, so those of \\r\\n files too) is no window. Rows that agree in id and text count as one document, and each gets the same result;
 rows with one id and different texts are different documents. Other columns stay, but for those named as a result. A null id is one id, before all others.
 """
 
@@ -18,40 +19,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WORDS = 50
+BLANKS = " \t\r\x0b\x0c"
+WORD = r"[^ \t\r\x0B\x0C]+"
 
-def _windows(lines: int) -> Column:
-    """struct(p, h1, h2) of each window of the array column _lines; p counts from 0."""
-    parts = lambda p: [F.element_at("__ld_lines", p + k + 1) for k in range(lines)]
-    full = F.transform(
-        F.sequence(F.lit(0), F.size("__ld_lines") - lines),
-        lambda p: F.struct(
-            p.cast("int").alias("p"),
-            F.xxhash64(*parts(p)).alias("h1"),
-            F.xxhash64(F.lit("second"), *parts(p)).alias("h2"),
-            (F.trim(F.concat(*parts(p))) == "").alias("blank"),
-        ),
-    )
-    return F.when(F.size("__ld_lines") >= lines, F.filter(full, lambda w: ~w["blank"]))
+
+def _windows(lines: int, words: int) -> Column:
+    """struct(p, k, h1, h2) of each window of the array column __ld_lines: k lines from p, which counts from 0."""
+    n = F.size("__ld_lines")
+
+    def window(p: Column, k: int) -> Column:
+        parts = [F.get("__ld_lines", p + j) for j in range(k)]
+        text = F.concat_ws(" ", *parts)
+        ok = (p + k <= n) & (F.length(F.translate(text, BLANKS, "")) > 0)
+        if k < lines:  # a run of so many words has as many characters and as many gaps
+            many = (F.length(text) > 2 * words) & (F.regexp_count(text, F.lit(WORD)) > words)
+            ok = ok & (((p == 0) & (n == k)) | many)
+        return F.when(ok, F.struct(p.cast("int").alias("p"), F.lit(k).alias("k"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")))
+
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.filter(F.array(*[window(p, k) for k in range(1, lines + 1)]), lambda w: w.isNotNull()))
+    return F.flatten(each)
 
 
-def oracle_sql(lines: int = 3) -> str:
+def oracle_sql(lines: int = 3, words: int = WORDS) -> str:
     """DuckDB SQL for doc_id, n_lines, n_removed and text; windows are compared as strings, not as hashes."""
-    ahead = ", ".join(f"lead(line, {k}) over w as l{k}" for k in range(1, lines))
-    names = ", ".join(["line", *(f"l{k}" for k in range(1, lines))])
-    blank = " and ".join(f"trim({x}, ' ') = ''" for x in ["line", *(f"l{k}" for k in range(1, lines))])
+    blanks = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
     return f"""
-with split as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line,
-         generate_subscripts(string_split(text, chr(10)), 1) - 1 as p
-  from (select distinct doc_id, text from documents where text is not null)
+with texts as (
+  select doc_id, text, string_split(text, chr(10)) as l from (select distinct doc_id, text from documents where text is not null)
+), split as (
+  select doc_id, text, unnest(l) as line, generate_subscripts(l, 1) - 1 as p from texts
+), runs as (
+  select doc_id, text, p, k, len(l) as n, l[p + 1 : p + k] as w
+  from (select doc_id, text, l, generate_subscripts(l, 1) - 1 as p from texts), (select unnest(range(1, {lines + 1})) as k) where p + k <= len(l)
 ), windows as (
-  select doc_id, text, p, line, {ahead} from split window w as (partition by doc_id, text order by p)
-), full_windows as (
-  select * from windows where l{lines - 1} is not null and not ({blank})
+  select doc_id, text, p, k, w from runs
+  where trim(array_to_string(w, ' '), {blanks}) <> ''
+    and (k = {lines} or (p = 0 and k = n) or len(regexp_extract_all(array_to_string(w, ' '), '{WORD}')) > {words})
 ), ranked as (
-  select *, row_number() over (partition by {names} order by doc_id, text, p) as n from full_windows
+  select *, row_number() over (partition by w order by doc_id, text, p) as i from windows
 ), covered as (
-  select distinct doc_id, text, p + k as p from ranked, (select unnest(range({lines})) as k) where n > 1
+  select distinct doc_id, text, p + unnest(range(k)) as p from ranked where i > 1
 ), joined as (
   select s.doc_id, s.text as was, count(*) as n_lines, count(c.p) as n_removed,
          coalesce(string_agg(case when c.p is null then s.line end, chr(10) order by s.p), '') as text
@@ -63,24 +71,23 @@ from documents d left join joined j on j.doc_id = d.doc_id and j.was = d.text
 """
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = 3, words: int = WORDS) -> DataFrame:
     """The input's columns with the text's later occurrences removed, and n_lines, n_removed (long)."""
     split = docs.select(
         F.col(id_col).alias("__ld_id"),
         F.xxhash64(F.col(text_col), F.length(text_col)).alias("__ld_t"),
         F.split(F.col(text_col), "\n", -1).alias("__ld_lines"),
     )
-    windows = split.select("__ld_id", "__ld_t", F.explode(_windows(lines)).alias("w")).select("__ld_id", "__ld_t", "w.p", "w.h1", "w.h2")
+    windows = split.select("__ld_id", "__ld_t", F.explode(_windows(lines, words)).alias("w")).select("__ld_id", "__ld_t", "w.p", "w.k", "w.h1", "w.h2")
     place = F.struct("__ld_id", "__ld_t", "p")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.where(~F.col("first").eqNullSafe(F.col("last")))
     later = windows.join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = (
-        later.groupBy("__ld_id", "__ld_t", "p").count()
-        .groupBy("__ld_id", "__ld_t").agg(F.sort_array(F.collect_list("p")).alias("__ld_starts"))
+        later.groupBy("__ld_id", "__ld_t", "p").agg(F.max("k").alias("k"))
+        .groupBy("__ld_id", "__ld_t").agg(F.collect_list(F.struct("p", "k")).alias("__ld_starts"))
     )
-    # A line is covered if a covering window starts at it or at one of the lines - 1 lines before it.
-    cut = F.array_distinct(F.flatten(F.transform("__ld_starts", lambda s: F.sequence(s, s + lines - 1))))
+    cut = F.array_distinct(F.flatten(F.transform("__ld_starts", lambda s: F.sequence(s["p"], s["p"] + s["k"] - 1))))
     covered = covered.select(F.col("__ld_id").alias("__ld_cid"), F.col("__ld_t").alias("__ld_ct"), F.sort_array(cut).alias("__ld_cut"))
     own = docs.withColumn("__ld_t", F.xxhash64(F.col(text_col), F.length(text_col)))
     met = own.join(covered, own[id_col].eqNullSafe(F.col("__ld_cid")) & (F.col("__ld_t") == F.col("__ld_ct")), "left")

@@ -281,21 +281,37 @@ def test_components(spark):
 # Lines
 
 
-def test_linedup_is_brute_force(spark):
-    rng = random.Random(3)
-    docs = [(i, "\n".join(rng.choice("abcd ") for _ in range(rng.randint(0, 12)))) for i in range(60)]
-    got = {r["doc_id"]: r for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    seen = set()
+def without_repeats(docs, words=50):
+    """The lines that line dedup leaves of each text, by hand; docs: (id, text) in order."""
+    seen, out = set(), {}
     for i, t in docs:
         lines, cut = t.split("\n"), set()
-        for p in range(len(lines) - 2):
-            w = tuple(lines[p : p + 3])
-            if "".join(w).strip(" ") == "":
-                continue
-            if w in seen:
-                cut |= {p, p + 1, p + 2}
-            seen.add(w)
-        assert (got[i]["n_removed"], got[i]["text"]) == (len(cut), "\n".join(x for p, x in enumerate(lines) if p not in cut))
+        for p in range(len(lines)):
+            for k in (1, 2, 3):
+                w = tuple(lines[p : p + k])
+                said = len(re.findall(r"[^ \t\r\x0b\x0c]+", " ".join(w)))
+                if len(w) < k or not said or not (k == 3 or (p == 0 and k == len(lines)) or said > words):
+                    continue
+                if w in seen:
+                    cut |= set(range(p, p + k))
+                seen.add(w)
+        out[i] = [x for p, x in enumerate(lines) if p not in cut], len(cut)
+    return out
+
+
+def test_linedup_is_brute_force(spark):
+    rng = random.Random(3)
+    docs = [(i, "\n".join(rng.choice([*"abcd ", "\r", "x y z q", "r s t"]) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    got = {r["doc_id"]: r for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), words=4).collect()}
+    for i, (lines, removed) in without_repeats(docs, 4).items():
+        assert (got[i]["n_removed"], got[i]["text"]) == (removed, "\n".join(lines))
+
+
+def test_linedup_of_long_and_short_passages(spark):
+    long, other = (" ".join(f"{c}{k}" for k in range(51)) for c in "uv")
+    docs = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, "one line"), (4, "one line"), (5, f"e\n{other[:90]}\nf"), (6, f"g\n{other[:90]}\nh"), (7, "c\r\n\r\n\r\n\r\nd")]
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs) | {2: "c\nd", 4: ""}
 
 
 # Shingles
@@ -339,6 +355,27 @@ def test_shingles_are_brute_force(spark, monkeypatch, size, percent):
     assert got == [(i, len(s), label[i]) for i, s in enumerate(sets)]
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    """Texts of 1 and 3 differ, but 2 has both."""
+    a, b = "a b c d e f g", "t u v w x y z"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, "other words than these")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingles.link_documents(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_near_copies_that_line_dedup_cuts(spark, tmp_path):
+    """Two documents of 20 lines that differ in one word: the second loses most lines, and then goes as a copy all the same."""
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(8))
+    texts = ["\n".join(line(k) for k in range(20)), "\n".join(line(k) if k != 9 else line(k).replace("x3", "other") for k in range(20)), "\n".join(line(k) for k in range(50, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(2, texts[2], "en", "s", len(texts[2]))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    cut = common.materialize(corpus_pipeline.drop_repeated_lines(spark, docs.limit(4), str(tmp_path)), "cut")
+    assert {r["doc_id"] for r in cut.collect()} == {0, 1, 2}
+    left = corpus_pipeline.drop_near_duplicates(spark, cut, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"] == texts[r["doc_id"]]) for r in left) == [(0, True), (2, True)]
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(5)
     points = rng.poisson(3, (200, 16))
@@ -410,20 +447,12 @@ def test_pipeline_is_its_stages_by_brute_force(spark, sf, texts, library):
     """Each stage's rule on what the stage before kept, in plain Python; the classifier is taken as it is."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     now = {r["doc_id"]: r["text"] for r in corpus_pipeline.keep_quality(spark, docs, sf).collect()}
-    seen, kept = set(), {}
-    for i, t in sorted(now.items()):
-        lines, cut = t.split("\n"), set()
-        for p in range(len(lines) - 2):
-            w = tuple(lines[p : p + 3])
-            if "".join(w).strip(" "):
-                cut |= {p, p + 1, p + 2} if w in seen else set()
-                seen.add(w)
-        if not cut or len(cut) < len(lines):
-            kept[i] = "\n".join(x for p, x in enumerate(lines) if p not in cut)
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := SPACE.findall(lower(t))) else set() for i, t in kept.items()}
-    label = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in sets if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    for _ in range(len(sets)):
+    kept = {i: "\n".join(lines) for i, (lines, removed) in without_repeats(sorted(now.items())).items() if lines or not removed}
+    cut, whole = ({i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := SPACE.findall(lower(by[i]))) else set() for i in kept} for by in (kept, now))
+    label = {i: i for i in kept}
+    near = lambda x, y: x and 100 * len(x & y) >= 80 * len(x | y)
+    links = [(a, b) for a in kept for b in kept if b < a and any(near(x[a], y[b]) for x in (cut, whole) for y in (cut, whole))]
+    for _ in range(len(kept)):
         before = dict(label)
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
