@@ -5,20 +5,24 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder, as in tests on one machine.
+#: Used where the session names no shared folder and its executors are this machine's.
 LOCAL_WORKSPACE = "/tmp/checkpoints"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORKSPACE).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or with a local master a local one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or LOCAL_WORKSPACE).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -49,6 +53,18 @@ def _discard_all() -> None:
             return
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside; then the session's own setting is back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to columns named as in schema."""
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.llm.common import connected_components, materialize, utf8
+from leitmotiv.llm.common import batches_of, connected_components, materialize, utf8
 
 #: Documents whose hashes are counted to order them, a bound for any corpus; and in how many of them a hash must be to come last.
 ORDER_SAMPLE = 30_000
@@ -292,7 +292,12 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
     if not 50 <= percent <= 100:
         raise ValueError("percent: 50 to 100")
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    with batches_of(spark, 2000):  # all Python steps run before this returns
+        return _link(docs, size, percent, groups, id_col, text_col)
+
+
+def _link(docs: DataFrame, size: int, percent: int, groups: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = spark.sparkContext.broadcast(_common(base, size))  # MOST_COMMON at most
     sketch = materialize(base.mapInArrow(lambda b: _sketches(b, size, percent, groups, common.value), SKETCH), "sketches")
@@ -321,7 +326,11 @@ def link_documents(docs: DataFrame, size: int = 3, percent: int = 90, groups: in
 
     sized = pairs.join(side("a"), "a").where(F.col("n_a") > 0).join(side("b"), "b").where("100 * least(n_a, n_b) >= " + f"{percent} * greatest(n_a, n_b)")
     bounded = sized.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(lambda b: _bounded(b, percent, groups), "a long, b long")
-    links = materialize(verify(materialize(ordered(materialize(bounded, "bounded")), "pairs")), "links")
+    links = verify(materialize(ordered(materialize(bounded, "bounded")), "pairs"))
+    # Rows of one id with different texts are members of several classes, which that links.
+    several = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last")
+    links = links.unionByName(members.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    links = materialize(links, "links")
     label = materialize(connected_components(links), "labels")
 
     marked = reps.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
