@@ -29,10 +29,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group whose five-word shingle sets link at a Jaccard similarity of 0.8, the document with the smallest id."""
-    linked = shingles.link_documents(docs, size=5, percent=80)
+    """Of each group whose five-word shingle sets link at a Jaccard similarity of 0.8, the document with the smallest id; one row of those that
+    repeat id and text.
+
+    Line dedup leaves only scraps of a near copy. So a document counts with its text as it is in docs and, where that was cut, also as in the table of
+    documents; what links either links it.
+    """
+    whole = _table(spark, sf_dir, "documents").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    now = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h")).distinct()
+    cut = whole.join(now, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    linked = shingles.link_documents(docs.select("doc_id", "text").unionByName(cut), size=5, percent=80)
     gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
