@@ -20,25 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 50
-BLANKS = " \t\r\x0b\x0c"
 WORD = r"[^ \t\r\x0B\x0C]+"
 
 
 def _windows(lines: int, words: int) -> Column:
-    """struct(p, k, h1, h2) of each window of the array column __ld_lines: k lines from p, which counts from 0."""
+    """struct(p, k, h1, h2) of each window, k lines from p, which counts from 0; of __ld_lines and __ld_counts, the words of each line."""
     n = F.size("__ld_lines")
 
-    def window(p: Column, k: int) -> Column:
-        parts = [F.get("__ld_lines", p + j) for j in range(k)]
-        text = F.concat_ws(" ", *parts)
-        ok = (p + k <= n) & (F.length(F.translate(text, BLANKS, "")) > 0)
-        if k < lines:  # a run of so many words has as many characters and as many gaps
-            many = (F.length(text) > 2 * words) & (F.regexp_count(text, F.lit(WORD)) > words)
-            ok = ok & (((p == 0) & (n == k)) | many)
-        return F.when(ok, F.struct(p.cast("int").alias("p"), F.lit(k).alias("k"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")))
+    def runs(k: int) -> Column:
+        said = lambda p: sum((F.get("__ld_counts", p + j) for j in range(1, k)), F.get("__ld_counts", p))
+        ok = lambda p: (said(p) > words) | ((n == k) & (said(p) > 0)) if k < lines else said(p) > 0
+        parts = lambda p: [F.get("__ld_lines", p + j) for j in range(k)]
+        window = lambda p: F.struct(p.cast("int").alias("p"), F.lit(k).alias("k"), F.xxhash64(*parts(p)).alias("h1"), F.xxhash64(F.lit("second"), *parts(p)).alias("h2"))
+        return F.when(n >= k, F.transform(F.filter(F.sequence(F.lit(0), n - k), ok), window))
 
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.filter(F.array(*[window(p, k) for k in range(1, lines + 1)]), lambda w: w.isNotNull()))
-    return F.flatten(each)
+    return F.flatten(F.array_compact(F.array(*map(runs, range(1, lines + 1)))))
 
 
 def oracle_sql(lines: int = 3, words: int = WORDS) -> str:
@@ -77,7 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("__ld_id"),
         F.xxhash64(F.col(text_col), F.length(text_col)).alias("__ld_t"),
         F.split(F.col(text_col), "\n", -1).alias("__ld_lines"),
-    )
+    ).withColumn("__ld_counts", F.transform("__ld_lines", lambda x: F.regexp_count(x, F.lit(WORD))))
     windows = split.select("__ld_id", "__ld_t", F.explode(_windows(lines, words)).alias("w")).select("__ld_id", "__ld_t", "w.p", "w.k", "w.h1", "w.h2")
     place = F.struct("__ld_id", "__ld_t", "p")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
