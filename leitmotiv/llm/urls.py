@@ -1,12 +1,14 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression and the literal tokens that any url it matches must contain. Each rule is filed
-under that one of its tokens which the fewest urls contain, or under each of its `either`. A url's tokens fetch the rules filed under them, and
+under that one of its tokens which the fewest urls contain, or under each of its `either`. The index is a hash table: an array of slots, each
+with the rules filed under the tokens that hash there. A url's tokens fetch the rules from their slots, and
 only those run their expression. Beside them stand host rules (host, path, verdict), of which the longest that
 fits wins and overrides the patterns.
 
 Everything is a DataFrame expression within one pass over the urls: no join and no shuffle, whatever host has the most
-rows. The one job before it counts the rules' own literal tokens (its result is as long as the rule list).
+rows. The index is one constant of the plan, as long as the rule list, whose length the caller sets. The one job before it counts the rules' own
+literal tokens, joined to a broadcast of these (its result is as long as the rule list).
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is allowed. Repeated
 rows and repeated ids each get their own row. Other columns of the input are left out, unless named in keep.
@@ -14,10 +16,11 @@ rows and repeated ids each get their own row. Other columns of the input are lef
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,7 +62,8 @@ PATTERN_RULES = (
     PatternRule("casino", r"://([a-z0-9-]+\.)*casino-win\.", ("casino", "win")),
     PatternRule("trackers", r"://([a-z0-9-]+\.)*ads-track\.", ("ads", "track")),
     PatternRule("bets", r"://([a-z0-9-]+\.)*free-bets\.", ("free", "bets")),
-    PatternRule("archives", r"\.(zip|rar|exe)([?#]|$)", ("download",), ("zip", "rar", "exe")),  # "download" only serves oracle_sql, which asks for it still
+    PatternRule("adult", r"://([a-z0-9-]+\.)*adult-x\.", ("adult", "x")),
+    PatternRule("archives", r"\.(zip|rar|exe)([?#]|$)", (), ("zip", "rar", "exe")),
     PatternRule("login", r"/login(\.php)?([/?#]|$)", ("login",)),
     PatternRule("cart", r"/cart([/?#]|$)", ("cart",)),
 )
@@ -100,8 +104,11 @@ def index_rules(urls: DataFrame, rules: tuple[PatternRule, ...], url_col: str =
     Only the rules' own tokens are counted, so what comes to the driver is as long as the rules are.
     """
     known = sorted({t for r in rules if not r.either for t in r.tokens})
-    hits = F.array_intersect(url_tokens(F.col(url_col)), F.array(*map(F.lit, known)))
-    counts = {t: n for t, n in urls.select(F.explode(hits).alias("t")).groupBy("t").count().collect()} if known else {}
+    counts: dict[str, int] = {}
+    if known:
+        own = urls.sparkSession.createDataFrame([(t,) for t in known], "t string")
+        held = urls.select(F.explode(url_tokens(F.col(url_col))).alias("t")).join(F.broadcast(own), "t")
+        counts = {t: n for t, n in held.groupBy("t").count().collect()}
     index: dict[str, list[PatternRule]] = {}
     for r in rules:
         for t in r.either or (min(r.tokens, key=lambda t: (counts.get(t, 0), t)),):
@@ -109,6 +116,20 @@ def index_rules(urls: DataFrame, rules: tuple[PatternRule, ...], url_col: str =
     return index
 
 
+def slot_table(spark: SparkSession, index: dict[str, list[PatternRule]]) -> tuple[Column, int]:
+    """The index as a constant array of slots, each an array of (token, name, pattern); and how many slots there are."""
+    slots = 1 << max(0, (2 * len(index) - 1).bit_length())
+    placed: list[list[dict]] = [[] for _ in range(slots)]
+    tokens = spark.createDataFrame([(t,) for t in index], "t string")
+    for t, k in tokens.select("t", slot_of(F.col("t"), slots)).collect():  # the rules' tokens
+        placed[k] += [{"token": t, "name": r.name, "pattern": r.pattern} for r in index[t]]
+    return F.from_json(F.lit(json.dumps(placed)), "array<array<struct<token:string,name:string,pattern:string>>>"), slots
+
+
+def slot_of(token: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+
+
 def filter_urls(
     pages: DataFrame,
     host_rules: tuple[HostRule, ...] = HOST_RULES,
@@ -126,28 +147,25 @@ def filter_urls(
     host, path = split_url(url)
     base = pages.select(*keep, url.alias("_url"), host.alias("host"), path.alias("path"), url_tokens(url).alias("_tokens"))
     base = base.withColumn("_base", host_rule(F.col("host"), F.col("path"), host_rules))
-    none = F.array().cast("array<string>")
+    matched = F.array().cast("array<string>")
     if index:
-        under = lambda r: F.array(*[F.lit(t) for t, rs in sorted(index.items()) if r in rs])
-        filed = F.array(*[F.struct(under(r).alias("tokens"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern")) for r in pattern_rules])
-        fetched = F.array_intersect("_tokens", F.array(*map(F.lit, sorted(index))))
-        base = base.withColumn("_fetched", fetched)
-        run = F.filter(filed, lambda r: F.arrays_overlap(F.col("_fetched"), r["tokens"]) & F.regexp_like(lower_ascii(F.col("_url")), r["pattern"]))
-        matched = F.when(F.size("_fetched") > 0, F.transform(run, lambda r: r["name"])).otherwise(none)
-    else:
-        matched = none
-    base = base.withColumn("patterns", F.array_sort(matched))
+        table, slots = slot_table(pages.sparkSession, index)
+        fetched = F.flatten(F.transform("_tokens", lambda t: F.filter(F.get(table, slot_of(t, slots)), lambda r: r["token"] == t)))
+        base = base.withColumn("_fetched", fetched).withColumn("_lower", F.when(F.size("_fetched") > 0, lower_ascii(F.col("_url"))))
+        hits = F.filter("_fetched", lambda r: F.regexp_like(F.col("_lower"), r["pattern"]))
+        matched = F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["name"])))
+    base = base.withColumn("patterns", matched)
     own = F.when(F.size("patterns") > 0, "block").otherwise("allow")
     return base.select(*keep, "host", "path", F.col("_base.rule").alias("rule"), F.coalesce(F.col("_base.verdict"), own).alias("verdict"), F.array_join("patterns", ",").alias("patterns"))
 
 
 def oracle_sql(host_rules: tuple[HostRule, ...] = HOST_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES) -> str:
-    """The same for DuckDB, every pattern run on every url that has all its tokens."""
+    """The same for DuckDB, every pattern run on every url, without any index."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     fits = sorted(host_rules, key=lambda r: (-len(r.name), r.name))
     case = lambda f: "case " + " ".join(f"when (host = {q(r.host)} or ends_with(host, {q('.' + r.host)})) and starts_with(path, {q(r.path)}) then {q(f(r))}" for r in fits) + " end"
     lower = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
-    hit = lambda r: f"case when list_has_all(regexp_extract_all({lower}, '[a-z0-9]+'), [{', '.join(map(q, r.tokens))}]) and regexp_matches({lower}, {q(r.pattern)}) then {q(r.name)} end"
+    hit = lambda r: f"case when regexp_matches({lower}, {q(r.pattern)}) then {q(r.name)} end"
     hits = ", ".join(hit(r) for r in pattern_rules)
     return f"""
 with cut as (

@@ -167,6 +167,29 @@ def test_only_fetched_rules_run(spark):
     assert got[9] == "a" and all(got[k] == "b" for k in range(5))
 
 
+def test_ten_thousand_rules(spark):
+    """Each url fetches the few rules under its tokens; the plan holds the index as one constant."""
+    rules = tuple(urls.PatternRule(f"r{k}", rf"/t{k}[./]", (f"t{k}", "page")[: 1 + k % 2]) for k in range(10_000))
+    df = spark.createDataFrame([(k, f"http://h.com/page/t{k * 7}/x") for k in range(2000)], "page_id long, url string")
+    out = urls.filter_urls(df, pattern_rules=rules)
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().expressions().head().toString()
+    assert {r["page_id"]: r["patterns"] for r in out.collect()} == {k: f"r{k * 7}" if k * 7 < 10_000 else "" for k in range(2000)}
+
+
+@pytest.mark.parametrize("rule", urls.PATTERN_RULES, ids=lambda r: r.name)
+def test_rules_imply_their_tokens(rule):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.from_regex(re.compile("http://" + rule.pattern.removeprefix("://") if rule.pattern.startswith("://") else "http://host/x" + rule.pattern)))
+    def check(url):
+        tokens = set(re.findall("[a-z0-9]+", lower(url)))
+        assert set(rule.tokens) <= tokens and (not rule.either or tokens & set(rule.either))
+
+    check()
+
+
 def test_archives_need_no_other_token(spark):
     paths = ["files/setup.exe", "a.zip?x=b.exe", "a.RAR#top", "download/a.zip", "zip/a.html", "a.zip.html"]
     df = spark.createDataFrame([(k, f"http://host.net/{p}") for k, p in enumerate(paths)], "page_id long, url string")
