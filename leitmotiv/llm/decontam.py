@@ -6,22 +6,26 @@ edit distance becomes Hamming distance. Each of R repetitions has its own walk a
 all equal an item's is a candidate, and an exact edit distance decides. R is what simulated edits of the items at the largest
 allowed distance need for the wanted recall.
 
-Windows are as long as the item. Those without an untouched piece can't be within its distance: an item with e allowed edits is cut into e + 1
+Items longer than SEGMENT words are embedded in segments, each with its share of the allowed edits, rounded down: a match of the whole has one segment
+within its share, so nothing is lost, and cost grows in proportion to the item's length.
+
+Windows are as long as the segment. Those without an untouched piece can't be within its distance: an item with e allowed edits is cut into e + 1
 pieces, one of which any match holds unchanged, at most e words from its place. So only windows at such places are
 embedded, which loses nothing, and a text without any piece costs one lookup a word.
 
-Items go to the executors in blocks of BLOCK_CHARS characters at most, each block against all documents, so neither side's size is bounded by
-a machine. Documents are read in one pass for each block; nothing is shuffled.
+Items go to the executors in blocks of about BLOCK_CHARS characters, each block against all documents; the driver gathers and indexes one block at a time. Documents are
+read in one pass for each block; nothing is shuffled.
 
 Words are lower-cased (A-Z) runs of letters, digits and characters past ASCII. The default distance is a fifth of the item's words.
 
-Defined results: items without words match nothing; a null or empty text leaks nothing. Equal items each match. Rows that repeat an id each
+Defined results: items of fewer than `least` words (4) match nothing, as any text may have these; a null or empty text leaks nothing. Equal items each match. Rows that repeat an id each
 give their own pairs. A text of any length is searched as a whole.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,6 +40,9 @@ from leitmotiv.llm.licenses import WORD
 
 BLOCK_CHARS = 8_000_000
 SAMPLED = 2
+SEGMENT = 192
+LEAST = 4
+MOST_REPETITIONS = 96
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -59,34 +66,40 @@ def extend(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def edit_distance_in(item: list[int], area: list[int]) -> tuple[int, int]:
-    """The least edit distance of item to any run of area, and where the first such run starts."""
-    row = [(0, k) for k in range(len(area) + 1)]
+def edit_distance_in(item: np.ndarray, area: np.ndarray) -> tuple[int, int]:
+    """The least edit distance of item to any run of area, and the first place where such a run starts.
+
+    Both are read backwards, so that the last row has the least distance of the runs that start at each place."""
+    item, area = np.asarray(item, np.uint64)[::-1], np.asarray(area, np.uint64)[::-1]
+    ramp = np.arange(len(area) + 1)
+    row = np.zeros(len(area) + 1, np.int64)
     for i, x in enumerate(item, 1):
-        new = [(i, row[0][1])]
-        for k, y in enumerate(area):
-            d, s = row[k]
-            best = (d + (x != y), s)
-            if (up := row[k + 1])[0] + 1 < best[0]:
-                best = (up[0] + 1, up[1])
-            if (left := new[k])[0] + 1 < best[0]:
-                best = (left[0] + 1, left[1])
-            new.append(best)
-        row = new
-    return min(row)
+        new = row + 1
+        new[0] = i
+        new[1:] = np.minimum(new[1:], row[:-1] + (area != x))
+        row = np.minimum.accumulate(new - ramp) + ramp
+    at = len(area) - np.flatnonzero(row == row.min())[-1]
+    return int(row.min()), int(at)
 
 
 class LeakIndex:
     """items: (id, text); share: allowed edits as a share of the item's words; recall: of matches at that distance."""
 
-    def __init__(self, items: list[tuple], share: float = 0.2, recall: float = 0.99, seed: int = 5, repetitions: int | None = None) -> None:
+    def __init__(self, items: list[tuple], share: float = 0.2, recall: float = 0.99, seed: int = 5, repetitions: int | None = None, least: int = LEAST, segment: int = SEGMENT) -> None:
         coded = list(word_symbols([(t or "").encode() for _, t in items]))
-        self.ids = [i for (i, _), w in zip(items, coded) if len(w)]
-        self.words = [w for w in coded if len(w)]
+        self.ids = [i for (i, _), w in zip(items, coded) if len(w) >= max(1, least)]
+        self.words = [w for w in coded if len(w) >= max(1, least)]
         self.edits = [int(len(w) * share + 1e-9) for w in self.words]
         self.rng = np.random.default_rng(seed)
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: Of each segment: its item, where it starts there, its words, its allowed edits.
+        self.segments: list[tuple[int, int, np.ndarray, int]] = []
         for k, (w, e) in enumerate(zip(self.words, self.edits)):
+            n = -(-len(w) // segment)
+            for x in range(n):
+                a, b = x * len(w) // n, (x + 1) * len(w) // n
+                self.segments.append((k, a, w[a:b], e * (b - a) // len(w)))
+        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for k, (_, _, w, e) in enumerate(self.segments):
             for x in range(e + 1):
                 a, b = x * len(w) // (e + 1), (x + 1) * len(w) // (e + 1)
                 g = w[a : a + 1]
@@ -99,13 +112,17 @@ class LeakIndex:
             bits = np.zeros(1 << 20, bool)
             bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.pieces[q] = (keys, bits, [by[int(x)] for x in keys])
-        self.repetitions = repetitions or (self._calibrate(recall) if self.words else 1)
-        self.walks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.chosen = {k: self._choose(len(w)) for k, w in enumerate(self.words)}
+        self.repetitions = repetitions or (self._calibrate(recall) if self.segments else 1)
+        #: Of each segment: the sampled steps of each repetition, in order, and the words written there.
+        self.sampled = [self._sampled(w, self._choose(len(w))) for _, _, w, _ in self.segments]
 
     def _choose(self, length: int) -> np.ndarray:
         """For each repetition, the sampled steps, of the first L."""
-        return np.sort(np.stack([self.rng.choice(length, min(SAMPLED, length), replace=False) for _ in range(self.repetitions)]), axis=1)
+        steps = np.sort(np.stack([self.rng.choice(length, min(SAMPLED, length), replace=False) for _ in range(self.repetitions)]), axis=1)
+        return steps if length >= SAMPLED else np.repeat(steps, SAMPLED, axis=1)
+
+    def _sampled(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return at.astype(np.int32), np.take_along_axis(self.walk(words, self.repetitions, int(at.max()) + 1), at, 1)
 
     def _step(self, symbol: np.ndarray, j: int, r: np.ndarray) -> np.ndarray:
         return (((symbol ^ (r.astype(np.uint64) * C2 + np.uint64(j * int(C1) & 0xFFFFFFFFFFFFFFFF))) * C3) >> np.uint64(63)).astype(np.int64)
@@ -121,33 +138,25 @@ class LeakIndex:
         return out
 
     def _calibrate(self, recall: float, trials: int = 300) -> int:
-        """Repetitions that find `recall` of simulated items with the most allowed edits."""
-        self.repetitions, hits = 96, []
+        """Repetitions that find `recall` of simulated segments with the most allowed edits; warns where MOST_REPETITIONS don't."""
+        self.repetitions, hits = MOST_REPETITIONS, []
         for t in range(trials):
-            k = int(self.rng.integers(len(self.words)))
-            w, e = self.words[k], self.edits[k]
+            _, _, w, e = self.segments[int(self.rng.integers(len(self.segments)))]
             s = w.tolist()
             for _ in range(e):
                 at, kind = int(self.rng.integers(len(s))) if s else 0, int(self.rng.integers(3))
                 new = int(self.rng.integers(1, 1 << 63))
                 s[at : at + (kind != 1)] = [new] if kind != 2 else []
-            steps = len(w)
-            a, b = self.walk(w, self.repetitions, steps), self.walk(np.array(s, np.uint64), self.repetitions, steps)
             at = self._choose(len(w))
+            a, b = self.walk(w, self.repetitions, len(w)), self.walk(np.array(s, np.uint64), self.repetitions, len(w))
             same = np.take_along_axis(a, at, 1) == np.take_along_axis(b, at, 1)
             hits.append(same.all(1))
-        first = np.where(np.any(hits, 1), np.argmax(hits, 1) + 1, self.repetitions)
+        met = np.any(hits, 1)
+        if met.mean() < recall:
+            warnings.warn(f"{MOST_REPETITIONS} repetitions find {met.mean():.3f} of simulated edits, not {recall}", stacklevel=3)
+        first = np.where(met, np.argmax(hits, 1) + 1, self.repetitions)
         return int(max(4, np.quantile(first, recall, method="higher")))
 
-    def _walks(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self.walks:
-            steps = len(self.words[k])
-            written = self.walk(self.words[k], self.repetitions, steps)
-            sampled = np.zeros((self.repetitions, steps), bool)
-            np.put_along_axis(sampled, self.chosen[k], True, 1)
-            self.walks[k] = written, sampled
-        return self.walks[k]
-
     def _anchors(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, where the item would start) for each piece in a run of symbols."""
         if not self.pieces or not len(h):
@@ -167,40 +176,44 @@ class LeakIndex:
                             yield k, int(p) - offset
 
     def candidates(self, h: np.ndarray, stops: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, start) of windows that collide in a repetition. h: all documents' symbols, each followed by one 0; stops: where those are."""
-        windows = set()
-        for k, start in self._anchors(h):
-            windows.update((k, s) for s in range(start - self.edits[k], start + self.edits[k] + 1))
-        if not windows:
+        """(document, segment, start) of windows that collide in a repetition. h: all documents' symbols, each followed by one 0; stops: where those are."""
+        found = np.array(list(self._anchors(h)), np.int64).reshape(-1, 2)
+        if not len(found):
             return []
-        item, start = np.array(sorted(windows), np.int64).T
+        found = np.unique(found, axis=0)
+        edits = np.array([e for _, _, _, e in self.segments])[found[:, 0]]
+        reach = 2 * edits + 1
+        offset = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach) - np.repeat(edits, reach)
+        item, start = np.unique(np.stack([np.repeat(found[:, 0], reach), np.repeat(found[:, 1], reach) + offset], 1), axis=0).T
         inside = (start >= 0) & (start < len(h))
         item, start = item[inside], start[inside]
         doc = np.searchsorted(stops, start)
         present, local = np.unique(item, return_inverse=True)
-        lengths = np.array([len(self.words[k]) for k in present])
-        steps, reps = int(lengths.max()), self.repetitions
-        written, sampled = np.zeros((len(present), reps, steps), np.uint64), np.zeros((len(present), reps, steps), bool)
-        for x, k in enumerate(present.tolist()):
-            a, b = self._walks(k)
-            written[x, :, : a.shape[1]], sampled[x, :, : b.shape[1]] = a, b
+        lengths = np.array([len(self.segments[k][2]) for k in present])
+        step, want = (np.stack([self.sampled[k][x] for k in present]) for x in (0, 1))  # segments x repetitions x SAMPLED
+        reps = self.repetitions
         stop = np.minimum(stops[doc], start + lengths[local])
         hit: set[int] = set()
-        chunk = max(1, 2_000_000 // reps)
+        chunk = max(1, 1_000_000 // reps)
         for c in range(0, len(start), chunk):
             n = min(chunk, len(start) - c)
             w, r = np.repeat(np.arange(c, c + n), reps), np.tile(np.arange(reps), n)
             at, end, x = start[w], stop[w], local[w]
-            for j in range(steps):
+            last = step[x, r, SAMPLED - 1]
+            for j in range(int(last.max()) + 1):
                 symbol = np.where(at < end, h[np.minimum(at, len(h) - 1)], np.uint64(0))
-                bad = sampled[x, r, j] & (symbol != written[x, r, j])
                 at = at + self._step(symbol, j, r)
-                if bad.any():
-                    ok = ~bad
-                    w, r, at, end, x = w[ok], r[ok], at[ok], end[ok], x[ok]
+                bad = np.zeros(len(w), bool)
+                for y in range(SAMPLED):
+                    bad |= (step[x, r, y] == j) & (symbol != want[x, r, y])
+                done = ~bad & (last == j)
+                if done.any():
+                    hit.update(np.unique(w[done]).tolist())
+                if bad.any() or done.any():
+                    ok = ~bad & ~done
+                    w, r, at, end, x, last = w[ok], r[ok], at[ok], end[ok], x[ok], last[ok]
                     if not len(w):
                         break
-            hit.update(np.unique(w).tolist())
         return sorted((int(doc[w]), int(item[w]), int(start[w])) for w in hit)
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
@@ -209,19 +222,22 @@ class LeakIndex:
         stops = np.cumsum([len(c) + 1 for c in coded]) - 1
         zero = np.zeros(1, np.uint64)
         h = np.concatenate([x for c in coded for x in (c, zero)]) if coded else zero
-        groups: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for d, k, s in self.candidates(h, stops):
-            groups[d, k].append(s)
+        groups: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for d, x, s in self.candidates(h, stops):
+            k, offset, _, _ = self.segments[x]
+            groups[d, k].add(s - offset)
         out = []
         for (d, k), starts in sorted(groups.items()):
             e, best = self.edits[k], None
-            first, item = int(stops[d]) - len(coded[d]), self.words[k].tolist()
-            while starts:
-                run = [starts.pop(0)]
-                while starts and starts[0] - run[-1] <= e + 1:
-                    run.append(starts.pop(0))
-                lo, hi = max(first, run[0] - e), min(int(stops[d]), run[-1] + len(item) + e)
-                distance, at = edit_distance_in(item, h[lo:hi].tolist())
+            first, item = int(stops[d]) - len(coded[d]), self.words[k]
+            places = sorted(starts)
+            while places:
+                run = [places.pop(0)]
+                while places and places[0] - run[-1] <= e + 1:
+                    run.append(places.pop(0))
+                # A segment is off its place in the item by the edits before it, e at most.
+                lo, hi = max(first, run[0] - 2 * e), min(int(stops[d]), run[-1] + len(item) + 2 * e)
+                distance, at = edit_distance_in(item, h[lo:hi])
                 if distance <= e and (best is None or distance < best[0]):
                     best = (distance, lo + at - first)
             if best:
@@ -229,11 +245,12 @@ class LeakIndex:
         return out
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, share: float, recall: float) -> list[LeakIndex]:
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, share: float, recall: float) -> Iterator[LeakIndex]:
     chars = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    part = F.pmod(F.xxhash64(text_col), F.lit(blocks))
-    return [LeakIndex([tuple(r) for r in benchmark.where(part == k).select(id_col, text_col).orderBy(id_col, text_col).collect()], share, recall) for k in range(blocks)]
+    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks))  # equal items of different ids are dealt over the blocks
+    for k in range(blocks):
+        yield LeakIndex([tuple(r) for r in benchmark.where(part == k).select(id_col, text_col).orderBy(id_col, text_col).collect()], share, recall)
 
 
 def find_leaks(
