@@ -1,8 +1,8 @@
 """Licence scan: a positional index of rare tokens.
 
 Each template's rarest words (highest IDF over the templates) are filed with their positions. A file's words fetch those
-postings; each votes for an alignment (template, file position - template position). An alignment with enough votes is
-a candidate, and it holds if every mandatory key phrase of the template stands, word for word, where the alignment puts it,
+postings; each votes for an alignment (template, file position - template position). So are the rarest words of its key phrases.
+An alignment with enough votes, or with those of all key phrases, is a candidate, and it holds if every mandatory key phrase of the template stands, word for word, where the alignment puts it,
 give or take `slack` words. Its score is the share of the template's words that stand where the alignment puts them, give
 or take the same. Beside that, base phrases are found wherever their words stand consecutively.
 
@@ -85,10 +85,15 @@ class RareTokenIndex:
         self.idf = {w: math.log(len(self.texts) / n) + 1 for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed: list[int] = []
+        self.rarest: list[set[bytes]] = []
+        self.anchors: list[set[bytes]] = []
         for k, t in enumerate(self.texts):
-            chosen = sorted(set(t), key=lambda w: (-self.idf[w], w))[: self.rare]
+            rank = lambda w: (-self.idf.get(w, 0.0), w)
+            chosen = sorted(set(t), key=rank)[: self.rare]
+            self.rarest.append(set(chosen))
+            self.anchors.append({min(key, key=rank) for key in self.keys[k]})
             for q, w in enumerate(t):
-                if w in chosen:
+                if w in self.rarest[k] or w in self.anchors[k]:
                     self.postings[w].append((k, q))
             # Words that two templates tell apart by may be altered, the others must agree on one alignment.
             self.needed.append(max(1, len(chosen) // 2))
@@ -112,14 +117,14 @@ class RareTokenIndex:
         labels, score, spans = set(base_labels), 0.0, []
         for (k, at), seen in votes.items():
             near = set().union(*(votes.get((k, at + d), ()) for d in range(-self.slack, self.slack + 1)))
-            if len(near) < self.needed[k] or len(seen) < max(len(votes.get((k, at + d), ())) for d in range(-self.slack, self.slack + 1)):
+            if (len(near & self.rarest[k]) < self.needed[k] and not self.anchors[k] <= near) or len(seen) < max(len(votes.get((k, at + d), ())) for d in range(-self.slack, self.slack + 1)):
                 continue
             t = self.texts[k]
-            lo, hi = max(0, at - self.slack), at + len(t) + self.slack
+            lo, hi = max(0, at - self.slack), max(0, at + len(t) + self.slack)
             area = w[lo:hi]
             if not all(self._stands(area, key) for key in self.keys[k]):
                 continue
-            score = max(score, sum(x in w[max(0, at + q - self.slack) : at + q + self.slack + 1] for q, x in enumerate(t)) / len(t))
+            score = max(score, sum(x in w[max(0, at + q - self.slack) : max(0, at + q + self.slack + 1)] for q, x in enumerate(t)) / len(t))
             labels.add(self.templates[k].label)
             spans.append((self.templates[k].label, max(0, at), min(len(w), at + len(t)) - 1))
         if base_labels and not spans:  # a bare mention: the phrase's share of the shortest template that has it
