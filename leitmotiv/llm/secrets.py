@@ -10,7 +10,8 @@ Extraction, features and scoring are SQL functions and the JVM's own forest: no
 but the training rows.
 
 Defined results: null and empty texts have no candidates. Each place of a candidate is a row, also where a text or a row is repeated. A
-null path says nothing. Texts of any length are read whole.
+null path says nothing. Texts of any length are read whole, and so are candidates; of what stands around one, CONTEXT characters on either side. Shorter secrets and
+those without a digit are no candidates.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: How many characters on either side of a candidate the features look at.
 CONTEXT = 48
+RUN = 64
 
 #: Words that speak against a secret where they make up a candidate.
 DICTIONARY = (
@@ -43,21 +46,23 @@ def _candidates(df: DataFrame, keep: list[Column], text: Column, path: Column) -
     # What lies between the candidates: part k stands before candidate k.
     parts = F.split("__text", CANDIDATE, -1)
     rows = rows.withColumn("__parts", parts)
-    ends = F.transform(F.sequence(F.lit(1), F.size("__found")), lambda k: F.struct(
-        F.element_at("__found", k).alias("candidate"),
-        F.right(F.element_at("__parts", k), F.lit(CONTEXT)).alias("before"),
-        F.left(F.element_at("__parts", k + 1), F.lit(CONTEXT)).alias("after"),
-        (F.length(F.element_at("__parts", k)) + F.length(F.element_at("__found", k))).alias("step"),
-        F.length(F.element_at("__found", k)).alias("n"),
-    ))
-    placed = F.aggregate(
-        ends,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,candidate:string,before:string,after:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["step"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["step"] - x["n"]).alias("start"), x["candidate"].alias("candidate"), x["before"].alias("before"), x["after"].alias("after")))).alias("out"),
-        ),
-    )["out"]
+    steps = F.zip_with("__found", F.slice("__parts", 1, F.size("__found")), lambda f, p: F.length(p) + F.length(f))
+    rows = rows.withColumn("__steps", steps)
+    # Where each candidate ends: sums of runs of RUN steps, the sums before each run, and those within a run. Linear but for one list of the runs.
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    run_sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("__steps") - 1) / RUN).cast("int")), lambda c: total(F.slice("__steps", c * RUN + 1, RUN)))
+    before = F.aggregate(run_sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    rows = rows.withColumn("__before", before)
+
+    def place(f: Column, k: Column) -> Column:
+        run = F.floor(k / RUN).cast("int")
+        end = F.get("__before", run) + total(F.slice("__steps", run * RUN + 1, k - run * RUN + 1))
+        return F.struct(
+            (end - F.length(f)).alias("start"), f.alias("candidate"),
+            F.right(F.get("__parts", k), F.lit(CONTEXT)).alias("before"), F.left(F.get("__parts", k + 1), F.lit(CONTEXT)).alias("after"),
+        )
+
+    placed = F.transform("__found", place)
     names = [c for c in rows.columns if not c.startswith("__")]
     rows = rows.select(*names, "__path", F.explode(placed).alias("__c"))
     return rows.select(*names, "__path", F.col("__c.start").cast("long").alias("start"), F.col("__c.candidate").alias("candidate"), F.col("__c.before").alias("before"), F.col("__c.after").alias("after"))
@@ -72,10 +77,10 @@ def features(df: DataFrame) -> DataFrame:
     words = "(?i)" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return df.withColumns({
-        "length": F.least(n, F.lit(128)).cast("double"),
+        "length": n.cast("double"),
         "changes": F.regexp_count(c, F.lit(change)) / n,
         "digits": share("[0-9]"), "lowers": share("[a-z]"), "uppers": share("[A-Z]"), "hexes": share("[0-9a-fA-F]"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 128), ""))) / F.least(n, F.lit(128)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(128)),
         "pairs": F.regexp_count(c, F.lit(PAIRS)) / n,
         "covered": 1 - F.length(F.regexp_replace(c, words, "")) / n,
         "keyword": flag(F.regexp_like(F.col("before"), F.lit(KEYWORDS))),
