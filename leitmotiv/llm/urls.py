@@ -98,6 +98,11 @@ def host_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> Column
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def _strings(spark: SparkSession, values: list[str]) -> DataFrame:
+    """t: the values, as a constant of the plan."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(values)), "array<string>")).alias("t"))
+
+
 def index_rules(urls: DataFrame, rules: tuple[PatternRule, ...], url_col: str = "url") -> dict[str, list[PatternRule]]:
     """The rules by the one of their tokens that the fewest urls contain (ties: the smaller string).
 
@@ -106,7 +111,7 @@ def index_rules(urls: DataFrame, rules: tuple[PatternRule, ...], url_col: str =
     known = sorted({t for r in rules if not r.either for t in r.tokens})
     counts: dict[str, int] = {}
     if known:
-        own = urls.sparkSession.createDataFrame([(t,) for t in known], "t string")
+        own = _strings(urls.sparkSession, known)
         held = urls.select(F.explode(url_tokens(F.col(url_col))).alias("t")).join(F.broadcast(own), "t")
         counts = {t: n for t, n in held.groupBy("t").count().collect()}
     index: dict[str, list[PatternRule]] = {}
@@ -120,7 +125,7 @@ def slot_table(spark: SparkSession, index: dict[str, list[PatternRule]]) -> tupl
     """The index as a constant array of slots, each an array of (token, name, pattern); and how many slots there are."""
     slots = 1 << max(0, (2 * len(index) - 1).bit_length())
     placed: list[list[dict]] = [[] for _ in range(slots)]
-    tokens = spark.createDataFrame([(t,) for t in index], "t string")
+    tokens = _strings(spark, list(index))
     for t, k in tokens.select("t", slot_of(F.col("t"), slots)).collect():  # the rules' tokens
         placed[k] += [{"token": t, "name": r.name, "pattern": r.pattern} for r in index[t]]
     return F.from_json(F.lit(json.dumps(placed)), "array<array<struct<token:string,name:string,pattern:string>>>"), slots
