@@ -35,13 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Line dedup leaves only scraps of a near copy. So a document counts with its text as it is in docs and, where that was cut, also as in the table of
     documents; what links either links it.
     """
-    whole = _table(spark, sf_dir, "documents").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    now = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h")).distinct()
-    cut = whole.join(now, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
-    linked = shingles.link_documents(docs.select("doc_id", "text").unionByName(cut), size=5, percent=80)
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    whole, mark = _table(spark, sf_dir, "documents").select("doc_id", "text"), F.xxhash64("text").alias("h")
+    was = whole.select("doc_id", mark).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Lists of ids are written first, so that the joins that read texts know their size.
+    changed = materialize(was.join(docs.select("doc_id", mark), ["doc_id", "h"], "left_anti").select("doc_id").distinct(), "changed")
+    linked = shingles.link_documents(docs.select("doc_id", "text").unionByName(whole.join(changed, "doc_id", "left_semi")), size=5, percent=80)
+    gone = materialize(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
     once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
     return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
