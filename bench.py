@@ -33,7 +33,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     events = src.from_events(spark, SF).cache()
     events.count()
-    embeddings = src.from_embeddings(spark, SF).cache()
+    embeddings = src.from_embeddings(spark, SF, 8).cache()  # 8 of the components, as in earlier rounds
     embeddings.count()
     planted = {n: synthetic.planted(spark, n, 5, 200, 2, (n // 10, n // 2)).cache() for n in (10_000, 100_000, 1_000_000)}
     for p in planted.values():

@@ -13,12 +13,15 @@ _folders: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df from a table written to spark.checkpoint.dir (a local folder where that is unset): short lineage that survives lost executors.
+    """df from a table written to spark.checkpoint.dir (with a local master a local folder where that is unset): short lineage that survives lost executors.
 
     The folder goes when the driver's process ends.
     """
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORKSPACE).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = (base or LOCAL_WORKSPACE).rstrip("/")
     path = f"{base}/leitmotiv/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _folders.append((spark, path))

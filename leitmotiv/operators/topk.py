@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from leitmotiv.functions.written import written
 
+#: spark.sql.optimizer.windowGroupLimitThreshold's default.
+RANK_LIMIT, SALT = 1000, 64
+
 
 def top(pairs: DataFrame, k: int, *by: str) -> DataFrame:
-    """The k best rows by (distance, a, b), overlapping or not. Without `by`, a bounded top-n in every task and one merge."""
+    """The k best rows by (distance, a, b), overlapping or not. Without `by`, a bounded top-n in every task and one merge.
+
+    Spark cuts a ranking short within each task for up to RANK_LIMIT rows only; beyond, the rows of a group are dealt over SALT parts, ranked there
+    and then together, so that no task sorts more of a group than its part or SALT * k rows.
+    """
     if not by:
         return pairs.orderBy("distance", "a", "b").limit(k)
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("distance", "a", "b"))
-    return pairs.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    def ranked(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "a", "b"))
+        return rows.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+    if k > RANK_LIMIT:
+        pairs = ranked(pairs.withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALT))), *by, "_salt").drop("_salt")
+    return ranked(pairs, *by)
 
 
 def overlaps(p: Column, q: Column, window: int) -> Column:

@@ -34,8 +34,8 @@ hour_sums as (
 ), {grid('points', 'hour_sums', fill)}"""
 
 
-def embeddings(first: int = 8) -> str:
-    return f"points as (select vec_id as t, cast(i - 1 as integer) as dim, embedding[i]::double as value from embeddings, (select unnest(range(1, {first + 1})) as i))"
+def embeddings() -> str:
+    return "points as (select vec_id as t, cast(generate_subscripts(embedding, 1) - 1 as integer) as dim, unnest(embedding)::double as value from embeddings)"
 
 
 def stats(w: int) -> str:

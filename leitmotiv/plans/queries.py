@@ -580,24 +580,37 @@ def discover_motifs(spark: SparkSession, sf: str) -> DataFrame:
     return _motif_columns(search.find_motifs(_events(spark, sf), cfg).motifs, "d", "rank")
 
 
-@query("discover_range")
+@query("discover_range", sql.with_parts(CAND, sql.greedy(K_MOTIFS, W), select="select d, rank, a, b, round(distance, 6) as distance, dims from chosen where d between 2 and 4"))
 def discover_range(spark: SparkSession, sf: str) -> DataFrame:
     cfg = MotifConfig(window=W, low=2, high=4, k=K_MOTIFS, K=4, L=40, delta=0.05, r=8, seed=SEED, batch=20)
     return _motif_columns(search.find_motifs(_events(spark, sf), cfg).motifs, "d", "rank")
 
 
+TOPK_W, TOPK_SQL = 100, f"{sql.hours()}, {sql.stats(100)}, {sql.pair_dims(100)}, {sql.RANKED}, {sql.plain_motifs(2, 2)}, {sql.greedy(2, 100)}"
+
+
+@query("discover_topk", sql.with_parts(TOPK_SQL, select="select d, rank, a, b, round(distance, 6) as distance, dims from chosen"))
+def discover_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Two motifs of a long window, whose shifted copies outnumber any list."""
+    cfg = MotifConfig(window=TOPK_W, low=2, high=2, k=2, K=4, L=40, delta=0.001, r=8, seed=SEED, batch=20)
+    return _motif_columns(search.find_motifs(src.from_event_hours(spark, sf), cfg).motifs, "d", "rank")
+
+
 @query("discover_auto")
 def discover_auto(spark: SparkSession, sf: str) -> DataFrame:
     return _motif_columns(search.discover(src.from_embeddings(spark, sf), 8, 1, (3, 3), L=20, K=4, delta=0.2, batch=20).motifs, "d", "rank")
 
 
-@query("discover_planted")
+PLANTED_BEST = f"{_planted_sql(*PLANTED)}, points as (select * from planted), {sql.stats(PLANTED[2])}, {sql.pair_dims(PLANTED[2])}, {sql.RANKED}, {sql.plain_motifs(2, 2)}, {sql.greedy(1, PLANTED[2])}"
+
+
+@query("discover_planted", sql.with_parts(PLANTED_BEST, select="select d, rank, a, b, round(distance, 6) as distance, dims from chosen"))
 def discover_planted(spark: SparkSession, sf: str) -> DataFrame:
     cfg = MotifConfig(window=PLANTED[2], low=2, high=2, k=1, L=20, seed=SEED, batch=20, may_end_exact=False)
     return _motif_columns(search.find_motifs(synthetic.planted(spark, *PLANTED), cfg).motifs, "d", "rank")
 
 
-@query("sweep_parameters")
+@query("sweep_parameters", sql.with_parts(PLANTED_BEST, select='select K as "K", 20 as "L", r, a, b, round(distance, 6) as distance from chosen, (select unnest([4, 8]) as K), (select unnest([4.0, 8.0])::double as r)'))
 def sweep_parameters(spark: SparkSession, sf: str) -> DataFrame:
     cfg = MotifConfig(window=PLANTED[2], low=2, high=2, k=1, L=20, batch=20)
     return evaluate.sweep(synthetic.planted(spark, *PLANTED).cache(), cfg, K=[4, 8], r=[4, 8]).select("K", "L", "r", "a", "b", r6("distance").alias("distance"))

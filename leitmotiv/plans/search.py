@@ -53,7 +53,10 @@ class SearchResult:
 
 
 def load_series(points: DataFrame) -> np.ndarray:
-    """times x dimensions, of one gapless series."""
+    """times x dimensions, of one gapless series. Its span is held against its points before anything of that size is made."""
+    n, low, high, dims = points.agg(F.count("*"), F.min("t"), F.max("t"), F.max("dim")).first()
+    if n < (high - low + 1) * (dims + 1):
+        raise ValueError("the series has gaps; impute it first")
     t = points.select("t", "dim", "value").toArrow()
     at, dim, value = (np.asarray(t[c]) for c in ("t", "dim", "value"))
     at = at - at.min()
@@ -390,7 +393,10 @@ def _distributed(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
 
 
 def anytime(points: DataFrame, cfg: MotifConfig, resident: int = RESIDENT) -> Iterator[SearchResult]:
-    """The best motifs so far, after every batch of repetitions."""
+    """The best motifs so far, after every batch of repetitions. points: one series; several are refused."""
+    first, last = points.agg(F.min("series_id"), F.max("series_id")).first()
+    if first != last:
+        raise ValueError(f"one series at a time, not {first!r} and {last!r}")
     small = points.limit(resident + 1).count() <= resident
     return (_resident if small else _distributed)(points, cfg)
 

@@ -104,7 +104,7 @@ def from_event_hours(spark: SparkSession, sf_dir: str, fill: float | None = 0.0)
     return fill_grid(_by_type(sums, "event_type"), fill)
 
 
-def from_embeddings(spark: SparkSession, sf_dir: str, first: int = 8) -> DataFrame:
+def from_embeddings(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
     return from_arrays(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", first)
 
 

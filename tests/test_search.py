@@ -5,7 +5,7 @@ import pytest
 
 from leitmotiv.config import MotifConfig
 from leitmotiv.functions.random import gaussian
-from leitmotiv.operators import exact, lsh, windows
+from leitmotiv.operators import exact, lsh, topk, windows
 from leitmotiv.operators.distance import pair_distances
 from leitmotiv.plans import evaluate, search
 from leitmotiv.sources import synthetic
@@ -227,6 +227,24 @@ def test_occurrences_and_highlight(spark):
     assert exact.highlight(points, motif, 30).count() == 2 * 2 * 30
 
 
+def test_several_series_and_gaps_are_refused(spark):
+    points = frame(spark, noise(60, 2)).cache()
+    cfg = MotifConfig(window=6, low=2, high=2, K=4, L=4)
+    other = points.selectExpr("'q' as series_id", "t", "dim", "value")
+    with pytest.raises(ValueError, match="one series"):
+        search.find_motifs(points.unionByName(other), cfg)
+    far = points.selectExpr("series_id", "if(t = 59, 1000000000000, t) as t", "dim", "value")
+    with pytest.raises(ValueError, match="gaps"):
+        search.find_motifs(far, cfg)
+
+
+def test_top_past_the_rank_limit(spark):
+    rows = spark.range(6000).selectExpr("'s' as series_id", "id % 2 as d", "id as a", "id + 50 as b", "cast(pmod(xxhash64(id), 997) as double) as distance").cache()
+    got = sorted((r["d"], r["distance"], r["a"]) for r in topk.top(rows, 1500, "series_id", "d").collect())
+    want = sorted((r["d"], r["distance"], r["a"]) for r in rows.collect())
+    assert got == [x for d in (0, 1) for x in [w for w in want if w[0] == d][:1500]]
+
+
 def test_later_motifs_of_a_smooth_series(spark):
     """The neighbours (p + i, q + i) of the best pair fill any short list; the others come all the same, in both plans."""
     x = planted(400, 2, 40, (20, 150))
