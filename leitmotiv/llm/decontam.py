@@ -85,7 +85,7 @@ def edit_distance_in(item: np.ndarray, area: np.ndarray) -> tuple[int, int]:
 class LeakIndex:
     """items: (id, text); share: allowed edits as a share of the item's words; recall: of matches at that distance."""
 
-    def __init__(self, items: list[tuple], share: float = 0.2, recall: float = 0.99, seed: int = 5, repetitions: int | None = None, least: int = LEAST, segment: int = SEGMENT) -> None:
+    def __init__(self, items: list[tuple], share: float = 0.2, recall: float = 0.999, seed: int = 5, repetitions: int | None = None, least: int = LEAST, segment: int = SEGMENT) -> None:
         coded = list(word_symbols([(t or "").encode() for _, t in items]))
         self.ids = [i for (i, _), w in zip(items, coded) if len(w) >= max(1, least)]
         self.words = [w for w in coded if len(w) >= max(1, least)]
@@ -254,7 +254,7 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, share: float, rec
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """One row for each document and item that it holds: id_col, item_col, distance (words edited), similarity, first_word."""
     spark = docs.sparkSession
@@ -278,7 +278,7 @@ def find_leaks(
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.999, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all their columns, whose text holds none of the items."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     for index in _indexes(benchmark, item_col, item_text, share, recall):
