@@ -1,8 +1,8 @@
 """Z-normalised Euclidean distances between windows, and the choice of the best dimensions of each pair.
 
-Windows are packed, one row for each t with all dimensions' z arrays. Pairs of windows are met in cells: the packed rows are dealt in
-blocks of consecutive t, and each pair of blocks is one group, so an all-pairs comparison is a shuffle of blocks and no nested-loop
-join. A cell is bounded in memory by its two blocks. The numeric kernel runs on Arrow batches; what follows is SQL.
+Points are packed in chunks of consecutive t, each with a halo of the next window - 1, and every pair of chunks is one group, a cell. So an
+all-pairs comparison shuffles points, not windows: with n points, D dimensions and chunks of B, (1 + window / B) * n * D * 8 bytes for each of the n / B
+chunks. The cell makes its windows and compares them tile by tile, in Arrow batches; what follows is SQL.
 """
 
 from __future__ import annotations
@@ -11,36 +11,66 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.operators.windows import subsequences
+from leitmotiv.operators.windows import ZERO_STD
 
-BLOCK = 256
-
-
-def packed(points: DataFrame, window: int) -> DataFrame:
-    """series_id, t, z (array of arrays, by dimension): windows that all dimensions of the series have."""
-    z = subsequences(points, window).select("series_id", "t", "dim", "z")
-    return pack(z)
+#: A tile's side, and a chunk's largest: long series have fewer and larger cells, so that neither the shuffle nor what cells return is in proportion
+#: to the number of tiles. A series has about SIDE chunks until they reach LARGEST.
+TILE, LARGEST, SIDE = 256, 4096, 32
 
 
 def pack(z: DataFrame) -> DataFrame:
+    """series_id, t, z (array of arrays, by dimension)."""
     rows = z.groupBy("series_id", "t").agg(F.sort_array(F.collect_list(F.struct("dim", "z"))).alias("_d"))
     return rows.select("series_id", "t", F.transform("_d", lambda x: x["z"]).alias("z"))
 
 
-def cells(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each row once for every pair of blocks (i <= j) that its own block is in."""
-    blocks = rows.groupBy("series_id").agg((F.floor(F.max("t") / block).cast("bigint") + 1).alias("_n"))
-    own = F.floor(F.col("t") / block).cast("bigint")
-    out = rows.join(blocks, "series_id").withColumn("_own", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    return out.select("series_id", F.least("_own", "_o").alias("i"), F.greatest("_own", "_o").alias("j"), "_own", "t", "z")
-
-
-def _tensor(z: pa.ChunkedArray, rows: int) -> np.ndarray:
-    inner = z.combine_chunks()
-    return np.asarray(inner.flatten().flatten(), np.float64).reshape(rows, -1, len(inner[0][0]))
+def chunks(points: DataFrame, window: int, largest: int = LARGEST) -> DataFrame:
+    """series_id, chunk, size, first and last (chunks of the series), ts, values (by t, then dimension) of the t that all dimensions of the series have."""
+    wide = points.where("value is not null").groupBy("series_id", "t").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_d"))
+    span = points.groupBy("series_id").agg(F.min("t").alias("_low"), F.max("t").alias("_high"), F.count_distinct("dim").alias("_dims"))
+    tiles = F.ceil((F.col("_high") - F.col("_low") + 1) / (SIDE * TILE))
+    size = F.greatest(F.lit(TILE), F.least(F.lit(largest), tiles * TILE)).cast("bigint")
+    of = lambda t: F.floor(t / F.col("size")).cast("bigint")
+    span = span.withColumn("size", size).select("series_id", "size", "_dims", of(F.col("_low")).alias("first"), of(F.col("_high")).alias("last"))
+    wide = wide.join(span, "series_id").where(F.size("_d") == F.col("_dims"))
+    reach = F.sequence(F.greatest("first", of(F.col("t") - (window - 1))), of(F.col("t")))
+    rows = wide.select("series_id", "size", "first", "last", F.explode(reach).alias("chunk"), F.struct(F.col("t").cast("bigint").alias("t"), F.transform("_d", lambda x: x["value"]).alias("v")).alias("_p"))
+    rows = rows.groupBy("series_id", "chunk", "size", "first", "last").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    return rows.select("series_id", "chunk", "size", "first", "last", F.transform("_p", lambda p: p["t"]).alias("ts"), F.flatten(F.transform("_p", lambda p: p["v"])).alias("values"))
+
+
+def cells(packed: DataFrame) -> DataFrame:
+    """Each chunk once for every pair of chunks (i <= j) that it is in."""
+    out = packed.withColumn("_o", F.explode(F.sequence("first", "last")))
+    return out.select("series_id", F.least("chunk", "_o").alias("i"), F.greatest("chunk", "_o").alias("j"), "chunk", "size", "ts", "values")
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    """z of windows (the last axis), with mean and deviation summed in the order of windows.subsequences, and its guard for a deviation of 0."""
+    mean, average, squares = np.zeros(x.shape[:-1]), np.zeros(x.shape[:-1]), np.zeros(x.shape[:-1])
+    for n in range(x.shape[-1]):
+        v = x[..., n]
+        mean += v
+        delta = v - average
+        step = delta / (n + 1)
+        average += step
+        squares += delta * (delta - step)
+    std = np.sqrt(squares / x.shape[-1])
+    return (x - (mean / x.shape[-1])[..., None]) / np.where(std == 0, ZERO_STD, std)[..., None]
+
+
+def _windows(table: pa.Table, row: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of a chunk's own windows, which have no gap, and their z: dimension, window, offset."""
+    t, v = (np.asarray(table[c][row].values) for c in ("ts", "values"))
+    chunk, size = table["chunk"][row].as_py(), table["size"][row].as_py()
+    if len(t) < window:
+        return t[:0], np.zeros((1, 0, window))
+    own = np.flatnonzero((t[window - 1 :] - t[: len(t) - window + 1] == window - 1) & (t[: len(t) - window + 1] < (chunk + 1) * size))
+    return t[own], normalised(sliding_window_view(v.reshape(len(t), -1).T, window, axis=1)[:, own])
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,24 +88,30 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
-def over_cells(rows: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, exclusion: int, block: int = BLOCK) -> DataFrame:
-    """kernel(a, b, distances) of the pairs with b - a > exclusion; distances: pairs x dimensions. Its columns are schema's but for series_id."""
+def over_cells(
+    points: DataFrame, window: int, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, exclusion: int | None = None,
+    merge: Callable[[pa.Table], pa.Table] = lambda found: found, largest: int = LARGEST,
+) -> DataFrame:
+    """kernel(a, b, distances) of each tile's pairs with b - a > exclusion (the window, unless given); distances: pairs x dimensions. Its columns are
+    schema's but for series_id. merge makes one result of those of a cell's tiles, two at a time."""
+    least = window if exclusion is None else exclusion
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         series, i, j = (x.as_py() for x in key)
-        own, t = np.asarray(table["_own"]), np.asarray(table["t"])
-        z = _tensor(table["z"], table.num_rows)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        gap = t[right][None, :] - t[left][:, None]
-        x, y = np.nonzero(gap > exclusion)
-        columns = {}
-        if len(x):
-            dist = np.stack([np.sqrt(squared(z[left, m], z[right, m]))[x, y] for m in range(z.shape[1])], 1)
-            columns = kernel(t[left][x], t[right][y], dist)
-        n = len(next(iter(columns.values()))) if columns else 0
-        return pa.table({"series_id": pa.array([series] * n, pa.string())} | (columns or _empty(schema)))
-
-    return cells(rows, block).groupBy("series_id", "i", "j").applyInArrow(run, f"series_id string, {schema}")
+        sides = {table["chunk"][row].as_py(): _windows(table, row, window) for row in range(table.num_rows)}
+        found = pa.table(_empty(schema))
+        (left, za), (right, zb) = (sides.get(x, (np.zeros(0, np.int64), None)) for x in (i, j))
+        for m in range(0, len(left), TILE):
+            for n in range(0, len(right), TILE):
+                a, b = left[m : m + TILE], right[n : n + TILE]
+                x, y = np.nonzero(b[None, :] - a[:, None] > least)
+                if len(x):
+                    dist = np.stack([np.sqrt(squared(p[m : m + TILE], q[n : n + TILE]))[x, y] for p, q in zip(za, zb)], 1)
+                    one = pa.table(kernel(a[x], b[y], dist)).select(found.column_names)
+                    found = merge(pa.concat_tables([found, one])) if found.num_rows else one
+        return pa.table({"series_id": pa.array([series] * found.num_rows, pa.string())} | {c: found[c] for c in found.column_names})
+
+    return cells(chunks(points, window, largest)).groupBy("series_id", "i", "j").applyInArrow(run, f"series_id string, {schema}")
 
 
 def _empty(schema: str) -> dict:
@@ -90,7 +126,7 @@ def pair_distances(points: DataFrame, window: int, exclusion: int | None = None)
         offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * dist.shape[1])
         return {"a": a, "b": b, "dist": pa.ListArray.from_arrays(offsets, pa.array(dist.ravel()))}
 
-    return over_cells(packed(points, window), kernel, "a bigint, b bigint, dist array<double>", window if exclusion is None else exclusion)
+    return over_cells(points, window, kernel, "a bigint, b bigint, dist array<double>", exclusion, largest=TILE)
 
 
 def ranked_dims(dist: Column) -> Column:

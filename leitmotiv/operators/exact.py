@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.operators.distance import over_cells, packed
+from leitmotiv.functions.written import written
+from leitmotiv.operators.distance import over_cells
 from leitmotiv.operators.topk import greedy, top
 
 
@@ -42,23 +43,28 @@ def best_pairs(points: DataFrame, window: int, low: int, high: int, keep: int, e
         join = lambda k: pa.concat_arrays([p[k] if isinstance(p[k], pa.Array) else pa.array(p[k]) for p in parts])
         return {c.split()[0]: join(k) for k, c in enumerate(MOTIF.split(", "))}
 
-    return over_cells(packed(points, window), kernel, MOTIF, window if exclusion is None else exclusion)
+    def merge(found: pa.Table) -> pa.Table:
+        d, a, b, distance = (np.asarray(found[c]) for c in ("d", "a", "b", "distance"))
+        order = np.lexsort((b, a, distance, d))
+        place = np.arange(len(order)) - np.searchsorted(d[order], d[order])  # within its d
+        return found.take(order[place < keep])
+
+    return over_cells(points, window, kernel, MOTIF, exclusion, merge)
 
 
 def exact_motifs(points: DataFrame, window: int, low: int, high: int, k: int = 1, keep: int = 1000, exclusion: int | None = None) -> DataFrame:
     """series_id, d, rank, a, b, distance, dims, dim_dists: for each d the k best pairs that don't overlap.
 
     The greedy choice sees the `keep` best pairs. Where these hold fewer than k and weren't all there are, it is made again over four
-    times as many, so the result is the one over all pairs.
+    times as many, so the result is the one over all pairs. Each list is written, so that a lost executor doesn't repeat the search.
     """
     while True:
-        pairs = top(best_pairs(points, window, low, high, keep, exclusion), keep, "series_id", "d").cache()
+        pairs = written(top(best_pairs(points, window, low, high, keep, exclusion), keep, "series_id", "d"), "best")
         chosen = greedy(pairs, k, window, "series_id", "d")
         seen = pairs.groupBy("series_id", "d").count()
         short = seen.join(chosen.groupBy("series_id", "d").agg(F.count("*").alias("n")), ["series_id", "d"]).where((F.col("n") < k) & (F.col("count") >= keep))
         if k == 1 or short.isEmpty():
             return chosen
-        pairs.unpersist()
         keep *= 4
 
 
@@ -76,7 +82,14 @@ def matrix_profile(points: DataFrame, window: int, low: int, high: int, exclusio
                 out[c].append(v)
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    found = over_cells(packed(points, window), kernel, "d int, t bigint, distance double, neighbour bigint", window if exclusion is None else exclusion)
+    def merge(found: pa.Table) -> pa.Table:
+        d, t, distance, neighbour = (np.asarray(found[c]) for c in ("d", "t", "distance", "neighbour"))
+        order = np.lexsort((neighbour, distance, t, d))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(d[order]) != 0) | (np.diff(t[order]) != 0)
+        return found.take(order[new])
+
+    found = over_cells(points, window, kernel, "d int, t bigint, distance double, neighbour bigint", exclusion, merge)
     least = found.groupBy("series_id", "d", "t").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
     return least.select("series_id", "d", "t", F.col("m.distance").alias("distance"), F.col("m.neighbour").alias("neighbour"))
 

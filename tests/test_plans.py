@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from leitmotiv.operators import lsh, windows
+from leitmotiv.operators import distance, lsh, windows
 from leitmotiv.operators.distance import pair_distances
 from leitmotiv.plans import queries
 from leitmotiv.sources import points as src
@@ -36,6 +36,14 @@ def test_pairs_meet_in_cells(spark, sf):
     assert "FlatMapGroupsInArrow" in text and "NestedLoop" not in text
 
 
+def test_cells_shuffle_points_not_windows(spark):
+    n, d, w = 300_000, 2, 200
+    points = spark.range(n * d).selectExpr("'s' as series_id", f"id % {n} as t", f"cast(id div {n} as int) as dim", "rand(1) as value")
+    size, cells, numbers = distance.chunks(points, w).selectExpr("max(size)", "sum(last - first + 1)", "sum((last - first + 1) * size(values))").first()
+    assert size == distance.LARGEST and cells == (-(-n // size)) ** 2
+    assert numbers <= 2 * n * d * -(-n // size)
+
+
 def test_candidates_join_on_keys(spark, sf):
     sig = lsh.signatures(windows.subsequences(src.from_events(spark, sf), 8), lsh.Projections(8, 4, 4, 4.0, 7))
     assert re.search(r"(SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) \[series_id#\d+, dim#\d+, l#\d+, key#\d+\]", plan(lsh.candidates(sig, 4, 2, 8)))

@@ -5,7 +5,7 @@ import pytest
 
 from leitmotiv.config import MotifConfig
 from leitmotiv.functions.random import gaussian
-from leitmotiv.operators import exact, lsh, topk, windows
+from leitmotiv.operators import distance, exact, lsh, topk, windows
 from leitmotiv.operators.distance import pair_distances
 from leitmotiv.plans import evaluate, search
 from leitmotiv.sources import synthetic
@@ -78,6 +78,30 @@ def test_exact_is_brute_force(spark):
     assert pair_distances(points, w).count() == len(brute(x, w, 2))
 
 
+@pytest.mark.parametrize("side", [1, 32])
+def test_cells_of_many_tiles_and_many_cells(spark, monkeypatch, side):
+    monkeypatch.setattr(distance, "SIDE", side)  # one cell of nine tiles, or six cells of one
+    x, w = noise(600, 2), 6
+    points, pairs = frame(spark, x).cache(), brute(x, w, 2)
+    (m,) = exact.exact_motifs(points, w, 2, 2).collect()
+    assert (m["a"], m["b"]) == pairs[0][1:3]
+    want = {}
+    for dist, a, b, _ in reversed(pairs):
+        want[a] = want[b] = dist
+    got = {r["t"]: r["distance"] for r in exact.matrix_profile(points, w, 2, 2).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[t] for t in want], list(want.values()))
+
+
+def test_gaps_and_missing_dimensions_end_windows(spark):
+    """Windows over a t that is absent, or that one dimension lacks, are none; t may start anywhere."""
+    x = noise(60, 2)
+    points = frame(spark, x).where("t <> 20 and not (t = 40 and dim = 1)").selectExpr("series_id", "t + 1000 as t", "dim", "value")
+    starts = [t for t in range(56) if not {20, 40} & set(range(t, t + 5))]
+    got = {(r["a"] - 1000, r["b"] - 1000) for r in pair_distances(points, 5).collect()}
+    assert got == {(a, b) for a in starts for b in starts if b - a > 5}
+    assert exact.exact_motifs(points.where("t < 1004"), 5, 1, 1).isEmpty() and exact.exact_motifs(points.limit(0), 5, 1, 1).isEmpty()
+
+
 def test_search_to_the_end_is_exact(spark):
     """Down to prefixes of one code with many repetitions, hashing finds what all pairs give."""
     x, w = noise(80, 3), 6
