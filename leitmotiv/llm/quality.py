@@ -2,8 +2,8 @@
 
 Evidence: two logistic regressions over shape features (cases, symbols, repetition) and the words, and beginnings of words of 4 to 6 bytes, that
 tell the classes of the labelled documents apart, one for low quality and one for toxic text; a document's evidence is the probability that it is neither. They are fitted on at most
-`sample` labelled documents (a bound that doesn't grow with the corpus), chosen by a hash of the id; what comes to the driver
-of each is its label, its shape and the hashes of its distinct words and their beginnings.
+`sample` labelled documents (a bound that doesn't grow with the corpus), chosen by a hash of the id. Their features are counted over whole texts, by
+batch and then in Spark; what comes to the driver of each document is its label, its shape and which of the chosen features it has.
 
 Posteriors: the evidence of all documents is summed by host and by path within host. A host's rate of good documents is a Beta
 posterior around the global rate, a path's around its host's; the priors' strengths are fitted by moments, so a site with few
@@ -14,7 +14,7 @@ The texts are read once; what is written and aggregated is a row of numbers each
 a host with a third of all documents costs no more than others.
 
 Defined results: a null or empty text has the evidence of its shape alone. A null host or path is a site of its own. Without labelled documents of
-both classes, a regression says its class never occurs. Rows that repeat an id are scored each; labels that repeat one must agree, else the
+both classes, a regression says its class never occurs. Rows that repeat an id are scored each, and the least of their texts is trained on; labels that repeat one must agree, else the
 worse counts.
 """
 
@@ -35,8 +35,6 @@ from leitmotiv.llm.common import materialize, utf8
 from leitmotiv.llm.licenses import WORD
 
 SAMPLE = 8000
-#: Of each of these documents, at most so many features (those with the smallest hashes) come to the driver; all count when documents are scored.
-FIT_FEATURES = 8192
 WORDS = 160
 STEMS = (4, 5, 6)
 SYMBOLS = (b"!", b"|", b"#", b"$", b"%", b"&", b"*", b"?", b"<")
@@ -81,30 +79,47 @@ class Regression:
         return self.bias + x @ self.weights + np.array([sum(own[w] for w in s if w in own) for s in words])
 
 
-def _association(a: int, n1: int, b: int, n0: int) -> float:
+def _association(a: Column, n1: int, b: Column, n0: int) -> Column:
     """The log-likelihood ratio (G squared) of a feature's presence in a of n1 and b of n0 documents."""
     cells = ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b))
-    return 2 * sum(x * np.log(x * (n1 + n0) / (n * m)) for x, n, m in cells if x)
+    return 2 * sum((F.when(x > 0, x * F.log(x * (n1 + n0) / (n * m))).otherwise(0.0) for x, n, m in cells), F.lit(0.0))
 
 
-def fit(shapes: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, most: int = WORDS, ridge: float = 1.0) -> Regression:
-    """flat: all documents' features, each once a document; doc: which document each is of."""
+def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All features of a batch, and which row each is of."""
+    words = b.column("words")
+    return np.asarray(words.flatten()), np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(words)))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each feature of a batch, the documents that have it: all, and those of each class."""
+    for b in batches:
+        flat, doc = _lists(b)
+        found, place = np.unique(flat, return_inverse=True)
+        classes = {k: np.bincount(place, np.asarray(b.column(k))[doc], len(found)).astype(np.int64) for k in ("low", "toxic")}
+        yield pa.RecordBatch.from_pydict({"f": found, "n": np.bincount(place, minlength=len(found))} | classes)
+
+
+def _telling(counts: DataFrame, label: str, n1: int, n0: int, most: int = WORDS) -> list[int]:
+    """The features, most at most, that tell the n1 documents of the class from the n0 others."""
+    if not n1 or not n0:
+        return []
+    a, b = F.col(label), F.col("n") - F.col(label)
+    often = counts.where((F.col("n") >= 8) & (F.abs(a / n1 - b / n0) > 0.002)).select("f", F.round(_association(a, n1, b, n0), 6).alias("score"))
+    return [r["f"] for r in often.where("score > 30").orderBy(F.desc("score"), "f").limit(most).collect()]
+
+
+def fit(shapes: np.ndarray, chosen: list[int], held: list[list[int]], y: np.ndarray, ridge: float = 1.0) -> Regression:
+    """held: the features, of the chosen ones and others, that each document has; as signed numbers of 32 bits."""
     none = np.zeros(shapes.shape[1])
     centre, scale = (shapes.mean(0), shapes.std(0)) if len(shapes) else (none, none)
     scale = np.where(scale < 1e-9, 1.0, scale)
     if not y.any() or y.all():
         return Regression({}, np.zeros(shapes.shape[1]), 12.0 if len(y) and y.all() else -12.0, centre, scale)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    pos, neg = (np.unique(flat[y[doc] == which], return_counts=True) for which in (True, False))
-    keys = np.union1d(pos[0], neg[0])
-    a, b = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    a[np.searchsorted(keys, pos[0])], b[np.searchsorted(keys, neg[0])] = pos[1], neg[1]
-    often = np.flatnonzero((a + b >= 8) & (np.abs(a / n1 - b / n0) > 0.002))
-    score = {int(keys[k]): _association(int(a[k]), n1, int(b[k]), n0) for k in often}
-    chosen = sorted((w for w in score if score[w] > 30), key=lambda w: (-score[w], w))[:most]
+    column = {f: k for k, f in enumerate(chosen)}
     present = np.zeros((len(y), len(chosen)))
-    for k, w in enumerate(chosen):
-        present[doc[flat == w], k] = 1
+    for row, features_of in enumerate(held):
+        present[row, [column[f] for f in features_of if f in column]] = 1
     x = np.hstack([np.clip((shapes - centre) / scale, -8, 8), present, np.ones((len(y), 1))])
     beta = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -116,7 +131,7 @@ def fit(shapes: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, mo
         if np.abs(step).max() < 1e-6:
             break
     k = shapes.shape[1]
-    return Regression(dict(zip(chosen, beta[k:-1].tolist())), beta[:k], float(beta[-1]), centre, scale)
+    return Regression(dict(zip((f & 0xFFFFFFFF for f in chosen), beta[k:-1].tolist())), beta[:k], float(beta[-1]), centre, scale)
 
 
 @dataclass
@@ -151,19 +166,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column(3))
+            words = pa.array([np.array(sorted(feature_set(t)), np.uint32).view(np.int32) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "low": pa.array([int(q == 0) for q in b.column(1).to_pylist()], pa.int32()), "toxic": b.column(2).cast(pa.int32()), "shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": words})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").groupBy("id", "quality", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(texts.select("id", "quality", "toxic", "text").mapInArrow(describe, f"id {kind}, low int, toxic int, shape array<double>, words array<int>"), "labelled")
+    n, low, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counted = rows.select("low", "toxic", "words").mapInArrow(_count, "f int, n long, low long, toxic long")
+    counts = materialize(counted.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).where("n >= 8"), "counts")
+    chosen = {"low": _telling(counts, "low", low, n - low), "toxic": _telling(counts, "toxic", toxic, n - toxic)}
+    either = np.array(sorted({f for fs in chosen.values() for f in fs}), np.int32)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = utf8(b.column(2))
-            words = pa.array([np.array(sorted(feature_set(t))[:FIT_FEATURES], np.uint32).view(np.int32) for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict({"low": pa.array([int(q == 0) for q in b.column(0).to_pylist()], pa.int32()), "toxic": b.column(1).cast(pa.int32()), "shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": words})
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").dropDuplicates(["id"])
-    rows = texts.select("quality", "toxic", "text").mapInArrow(run, "low int, toxic int, shape array<double>, words array<int>").toArrow()
-    shapes = np.array(rows["shape"].to_pylist()).reshape(rows.num_rows, len(shape(b"")))
-    lists = rows["words"].combine_chunks()
-    flat, sizes = np.asarray(lists.flatten()).view(np.uint32), np.asarray(pc.list_value_length(lists)).astype(np.int64)
-    doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), sizes)
-    return Evidence(*(fit(shapes, flat, doc, np.asarray(rows[k]).astype(bool)) for k in ("low", "toxic")))
+            flat, doc = _lists(b)
+            kept = np.isin(flat, either)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=b.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("id", "low", "toxic", "shape")} | {"held": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[kept], pa.int32()))})
+
+    found = rows.mapInArrow(hold, f"id {kind}, low int, toxic int, shape array<double>, held array<int>").orderBy("id").toArrow()
+    shapes = np.array(found["shape"].to_pylist()).reshape(found.num_rows, len(shape(b"")))
+    held = found["held"].to_pylist()
+    return Evidence(*(fit(shapes, chosen[k], held, np.asarray(found[k]).astype(bool)) for k in ("low", "toxic")))
 
 
 def _logit(p: Column) -> Column:
