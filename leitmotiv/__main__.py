@@ -9,6 +9,7 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from leitmotiv.operators.exact import highlight
 from leitmotiv.plans.search import discover, find_motifs_exact, find_motifs_sax
@@ -59,8 +60,8 @@ def main(args: list[str] | None = None) -> list[dict]:
     for row in found:
         print(json.dumps(row))
     if a.points:
-        ids = series.select("series_id").distinct().collect()
-        marked = motifs if "series_id" in motifs.columns else motifs.crossJoin(spark.createDataFrame(ids[:1], "series_id string"))
+        # A search that doesn't name the series has refused several.
+        marked = motifs if "series_id" in motifs.columns else motifs.withColumn("series_id", F.lit(series.agg(F.min("series_id")).first()[0]))
         points.write_csv(highlight(series, marked, a.window), a.points)
     if a.log:
         points.append_text(a.log, json.dumps({"path": a.path, "window": a.window, "low": a.low, "high": high, "motifs": found}))

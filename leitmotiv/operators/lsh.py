@@ -86,6 +86,11 @@ def bucket_sizes(sig: DataFrame, prefix: int) -> DataFrame:
     return sig.groupBy("series_id", "dim", "l", F.slice("code", 1, prefix).alias("key")).agg(F.count("*").alias("members"))
 
 
+def bucket_pairs(sig: DataFrame, prefix: int) -> int:
+    """How many pairs of windows share a bucket, in all dimensions and repetitions: the rows that a join on the buckets makes, at most."""
+    return int(bucket_sizes(sig, prefix).agg(F.sum(F.col("members").cast("decimal(38,0)") * (F.col("members") - 1) / 2)).first()[0] or 0)
+
+
 def unseen(now: DataFrame, before: DataFrame) -> DataFrame:
     """Candidates of a shorter prefix that were none at a longer one."""
     return now.join(before.select("series_id", "a", "b").distinct(), ["series_id", "a", "b"], "left_anti")

@@ -257,6 +257,10 @@ class Batches:
         self.done = repetitions
         self.work = repetitions * self.codes + compared * CANDIDATE_COST
 
+    def too_many(self, collisions: int) -> bool:
+        """Whether to join so many pairs costs more than the exact search; one costs at least what a pair's distances do."""
+        return self.cfg.may_end_exact and self.work + collisions >= self.pairs
+
     @property
     def spent(self) -> bool:
         return self.cfg.may_end_exact and self.work >= self.pairs
@@ -366,7 +370,12 @@ def _distributed(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
     compared, done = 0, 0
     plan = Batches(cfg, n)
     for i, reps in plan:
-        pairs = lsh.candidates(lsh.point_signatures(points, cfg.window, projections, reps), cfg.K - i, cfg.low, cfg.window).select("series_id", "a", "b").distinct()
+        signatures = written(lsh.point_signatures(points, cfg.window, projections, reps), "signatures")
+        # A flat stretch may share one bucket: before they are joined, the buckets' pairs must be fewer than the exact search has left.
+        if plan.too_many(lsh.bucket_pairs(signatures, cfg.K - i)):
+            yield SearchResult(_exactly(points, cfg), compared + plan.pairs, 0.0, time.perf_counter() - began, done, True)
+            return
+        pairs = lsh.candidates(signatures, cfg.K - i, cfg.low, cfg.window).select("series_id", "a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["series_id", "a", "b"], "left_anti")
         pairs = written(pairs, "pairs")

@@ -68,15 +68,17 @@ def read_tsf(spark: SparkSession, path: str, encoding: str = "windows-1252") ->
     if not heads and lines.isEmpty():
         raise ValueError("empty file")
     header = parse_header(heads)
-    rows = lines.where(~F.col("line").startswith("@") & ~F.col("line").startswith("#"))
+    data = ~F.col("line").startswith("@") & ~F.col("line").startswith("#")
+    rows = lines.where(data)
     if rows.isEmpty():
         raise ValueError("no series under @data")
     n = len(header.attributes)
     parts = F.split("line", ":", -1)
-    checked = F.when(F.size(parts) == n + 1, parts).otherwise(F.raise_error(F.lit("attributes or values are missing in a series")).cast("array<string>"))
+    # Filters that the optimizer adds may meet other lines first, so the errors name the lines they are for.
+    checked = F.when(data & (F.size(parts) == n + 1), parts).when(data, F.raise_error(F.lit("attributes or values are missing in a series")).cast("array<string>"))
     rows = rows.select("_at", checked.alias("p"))
     values = F.transform(F.split(F.element_at("p", n + 1), ","), lambda v: F.when(v != "?", v.cast("double")))
-    whole = F.when(F.exists(values, lambda v: v.isNotNull()), values).otherwise(F.raise_error(F.lit("all values of a series are missing")).cast("array<double>"))
+    whole = F.when(F.exists(values, lambda v: v.isNotNull()), values).when(F.col("p").isNotNull(), F.raise_error(F.lit("all values of a series are missing")).cast("array<double>"))
 
     def attribute(k: int, kind: str) -> Column:
         text = F.element_at("p", k + 1)
@@ -90,6 +92,7 @@ def tsf_points(df: DataFrame, series_id: str = "s", missing: float | None = 0.0)
     """Series as dimensions, in their order; missing values hold `missing`."""
     from pyspark.sql import Window
 
-    rows = df.select((F.dense_rank().over(Window.orderBy("series_no")) - 1).cast("int").alias("dim"), "series_value")  # one row a dimension
-    out = rows.select("dim", F.posexplode("series_value").alias("t", "value"))
+    # Only the numbers, one a dimension, are ranked together.
+    order = df.select("series_no").distinct().withColumn("dim", (F.row_number().over(Window.orderBy("series_no")) - 1).cast("int"))
+    out = df.join(order, "series_no").select("dim", F.posexplode("series_value").alias("t", "value"))
     return out.select(F.lit(series_id).alias("series_id"), F.col("t").cast("bigint").alias("t"), "dim", F.coalesce("value", F.lit(missing).cast("double")).alias("value"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leitmotiv.config import MotifConfig
+from leitmotiv.functions.written import written
 from leitmotiv.operators import lsh
 from leitmotiv.operators.distance import pack, profile_of_dims
 from leitmotiv.operators.topk import choose
@@ -64,8 +65,10 @@ class MotifStream:
         met = new.join(cut(self._get("sig", number)).withColumnRenamed("t", "y"), ["series_id", "dim", "l", "key"]).where(F.abs(F.col("x") - F.col("y")) > self.cfg.window)
         a, b = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
         agreed = met.select("series_id", "l", a, b, "dim").groupBy("series_id", "l", "a", "b").agg(F.count_distinct("dim").alias("n")).where(F.col("n") >= self.cfg.low)
-        whole = pack(self._get("z", number)).where(F.size("z") == self.dims)
-        return lsh.pair_windows(agreed.select("series_id", "a", "b").distinct(), whole)
+        pairs = written(agreed.select("series_id", "a", "b").distinct(), "pairs")
+        ends = pairs.select("series_id", F.explode(F.array("a", "b")).alias("t")).distinct()
+        whole = pack(self._get("z", number).join(ends, ["series_id", "t"], "left_semi")).where(F.size("z") == self.dims)
+        return lsh.pair_windows(pairs, whole)
 
     def _best(self, number: int) -> DataFrame:
         empty = self.spark.createDataFrame([], "series_id string, a bigint, b bigint, d int, distance double, dims array<int>, dim_dists array<double>")

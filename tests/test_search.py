@@ -146,6 +146,21 @@ def test_copies_and_flat_dimensions(spark):
     assert windows.subsequences(points, 8).where("dim = 2 and z[0] <> 0").count() == 0
 
 
+def test_a_flat_dimension_is_not_joined_with_itself(spark, monkeypatch):
+    """All its windows share a bucket, whose pairs are more than the exact search compares."""
+    x = noise(300, 3)
+    x[:, 2] = 7.0
+    points = frame(spark, x).cache()
+    want = exact.exact_motifs(points, 8, 2, 2).first()
+
+    def joined(*_):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(lsh, "candidates", joined)
+    got = search.find_motifs(points, MotifConfig(window=8, low=2, high=2, k=1, K=4, L=10, r=4), resident=10).motifs.first()
+    assert (got["a"], got["b"], got["distance"]) == (want["a"], want["b"], want["distance"])
+
+
 def test_gap_of_exactly_the_window(spark):
     pairs = pair_distances(frame(spark, noise(20, 2)), 5).select("a", "b").collect()
     assert min(p["b"] - p["a"] for p in pairs) == 6
