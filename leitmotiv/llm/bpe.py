@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from leitmotiv.llm.common import map_arrow, utf8
+from leitmotiv.llm.common import kept, map_arrow, utf8
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Entries that each of a worker's memos holds before it starts anew (some 150 MB in all); it bounds memory and changes no result.
@@ -199,15 +199,9 @@ class WordBPE:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-_loaded: dict[str, WordBPE] = {}
-
-
 def load(spec: str) -> WordBPE:
     """A worker's own tokenizer for the text of a tokenizer file."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = WordBPE(json.loads(spec))
-    return _loaded[key]
+    return kept("bpe", hashlib.sha256(spec.encode()).hexdigest(), lambda: WordBPE(json.loads(spec)))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -240,5 +234,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    out = map_arrow(docs.select(id_col, text_col), batch, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    out = map_arrow(docs.select(id_col, text_col), batch, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}", "bpe")
     return out.withColumnRenamed("id", id_col)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,12 +67,39 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to columns named as in schema."""
+#: What a Python worker keeps from task to task: by kind, a key and a value.
+_kept: dict[str, tuple[Any, Any]] = {}
+
+
+def kept(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """A worker's own value, made once for a key and kept until a step of another kind runs in the worker."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept[kind] = (key, make())
+    return _kept[kind][1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, kind: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches in slices without copies, so that the Python objects made of them stay few.
+
+    Workers outlive their tasks and stand beside the heap of the stages after them. So what other kinds of steps kept goes first, and
+    freed memory goes back to the system last.
+    """
+    for other in [k for k in _kept if k != kind]:
+        del _kept[other]
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, list] | None], schema: str, kind: str = "") -> DataFrame:
+    """mapInArrow with a function from a slice of a batch to columns named as in schema. kind: as in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (columns := function(batch)) is not None:
+        for batch in slices(batches, kind=kind):
+            if (columns := function(batch)) is not None:
                 yield pa.RecordBatch.from_pydict(columns)
 
     return df.mapInArrow(run, schema)

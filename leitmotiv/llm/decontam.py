@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.llm.common import utf8
+from leitmotiv.llm.common import slices, utf8
 from leitmotiv.llm.licenses import WORD
 
 BLOCK_CHARS = 8_000_000
@@ -266,7 +266,7 @@ def find_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for b in batches:
+            for b in slices(batches):
                 if found := own.search(utf8(b.column(1))):
                     yield pa.RecordBatch.from_pydict({
                         "id": b.column(0).take(pa.array([f[0] for f in found])), "item": [own.ids[f[1]] for f in found],
@@ -285,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, rec
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 leaking = {f[0] for f in shared.value.search(utf8(b.column(at)))}
                 yield b.filter(pa.array([k not in leaking for k in range(b.num_rows)], pa.bool_())) if leaking else b
 

@@ -31,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.llm.common import materialize, utf8
+from leitmotiv.llm.common import materialize, slices, utf8
 from leitmotiv.llm.licenses import WORD
 
 SAMPLE = 8000
 WORDS = 160
+#: Words whose features a worker remembers before it starts anew; it bounds memory and changes no result.
+MEMO = 100_000
 STEMS = (4, 5, 6)
 SYMBOLS = (b"!", b"|", b"#", b"$", b"%", b"&", b"*", b"?", b"<")
 UPPER, LOWER, DIGIT = re.compile(rb"[A-Z]"), re.compile(rb"[a-z]"), re.compile(rb"[0-9]")
@@ -93,7 +95,7 @@ def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each feature of a batch, the documents that have it: all, and those of each class."""
-    for b in batches:
+    for b in slices(batches):
         flat, doc = _lists(b)
         found, place = np.unique(flat, return_inverse=True)
         classes = {k: np.bincount(place, np.asarray(b.column(k))[doc], len(found)).astype(np.int64) for k in ("low", "toxic")}
@@ -155,7 +157,7 @@ class Evidence:
                 if hits:
                     held.update(hits)
             found.append(held)
-            if len(memo) > 300_000:
+            if len(memo) > MEMO:
                 memo.clear()
         return self.low(shapes, found), self.toxic(shapes, found)
 
@@ -167,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = utf8(b.column(3))
             words = pa.array([np.array(sorted(feature_set(t)), np.uint32).view(np.int32) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "low": pa.array([int(q == 0) for q in b.column(1).to_pylist()], pa.int32()), "toxic": b.column(2).cast(pa.int32()), "shape": pa.array([shape(t) for t in texts], pa.list_(pa.float64())), "words": words})
@@ -182,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     either = np.array(sorted({f for fs in chosen.values() for f in fs}), np.int32)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             flat, doc = _lists(b)
             kept = np.isin(flat, either)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=b.num_rows))]).astype(np.int32)
@@ -221,11 +223,11 @@ def score_quality(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            low, toxic = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in shared.value.log_odds(utf8(b.column(3))))
+        own = shared.value
+        for b in slices(batches):
+            low, toxic = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in own.log_odds(utf8(b.column(3))))
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "host": b.column(1), "path": b.column(2), "p_low": low, "p_toxic": toxic})
+        own.memo.clear()
 
     base = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     scored = materialize(base.mapInArrow(run, f"id {kind}, host string, path string, p_low double, p_toxic double"), "evidence")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.llm.common import batches_of, connected_components, materialize, utf8
+from leitmotiv.llm.common import batches_of, connected_components, materialize, slices, utf8
 
 #: Documents whose hashes are counted to order them, a bound for any corpus; and in how many of them a hash must be to come last.
 ORDER_SAMPLE = 30_000
@@ -86,7 +86,7 @@ SKETCH = "id long, n long, s1 long, s2 long, points binary, prefix array<long>"
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int, groups: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in slices(batches):
         out = {"n": [], "s1": [], "s2": [], "points": [], "prefix": []}
         for h in word_hashes(utf8(batch.column(1))):
             u = shingles(h, size)
@@ -113,7 +113,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
     """The hashes that at least COMMON of a sample of ORDER_SAMPLE documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for h in word_hashes(utf8(b.column(0))):
                 yield pa.RecordBatch.from_pydict({"h": shingles(h, size).view(np.int64)})
 
@@ -236,9 +236,7 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int, groups: int) -> Ite
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int, groups: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in slices(batches):
         x, y = _points(b.column(3), groups), _points(b.column(5), groups)
         ok = reaches(np.minimum(x, y).sum(1, dtype=np.int64), np.asarray(b.column(2)), np.asarray(b.column(4)), percent)
         yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(ok)), "b": b.column(1).filter(pa.array(ok))})
@@ -251,7 +249,7 @@ def _ordered(batches: Iterator[pa.RecordBatch], percent: int, common: np.ndarray
     def within(p: np.ndarray, late: np.ndarray, m: tuple) -> np.ndarray:
         return p[(late < m[0]) | ((late == m[0]) & (p <= m[1]))]
 
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for n_a, p_a, n_b, p_b in zip(batch.column(2).to_pylist(), _lists(batch.column(3)), batch.column(4).to_pylist(), _lists(batch.column(5))):
             late_a, late_b = _among(p_a, common), _among(p_b, common)
@@ -270,9 +268,7 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches):
         keep, memo = [], {}
         ids, texts = np.asarray(batch.column(0)), utf8(batch.column(2))
         hashes = word_hashes(texts + utf8(batch.column(3)))
