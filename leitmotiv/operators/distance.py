@@ -2,7 +2,7 @@
 
 Points are packed in chunks of consecutive t, each with a halo of the next window - 1, and every pair of chunks is one group, a cell. So an
 all-pairs comparison shuffles points, not windows: with n points, D dimensions and chunks of B, (1 + window / B) * n * D * 8 bytes for each of the n / B
-chunks. The cell makes its windows and compares them tile by tile, in Arrow batches; what follows is SQL.
+chunks. The cell makes its windows and compares them tile by tile (tiles.py), and returns what was found, not its pairs, unless these are asked for.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leitmotiv.operators import tiles
 from leitmotiv.operators.windows import ZERO_STD
 
 #: A tile's side, and a chunk's largest: long series have fewer and larger cells, so that neither the shuffle nor what cells return is in proportion
 #: to the number of tiles. A series has about SIDE chunks until they reach LARGEST.
-TILE, LARGEST, SIDE = 256, 4096, 32
+TILE, LARGEST, SIDE = 256, 8192, 32
 
 
 def pack(z: DataFrame) -> DataFrame:
@@ -49,6 +50,13 @@ def cells(packed: DataFrame) -> DataFrame:
     return out.select("series_id", F.least("chunk", "_o").alias("i"), F.greatest("chunk", "_o").alias("j"), "chunk", "size", "ts", "values")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Cells over as many tasks as there is room for: they are few bytes and much work, so their number of partitions is given, which Spark then keeps."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "series_id", "i", "j")
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
     """z of windows (the last axis), with mean and deviation summed in the order of windows.subsequences, and its guard for a deviation of 0."""
     mean, average, squares = np.zeros(x.shape[:-1]), np.zeros(x.shape[:-1]), np.zeros(x.shape[:-1])
@@ -88,45 +96,60 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
-def over_cells(
-    points: DataFrame, window: int, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, exclusion: int | None = None,
-    merge: Callable[[pa.Table], pa.Table] = lambda found: found, largest: int = LARGEST,
-) -> DataFrame:
-    """kernel(a, b, distances) of each tile's pairs with b - a > exclusion (the window, unless given); distances: pairs x dimensions. Its columns are
-    schema's but for series_id. merge makes one result of those of a cell's tiles, two at a time."""
+def over_cells(points: DataFrame, window: int, run: Callable[[tiles.Cell, int, int], dict], schema: str, exclusion: int | None = None, largest: int = LARGEST, double: bool = False) -> DataFrame:
+    """run(cell, i, j) of each two chunks with a pair b - a > exclusion (the window, unless given). Its columns are schema's but for series_id."""
     least = window if exclusion is None else exclusion
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
         series, i, j = (x.as_py() for x in key)
         sides = {table["chunk"][row].as_py(): _windows(table, row, window) for row in range(table.num_rows)}
-        found = pa.table(_empty(schema))
-        (left, za), (right, zb) = (sides.get(x, (np.zeros(0, np.int64), None)) for x in (i, j))
-        for m in range(0, len(left), TILE):
-            for n in range(0, len(right), TILE):
-                a, b = left[m : m + TILE], right[n : n + TILE]
-                x, y = np.nonzero(b[None, :] - a[:, None] > least)
-                if len(x):
-                    dist = np.stack([np.sqrt(squared(p[m : m + TILE], q[n : n + TILE]))[x, y] for p, q in zip(za, zb)], 1)
-                    one = pa.table(kernel(a[x], b[y], dist)).select(found.column_names)
-                    found = merge(pa.concat_tables([found, one])) if found.num_rows else one
-        return pa.table({"series_id": pa.array([series] * found.num_rows, pa.string())} | {c: found[c] for c in found.column_names})
+        found = _empty(schema)
+        (a, za), (b, zb) = (sides.get(x, (np.zeros(0, np.int64), None)) for x in (i, j))
+        if len(a) and len(b) and b[-1] - a[0] > least:
+            found = run(tiles.Cell(a, za, b, zb, least, double), i, j)
+        columns = {c: found[c] for c in _empty(schema)}
+        return pa.table({"series_id": pa.array([series] * len(next(iter(columns.values()))), pa.string())} | columns)
+
+    return dealt(cells(chunks(points, window, largest))).groupBy("series_id", "i", "j").applyInArrow(compare, f"series_id string, {schema}")
+
 
-    return cells(chunks(points, window, largest)).groupBy("series_id", "i", "j").applyInArrow(run, f"series_id string, {schema}")
+def lists(a: np.ndarray) -> pa.Array:
+    """Each row a list."""
+    kind = pa.int32() if a.dtype.kind == "i" else pa.float64()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel(), kind))
 
 
 def _empty(schema: str) -> dict:
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
     return {c.split()[0]: pa.array([], kinds[c.split()[1]]) for c in schema.split(", ")}
 
 
 def pair_distances(points: DataFrame, window: int, exclusion: int | None = None) -> DataFrame:
     """series_id, a, b, dist (array by dimension) of all pairs with b - a > exclusion (the window, unless given)."""
 
-    def kernel(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> dict:
-        offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * dist.shape[1])
-        return {"a": a, "b": b, "dist": pa.ListArray.from_arrays(offsets, pa.array(dist.ravel()))}
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        out = []
+        for x, y in cell.tiles():
+            p, q = np.nonzero(cell.b[None, y] - cell.a[x, None] > cell.least)
+            dist = np.stack([np.sqrt(squared(za[x], zb[y]))[p, q] for za, zb in zip(cell.za, cell.zb)], 1)
+            out.append((cell.a[x][p], cell.b[y][q], dist))
+        a, b, dist = (np.concatenate(v) for v in zip(*out))
+        return {"a": a, "b": b, "dist": lists(dist)}
+
+    return over_cells(points, window, run, "a bigint, b bigint, dist array<double>", exclusion, largest=TILE)
+
+
+def summary(points: DataFrame, window: int, high: int | None = None, exclusion: int | None = None) -> DataFrame:
+    """series_id, n, pairs, least, most, mean of all pairs' distances: of each dimension n or, given high, of those summed over the n = 1 to high best
+    dimensions. Pairs are counted in their cells and not made rows."""
+
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        found = tiles.summary(cell, high)
+        return {"n": np.arange(len(found["pairs"]), dtype=np.int32) + (1 if high else 0)} | found
 
-    return over_cells(points, window, kernel, "a bigint, b bigint, dist array<double>", exclusion, largest=TILE)
+    found = over_cells(points, window, run, "n int, pairs bigint, least double, most double, total double", exclusion, double=True).where("pairs > 0")
+    total = found.groupBy("series_id", "n").agg(F.sum("pairs").alias("pairs"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"))
+    return total.select("series_id", "n", "pairs", "least", "most", (F.col("total") / F.col("pairs")).alias("mean"))
 
 
 def ranked_dims(dist: Column) -> Column:

@@ -4,52 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leitmotiv.functions.written import written
-from leitmotiv.operators.distance import over_cells
+from leitmotiv.operators import tiles
+from leitmotiv.operators.distance import lists, over_cells
 from leitmotiv.operators.topk import greedy, top
 
 
-def _best_of(dist: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(dist, axis=1, kind="stable")[:, :d]
-    part = np.take_along_axis(dist, order, 1)
-    out = np.zeros(len(dist))
-    for m in range(d):  # in this order, as a running sum has it
-        out += part[:, m]
-    return out, order
-
-
-def _lists(a: np.ndarray) -> pa.Array:
-    kind = pa.int32() if a.dtype.kind == "i" else pa.float64()
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel(), kind))
-
-
 MOTIF = "d int, a bigint, b bigint, distance double, dims array<int>, dim_dists array<double>"
 
 
 def best_pairs(points: DataFrame, window: int, low: int, high: int, keep: int, exclusion: int | None = None) -> DataFrame:
     """Of every series and d: each cell's `keep` best pairs; so at least the `keep` best of all."""
 
-    def kernel(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> dict:
-        parts = []
-        for d in range(low, high + 1):
-            distance, order = _best_of(dist, d)
-            at = np.arange(len(a)) if len(a) <= keep else np.flatnonzero(distance <= np.partition(distance, keep - 1)[keep - 1])
-            at = at[np.lexsort((b[at], a[at], distance[at]))[:keep]]
-            dims = order[at]
-            parts.append((np.full(len(at), d, np.int32), a[at], b[at], distance[at], _lists(dims), _lists(np.take_along_axis(dist[at], dims, 1))))
-        join = lambda k: pa.concat_arrays([p[k] if isinstance(p[k], pa.Array) else pa.array(p[k]) for p in parts])
-        return {c.split()[0]: join(k) for k, c in enumerate(MOTIF.split(", "))}
-
-    def merge(found: pa.Table) -> pa.Table:
-        d, a, b, distance = (np.asarray(found[c]) for c in ("d", "a", "b", "distance"))
-        order = np.lexsort((b, a, distance, d))
-        place = np.arange(len(order)) - np.searchsorted(d[order], d[order])  # within its d
-        return found.take(order[place < keep])
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        found = tiles.best(cell, range(low, high + 1), keep)
+        flat = {c: np.concatenate([f[c] for f in found.values()]) for c in ("a", "b", "distance")}
+        nested = {c: pa.concat_arrays([lists(f[c]) for f in found.values()]) for c in ("dims", "dim_dists")}
+        return {"d": np.repeat(np.array(list(found), np.int32), [len(f["a"]) for f in found.values()])} | flat | nested
 
-    return over_cells(points, window, kernel, MOTIF, exclusion, merge)
+    return over_cells(points, window, run, MOTIF, exclusion)
 
 
 def exact_motifs(points: DataFrame, window: int, low: int, high: int, k: int = 1, keep: int = 1000, exclusion: int | None = None) -> DataFrame:
@@ -71,37 +47,60 @@ def exact_motifs(points: DataFrame, window: int, low: int, high: int, k: int = 1
 def matrix_profile(points: DataFrame, window: int, low: int, high: int, exclusion: int | None = None) -> DataFrame:
     """series_id, d, t, distance, neighbour: each window's nearest other outside the exclusion zone (ties: the smaller t)."""
 
-    def kernel(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> dict:
-        out = {c: [] for c in ("d", "t", "distance", "neighbour")}
-        for d in range(low, high + 1):
-            distance, _ = _best_of(dist, d)
-            at, other, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([distance, distance])
-            order = np.lexsort((other, both, at))
-            first = order[np.unique(at[order], return_index=True)[1]]
-            for c, v in (("d", np.full(len(first), d, np.int32)), ("t", at[first]), ("distance", both[first]), ("neighbour", other[first])):
-                out[c].append(v)
-        return {c: np.concatenate(v) for c, v in out.items()}
-
-    def merge(found: pa.Table) -> pa.Table:
-        d, t, distance, neighbour = (np.asarray(found[c]) for c in ("d", "t", "distance", "neighbour"))
-        order = np.lexsort((neighbour, distance, t, d))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(d[order]) != 0) | (np.diff(t[order]) != 0)
-        return found.take(order[new])
-
-    found = over_cells(points, window, kernel, "d int, t bigint, distance double, neighbour bigint", exclusion, merge)
-    least = found.groupBy("series_id", "d", "t").agg(F.min(F.struct("distance", "neighbour")).alias("m"))
-    return least.select("series_id", "d", "t", F.col("m.distance").alias("distance"), F.col("m.neighbour").alias("neighbour"))
+    found = nearest_others(points, window, range(low, high + 1), "ab", exclusion)
+    return found.drop("later")
+
+
+def nearest_others(points: DataFrame, window: int, ds: range, sides: str, exclusion: int | None = None) -> DataFrame:
+    """series_id, d, t, distance, neighbour, later: of each window the nearest other on the sides asked for, as an earlier (a) or a later (b) window of a
+    pair, and how many windows are later.
+
+    A cell returns one row for each of its chunks and d, with its windows' nearest in arrays, which are then merged by chunk.
+    """
+    schema = "d int, chunk bigint, t array<bigint>, distance array<double>, neighbour array<bigint>, later array<bigint>"
+    kinds = {"t": pa.int64(), "distance": pa.float64(), "neighbour": pa.int64(), "later": pa.int64()}
+
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        out: dict[str, list] = {c: [] for c in ("d", "chunk", *kinds)}
+        for side, own in tiles.nearest(cell, ds, sides).items():
+            t = cell.a if side == "a" else cell.b
+            later = len(cell.b) - np.searchsorted(cell.b, cell.a + cell.least, "right") if side == "a" else np.zeros(len(t), np.int64)
+            for k, d in enumerate(ds):
+                for c, v in (("d", d), ("chunk", i if side == "a" else j), ("t", t), ("distance", own.distance[k]), ("neighbour", own.other[k]), ("later", later)):
+                    out[c].append(v)
+        return {c: pa.array(v, pa.list_(kinds[c]) if c in kinds else pa.int32() if c == "d" else pa.int64()) for c, v in out.items()}
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        arrays = lambda c: (np.asarray(x.values) for x in table[c])
+        t, later = np.asarray(table["t"][0].values), sum(arrays("later"))
+        distance, neighbour = np.full(len(t), np.inf), np.zeros(len(t), np.int64)
+        for far, other in zip(arrays("distance"), arrays("neighbour")):
+            better = (far < distance) | ((far == distance) & (other < neighbour))
+            distance, neighbour = np.where(better, far, distance), np.where(better, other, neighbour)
+        has = np.isfinite(distance)
+        n = int(has.sum())
+        return pa.table({
+            "series_id": pa.array([key[0].as_py()] * n, pa.string()), "d": np.full(n, key[1].as_py(), np.int32), "t": t[has], "distance": distance[has],
+            "neighbour": neighbour[has], "later": later[has],
+        })
+
+    found = over_cells(points, window, run, schema, exclusion)
+    return found.groupBy("series_id", "d", "chunk").applyInArrow(merge, "series_id string, d int, t bigint, distance double, neighbour bigint, later bigint")
+
+
+def _over(x: Column, y: Column) -> Column:
+    """x / y as floating point has it: past a minimum of 0, which exact copies have, infinite or, for 0, not a number."""
+    return F.when(y != 0, F.try_divide(x, y)).when(x == 0, F.lit(float("nan"))).when(y == 0, F.lit(float("inf")))
 
 
 def relative_contrast(profile: DataFrame) -> DataFrame:
     """series_id, d, contrast: the profile's mean over its minimum."""
-    return profile.groupBy("series_id", "d").agg((F.avg("distance") / F.min("distance")).alias("contrast"))
+    return profile.groupBy("series_id", "d").agg(_over(F.avg("distance"), F.min("distance")).alias("contrast"))
 
 
 def profile_contrast(profile: DataFrame) -> DataFrame:
     """series_id, d, contrast: the nearest-neighbour distance of the most isolated window over that of the best pair."""
-    return profile.groupBy("series_id", "d").agg((F.max("distance") / F.min("distance")).alias("contrast"), F.max_by("t", F.struct("distance", -F.col("t"))).alias("discord"), F.min_by("t", F.struct("distance", "t")).alias("motif"))
+    return profile.groupBy("series_id", "d").agg(_over(F.max("distance"), F.min("distance")).alias("contrast"), F.max_by("t", F.struct("distance", -F.col("t"))).alias("discord"), F.min_by("t", F.struct("distance", "t")).alias("motif"))
 
 
 def occurrences(z: DataFrame, motifs: DataFrame, window: int, most: float = 2.0) -> DataFrame:
