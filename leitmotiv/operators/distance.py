@@ -64,9 +64,8 @@ def normalised(x: np.ndarray) -> np.ndarray:
         v = x[..., n]
         mean += v
         delta = v - average
-        step = delta / (n + 1)
-        average += step
-        squares += delta * (delta - step)
+        average += delta / (n + 1)
+        squares += delta * (v - average)
     std = np.sqrt(squares / x.shape[-1])
     return (x - (mean / x.shape[-1])[..., None]) / np.where(std == 0, ZERO_STD, std)[..., None]
 

@@ -41,13 +41,26 @@ def subsequences(points: DataFrame, window: int, chunk: int = CHUNK) -> DataFram
     over = _frame(0, window - 1)
     out = chunked(points, window - 1, chunk=chunk).select(
         "series_id", "t", "dim", "_own",
-        F.collect_list("value").over(over).alias("values"), F.avg("value").over(over).alias("mean"),
-        F.stddev_pop("value").over(over).alias("std"), F.max("t").over(over).alias("last"),
+        F.collect_list("value").over(over).alias("values"), F.avg("value").over(over).alias("mean"), F.max("t").over(over).alias("last"),
     )
-    out = out.where((F.size("values") == window) & (F.col("last") == F.col("t") + window - 1) & F.col("_own")).drop("last", "_own")
+    out = out.where((F.size("values") == window) & (F.col("last") == F.col("t") + window - 1) & F.col("_own"))
+    out = out.select("series_id", "t", "dim", "mean", deviation("values").alias("std"), "values")
     return out.withColumn("z", F.transform("values", lambda x: (x - F.col("mean")) / guarded(F.col("std"))))
 
 
+def deviation(values: Column) -> Column:
+    """The population's deviation by Welford's sums, each square from the differences to the mean before and after, as DuckDB has it: stddev_pop differs in
+    the last bits, which decide a symbol where a segment's mean is at a breakpoint."""
+
+    def add(s: Column, x: Column) -> Column:
+        n, gap = s["n"] + 1.0, x - s["mean"]
+        mean = s["mean"] + gap / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * gap).alias("squares"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(values, none, add, lambda s: F.sqrt(s["squares"] / s["n"]))
+
+
 def guarded(std: Column) -> Column:
     return F.when(std == 0, ZERO_STD).otherwise(std)
 
