@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,10 +18,12 @@ from leitmotiv.operators.topk import greedy, top
 MOTIF = "d int, a bigint, b bigint, distance double, dims array<int>, dim_dists array<double>"
 
 
-def best_pairs(points: DataFrame, window: int, low: int, high: int, keep: int, exclusion: int | None = None) -> DataFrame:
-    """Of every series and d: each cell's `keep` best pairs; so at least the `keep` best of all."""
+def best_pairs(points: DataFrame, window: int, low: int, high: int, keep: int, exclusion: int | None = None, only: Callable[[tiles.Cell], None] | None = None) -> DataFrame:
+    """Of every series and d: each cell's `keep` best pairs; so at least the `keep` best of all. only: limits a cell to the pairs that count."""
 
     def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        if only:
+            only(cell)
         found = tiles.best(cell, range(low, high + 1), keep)
         flat = {c: np.concatenate([f[c] for f in found.values()]) for c in ("a", "b", "distance")}
         nested = {c: pa.concat_arrays([lists(f[c]) for f in found.values()]) for c in ("dims", "dim_dists")}
@@ -28,14 +32,14 @@ def best_pairs(points: DataFrame, window: int, low: int, high: int, keep: int, e
     return over_cells(points, window, run, MOTIF, exclusion)
 
 
-def exact_motifs(points: DataFrame, window: int, low: int, high: int, k: int = 1, keep: int = 1000, exclusion: int | None = None) -> DataFrame:
+def exact_motifs(points: DataFrame, window: int, low: int, high: int, k: int = 1, keep: int = 1000, exclusion: int | None = None, only: Callable[[tiles.Cell], None] | None = None) -> DataFrame:
     """series_id, d, rank, a, b, distance, dims, dim_dists: for each d the k best pairs that don't overlap.
 
     The greedy choice sees the `keep` best pairs. Where these hold fewer than k and weren't all there are, it is made again over four
     times as many, so the result is the one over all pairs. Each list is written, so that a lost executor doesn't repeat the search.
     """
     while True:
-        pairs = written(top(best_pairs(points, window, low, high, keep, exclusion), keep, "series_id", "d"), "best")
+        pairs = written(top(best_pairs(points, window, low, high, keep, exclusion, only), keep, "series_id", "d"), "best")
         chosen = greedy(pairs, k, window, "series_id", "d")
         seen = pairs.groupBy("series_id", "d").count()
         short = seen.join(chosen.groupBy("series_id", "d").agg(F.count("*").alias("n")), ["series_id", "d"]).where((F.col("n") < k) & (F.col("count") >= keep))

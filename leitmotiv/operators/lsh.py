@@ -3,20 +3,23 @@
 A signature has K codes floor((a . z + b) / r); all dimensions share the projections. Tensored repetitions take the even codes from one of
 ceil(sqrt L) left groups and the odd ones from a right group, so L repetitions need few projections. Candidates are an equi-join on
 (dimension, repetition, prefix) with the exclusion zone as its residual condition, and a count of dimensions. Signatures go
-through the join, the windows' values don't.
+through the join, the windows' values don't. Where prefixes are short and buckets hold much of a series, cells of chunks of points do the same without a
+join (candidates_in_cells and what follows it).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leitmotiv.functions.random import gaussian, uniform
+from leitmotiv.operators import tiles
+from leitmotiv.operators.distance import cells, chunks, dealt, over_cells
 from leitmotiv.operators.windows import ZERO_STD, chunked
 
 
@@ -82,6 +85,110 @@ def candidates(sig: DataFrame, prefix: int, least_dims: int, exclusion: int) ->
     return collisions(sig, prefix, exclusion).groupBy("series_id", "l", "a", "b").agg(F.count("*").alias("n_dims")).where(F.col("n_dims") >= least_dims)
 
 
+class Buckets:
+    """Of a cell's windows and each prefix length asked for: by repetition and dimension the number of the bucket, the same on both sides."""
+
+    def __init__(self, cell: tiles.Cell, projections: Projections, prefixes: tuple[int, ...]) -> None:
+        self.cell, n = cell, len(cell.a)
+        rows = np.array(projections.rows)
+        codes = [np.concatenate([projections.codes(za), projections.codes(zb)])[:, rows].astype(np.int64) for za, zb in zip(cell.za, cell.zb)]
+        self.keys = {p: [[_numbered(c[:, rep, :p]) for c in codes] for rep in range(len(rows))] for p in prefixes}
+        self.sides = {p: [[(k[:n], k[n:]) for k in dims] for dims in reps] for p, reps in self.keys.items()}
+
+    def agree(self, prefix: int, rep: int, x: slice, y: slice) -> np.ndarray:
+        """On how many dimensions the windows of a tile agree in one repetition; 0 inside the zone."""
+        out = np.zeros((x.stop - x.start, y.stop - y.start), np.uint16)
+        for a, b in self.sides[prefix][rep]:
+            out += a[x, None] == b[None, y]
+        if (counted := self.cell.counted(x, y)) is not True:
+            out *= counted
+        return out
+
+    def met(self, prefix: int, least_dims: int, x: slice, y: slice) -> np.ndarray:
+        """Which pairs of a tile agree on least_dims dimensions in any repetition."""
+        out = np.zeros((x.stop - x.start, y.stop - y.start), bool)
+        for rep in range(len(self.sides[prefix])):
+            out |= self.agree(prefix, rep, x, y) >= least_dims
+        return out
+
+
+def _numbered(codes: np.ndarray) -> np.ndarray:
+    """The number of each row among the distinct ones."""
+    out = np.zeros(len(codes), np.int64)
+    for c in codes.T:
+        c = np.unique(c, return_inverse=True)[1]
+        out = np.unique(out * (c.max() + 1) + c, return_inverse=True)[1]
+    return out.astype(np.uint16 if len(out) < 1 << 16 else np.int64)
+
+
+#: The largest chunk where cells return pairs: what a cell returns at most, if all its windows share a bucket, is that squared.
+PAIRS_LARGEST = 2048
+
+
+def _pairs_of(cell: tiles.Cell, of: Callable[[slice, slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found = [(cell.a[x][i], cell.b[y][j]) for x, y in cell.tiles() for i, j in [np.nonzero(of(x, y))]]
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def candidates_in_cells(points: DataFrame, window: int, projections: Projections, prefix: int, least_dims: int) -> DataFrame:
+    """candidates() of short prefixes, straight from points: where buckets hold a large part of all windows, their join makes about as many rows a dimension as
+    there are pairs, and each has to be shuffled to be counted. Here a cell makes its windows' codes and counts equal buckets tile by tile."""
+
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        buckets, out = Buckets(cell, projections, (prefix,)), {c: [] for c in ("l", "a", "b", "n_dims")}
+        for x, y in cell.tiles():
+            for rep in range(projections.L):
+                n = buckets.agree(prefix, rep, x, y)
+                p, q = np.nonzero(n >= least_dims)
+                for c, v in (("l", np.full(len(p), rep, np.int32)), ("a", cell.a[x][p]), ("b", cell.b[y][q]), ("n_dims", n[p, q].astype(np.int64))):
+                    out[c].append(v)
+        return {c: np.concatenate(v) for c, v in out.items()}
+
+    return over_cells(points, window, run, "l int, a bigint, b bigint, n_dims bigint", largest=PAIRS_LARGEST)
+
+
+def unseen_in_cells(points: DataFrame, window: int, projections: Projections, prefix: int, before: int, least_dims: int) -> DataFrame:
+    """series_id, a, b: the pairs that any repetition has as candidates at prefix and none at the longer one before, each once."""
+
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        buckets = Buckets(cell, projections, (prefix, before))
+        a, b = _pairs_of(cell, lambda x, y: buckets.met(prefix, least_dims, x, y) & ~buckets.met(before, least_dims, x, y))
+        return {"a": a, "b": b}
+
+    return over_cells(points, window, run, "a bigint, b bigint", largest=PAIRS_LARGEST)
+
+
+def pairs_met(points: DataFrame, window: int, projections: Projections, prefixes: tuple[int, ...], least_dims: int) -> DataFrame:
+    """prefix, pairs: how many pairs are candidates in any repetition."""
+
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        buckets = Buckets(cell, projections, prefixes)
+        return {"prefix": np.array(prefixes, np.int32), "pairs": np.array([sum(np.count_nonzero(buckets.met(p, least_dims, x, y)) for x, y in cell.tiles()) for p in prefixes])}
+
+    return over_cells(points, window, run, "prefix int, pairs bigint").groupBy("prefix").agg(F.sum("pairs").alias("pairs"))
+
+
+def dims_met(points: DataFrame, window: int, projections: Projections, prefix: int) -> DataFrame:
+    """n_dims, pairs: over all repetitions, how many pairs agree on how many dimensions, from 1."""
+
+    def run(cell: tiles.Cell, i: int, j: int) -> dict:
+        buckets, dims = Buckets(cell, projections, (prefix,)), len(cell.za)
+        n = sum(np.bincount(buckets.agree(prefix, rep, x, y).ravel(), minlength=dims + 1) for x, y in cell.tiles() for rep in range(projections.L))
+        return {"n_dims": np.arange(1, dims + 1), "pairs": n[1:]}
+
+    return over_cells(points, window, run, "n_dims bigint, pairs bigint").where("pairs > 0").groupBy("n_dims").agg(F.sum("pairs").alias("pairs"))
+
+
+def only_met(projections: Projections, prefix: int, least_dims: int) -> Callable[[tiles.Cell], None]:
+    """Limits a cell to the candidates of any repetition."""
+
+    def limit(cell: tiles.Cell) -> None:
+        buckets = Buckets(cell, projections, (prefix,))
+        cell.only = lambda x, y: buckets.met(prefix, least_dims, x, y)
+
+    return limit
+
+
 def bucket_sizes(sig: DataFrame, prefix: int) -> DataFrame:
     return sig.groupBy("series_id", "dim", "l", F.slice("code", 1, prefix).alias("key")).agg(F.count("*").alias("members"))
 
@@ -138,10 +245,34 @@ def minhash_bands(sig: DataFrame, permutations: int, rows: int) -> DataFrame:
 
 
 def minhash_candidates(bands: DataFrame, exclusion: int) -> DataFrame:
-    """series_id, a, b: windows that share a band's key in a repetition, b - a > exclusion."""
-    left, right = bands.withColumnRenamed("t", "a"), bands.withColumnRenamed("t", "b")
-    met = left.join(right, ["series_id", "l", "band", "key"]).where(F.col("b") - F.col("a") > exclusion)
-    return met.select("series_id", "a", "b").distinct()
+    """series_id, a, b: windows that share a band's key in a repetition, b - a > exclusion.
+
+    A window's keys are compared in cells, where each pair is looked at once. A join on the keys makes a pair once for every key it shares, and all of them would be
+    shuffled, and spilled, to be made distinct.
+    """
+    key = F.dense_rank().over(Window.orderBy("l", "band")) - 1
+    kinds = bands.select("l", "band").distinct().withColumn("dim", key.cast("int"))  # one row a repetition and band
+    keyed = bands.join(F.broadcast(kinds), ["l", "band"]).select("series_id", "t", "dim", F.col("key").alias("value"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        series, i, j = (x.as_py() for x in key)
+        sides = {table["chunk"][row].as_py(): [np.asarray(table[c][row].values) for c in ("ts", "values")] for row in range(table.num_rows)}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if i in sides and j in sides:
+            (a, x), (b, y) = sides[i], sides[j]
+            x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
+            for m in range(0, len(a), tiles.ROWS):
+                at = slice(m, m + tiles.ROWS)
+                met = np.zeros((len(a[at]), len(b)), bool)
+                for k in range(x.shape[1]):
+                    met |= x[at, k, None] == y[None, :, k]
+                met &= b[None, :] - a[at, None] > exclusion
+                p, q = np.nonzero(met)
+                found.append((a[at][p], b[q]))
+        a, b = (np.concatenate(v) for v in zip(*found))
+        return pa.table({"series_id": pa.array([series] * len(a), pa.string()), "a": a, "b": b})
+
+    return dealt(cells(chunks(keyed, 1, PAIRS_LARGEST))).groupBy("series_id", "i", "j").applyInArrow(run, "series_id string, a bigint, b bigint")
 
 
 def _gapless(t: np.ndarray, values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ comparing every pair in full.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -32,6 +32,8 @@ class Cell:
         self.unknown = not double and bool(np.isnan(na).any() or np.isnan(nb).any())  # sums keep what is not a number
         #: Most that a distance on one dimension may be off: the square's error, near 0.
         self.error = float(np.sqrt(4 * largest * (w + 4) * np.finfo(self.kind).eps))
+        #: Which pairs of a tile count, beside the zone; None: all.
+        self.only: Callable[[slice, slice], np.ndarray] | None = None
         self.space = np.empty((len(za) + 1, ROWS * COLUMNS), self.kind)
 
     def tiles(self) -> Iterator[tuple[slice, slice]]:
@@ -55,8 +57,17 @@ class Cell:
             near = b[None, :] - a[:, None] <= self.least
             for d in out:
                 d[near] = np.inf
+        if self.only:
+            rest = ~self.only(x, y)
+            for d in out:
+                d[rest] = np.inf
         return out
 
+    def counted(self, x: slice, y: slice) -> np.ndarray | bool:
+        """Which pairs of a tile are outside the zone; True: all."""
+        a, b = self.a[x], self.b[y]
+        return True if b[0] - a[-1] > self.least else b[None, :] - a[:, None] > self.least
+
     def running(self, found: list[np.ndarray], high: int) -> list[np.ndarray]:
         """The sums of the 1, 2, ... high smallest of the dimensions; found is overwritten."""
         s, spare = list(found), self.space[-1, : found[0].size].reshape(found[0].shape)
