@@ -47,6 +47,11 @@ class Cell:
         """Of each dimension: rows x times columns y, inf where a pair does not count; at most a tile of them."""
         a, b = self.a[x], self.b[y]
         out = [self.space[m, : len(a) * len(b)].reshape(len(a), len(b)) for m in range(len(self.left))]
+        only = self.only(x, y) if self.only else None
+        if only is not None and not only.any():
+            for d in out:
+                d.fill(np.inf)
+            return out
         for m, d in enumerate(out):
             np.matmul(self.left[m, x], self.right[m, :, y] if isinstance(y, slice) else self.right[m][:, y], out=d)
             np.maximum(d, 0, out=d)
@@ -57,10 +62,9 @@ class Cell:
             near = b[None, :] - a[:, None] <= self.least
             for d in out:
                 d[near] = np.inf
-        if self.only:
-            rest = ~self.only(x, y)
+        if only is not None:
             for d in out:
-                d[rest] = np.inf
+                d[~only] = np.inf
         return out
 
     def counted(self, x: slice, y: slice) -> np.ndarray | bool:

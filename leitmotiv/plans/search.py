@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from leitmotiv.config import MotifConfig
 from leitmotiv.functions.stop import miss_probability
 from leitmotiv.functions.written import written
-from leitmotiv.operators import lsh, sax
+from leitmotiv.operators import lsh, sax, tiles
 from leitmotiv.operators.distance import pack, profile_of_dims
 from leitmotiv.operators.exact import exact_motifs
 from leitmotiv.operators.topk import choose
@@ -37,6 +37,8 @@ from leitmotiv.operators.windows import ZERO_STD, impute_mean, jitter, orient, s
 RESIDENT = 8_000_000
 KEEP = 200
 PAIRS_AT_ONCE = 2_000_000
+#: A repetition compares its candidates tile by tile if its buckets hold more than PAIRS_AT_ONCE pairs and one in so many of all; and windows of a block of tiles.
+DENSE, BLOCK = 20, 4096
 MOTIFS = "d int, rank int, a bigint, b bigint, distance double, dims array<int>, dim_dists array<double>"
 
 
@@ -138,6 +140,57 @@ class Kernel:
             pairs = pairs[n >= least_dims]
             yield pairs // self.n, pairs % self.n
 
+    def dense(self, mixed: np.ndarray, least_dims: int) -> bool:
+        """Whether the buckets hold so many pairs that to list them costs more than to look at all pairs, in time or, where they are listed by dimension, in memory."""
+        dims = mixed.shape[1]
+        listed = math.comb(dims, least_dims) > 256
+        held = 0
+        for choice in [(m,) for m in range(dims)] if listed else combinations(range(dims), least_dims):
+            key = np.zeros(self.n, np.uint64)
+            for m in choice:
+                key = (key ^ mixed[:, m]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            n = np.unique(key, return_counts=True)[1].astype(float)
+            held += float((n * (n - 1) / 2).sum())
+        return held > (10 * PAIRS_AT_ONCE if listed else max(PAIRS_AT_ONCE, admissible(self.n, 0) / DENSE))
+
+    def search_tiles(self, mixed: np.ndarray, ds: list[int], taken: list[tuple[int, int]]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
+        """Of each d a and b of the KEEP best candidates that don't overlap the pairs taken, and how many candidates there are."""
+        numbers = [np.unique(k, return_inverse=True)[1] for k in mixed.T]
+        numbers = [k.astype(np.uint16 if k.max() < 1 << 16 else np.int64) for k in numbers]
+        at = np.arange(self.n)
+        free = np.ones(self.n, bool)
+        for q in taken:
+            for y in q:
+                free &= np.abs(at - y) >= self.cfg.window
+        compared = 0
+        found: dict[int, list] = {d: [] for d in ds}
+        step = max(256, min(BLOCK, 4_000_000 // (self.cfg.window * len(self.x))))
+        z = lambda s: (self.view[:, s] - self.mean[:, s, None]) / self.std[:, s, None]
+        for i in range(0, self.n, step):
+            for j in range(i, self.n, step):
+                p, q = slice(i, min(i + step, self.n)), slice(j, min(j + step, self.n))
+                cell = tiles.Cell(at[p], z(p), at[q], z(q), self.cfg.window)
+
+                def only(x: slice, y: slice) -> np.ndarray:
+                    nonlocal compared
+                    agree = np.zeros((x.stop - x.start, y.stop - y.start), np.uint16)
+                    for k in numbers:
+                        agree += k[p][x, None] == k[q][None, y]
+                    met = (agree >= min(ds)) & free[p][x, None] & free[q][None, y] & cell.counted(x, y)
+                    compared += int(np.count_nonzero(met))
+                    return met
+
+                cell.only = only
+                for d, own in tiles.best(cell, range(min(ds), max(ds) + 1), KEEP).items():
+                    if d in found:
+                        found[d].append((own["distance"], own["a"], own["b"]))
+        out = {}
+        for d, parts in found.items():
+            far, a, b = (np.concatenate(v) for v in zip(*parts))
+            order = np.lexsort((b, a, far))[:KEEP]
+            out[d] = a[order], b[order]
+        return out, compared
+
     def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty((len(a), len(self.x)))
         step = self.step
@@ -158,6 +211,15 @@ class Kernel:
         hashed = time.perf_counter() - began
         best: dict[int, list] = {d: [] for d in ds}
         compared, left_out = 0, set()
+        if self.dense(mixed, min(ds)):
+            near, compared = self.search_tiles(mixed, ds, taken)
+            for d, (a, b) in near.items():
+                dist = self.distances(a, b)
+                order, ranked, running = tiles.ranked(dist)
+                best[d] = sorted((running[i, d - 1], int(a[i]), int(b[i]), order[i, :d].tolist(), ranked[i, :d].tolist()) for i in range(len(a)))
+                if compared > KEEP:
+                    left_out.add(d)
+            return self._rows(best, left_out, compared, hashed)
         for a, b in self.candidates(mixed, min(ds)):
             for q in taken:
                 free = np.all([np.abs(x - y) >= self.cfg.window for x in (a, b) for y in q], axis=0)
@@ -183,7 +245,11 @@ class Kernel:
                 if len(best[d]) > KEEP:
                     left_out.add(d)
                     best[d] = best[d][:KEEP]
-        rows = [{"d": d, "distance": x[0], "a": x[1], "b": x[2], "dims": x[3], "dim_dists": x[4]} for d in ds for x in best[d]]
+        return self._rows(best, left_out, compared, hashed)
+
+    @staticmethod
+    def _rows(best: dict[int, list], left_out: set[int], compared: int, hashed: float) -> tuple[list[dict], dict[int, tuple], int, float]:
+        rows = [{"d": d, "distance": x[0], "a": x[1], "b": x[2], "dims": x[3], "dim_dists": x[4]} for d in best for x in best[d]]
         return rows, {d: best[d][-1][:3] for d in left_out}, compared, hashed
 
 
