@@ -13,6 +13,8 @@ import numpy as np
 
 #: A tile's rows and columns; pairs that are measured again at once.
 ROWS, COLUMNS, AGAIN = 128, 512, 200_000
+#: So many pairs of a tile with a close dimension are measured without ranking the tile; with more, that many tiles are ranked before it is tried again.
+FEW, REST = 256, 4
 #: Longer windows are compared in double precision, as the error of single precision grows with the square of their length.
 SINGLE = 32
 
@@ -32,8 +34,9 @@ class Cell:
         self.unknown = not double and bool(np.isnan(na).any() or np.isnan(nb).any())  # sums keep what is not a number
         #: Most that a distance on one dimension may be off: the square's error, near 0.
         self.error = float(np.sqrt(4 * largest * (w + 4) * np.finfo(self.kind).eps))
-        #: Which pairs of a tile count, beside the zone; None: all.
+        #: Which pairs of a tile count, beside the zone; None: all. one: the same of single pairs, given their rows on both sides.
         self.only: Callable[[slice, slice], np.ndarray] | None = None
+        self.one: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
         self.space = np.empty((len(za) + 1, ROWS * COLUMNS), self.kind)
 
     def tiles(self) -> Iterator[tuple[slice, slice]]:
@@ -43,18 +46,18 @@ class Cell:
                 if self.b[y.stop - 1] - self.a[x.start] > self.least:
                     yield x, y
 
-    def distances(self, x: slice | np.ndarray, y: slice | np.ndarray) -> list[np.ndarray]:
-        """Of each dimension: rows x times columns y, inf where a pair does not count; at most a tile of them."""
+    def distances(self, x: slice | np.ndarray, y: slice | np.ndarray, limited: bool = True) -> list[np.ndarray]:
+        """Of each dimension: rows x times columns y, inf where a pair does not count; at most a tile of them. Not limited: `only` is left to the caller."""
         a, b = self.a[x], self.b[y]
         out = [self.space[m, : len(a) * len(b)].reshape(len(a), len(b)) for m in range(len(self.left))]
-        only = self.only(x, y) if self.only else None
+        only = self.only(x, y) if self.only and limited else None
         if only is not None and not only.any():
             for d in out:
                 d.fill(np.inf)
             return out
         for m, d in enumerate(out):
             np.matmul(self.left[m, x], self.right[m, :, y] if isinstance(y, slice) else self.right[m][:, y], out=d)
-            np.maximum(d, 0, out=d)
+            np.abs(d, out=d)  # below 0 by the square's error at most
             np.sqrt(d, out=d)
             if self.unknown:
                 d[np.isnan(d)] = np.inf
@@ -67,6 +70,23 @@ class Cell:
                 d[~only] = np.inf
         return out
 
+    def close(self, x: slice, y: slice, most: float) -> tuple[np.ndarray, np.ndarray] | None:
+        """The pairs of a tile that have a dimension within most, as rows of both sides; None if they are more than FEW. No distance is taken for that."""
+        n = x.stop - x.start, y.stop - y.start
+        least, other = (s[: n[0] * n[1]].reshape(n) for s in self.space[:2])
+        for m in range(len(self.left)):
+            np.matmul(self.left[m, x], self.right[m, :, y], out=other if m else least)
+            if m:
+                (np.fmin if self.unknown else np.minimum)(least, other, out=least)
+        at = np.flatnonzero(least <= most * most)
+        if len(at) > FEW:
+            return None
+        i, j = at // n[1] + x.start, at % n[1] + y.start
+        ok = self.b[j] - self.a[i] > self.least
+        if self.one and len(at):
+            ok &= self.one(i, j)
+        return i[ok], j[ok]
+
     def counted(self, x: slice, y: slice) -> np.ndarray | bool:
         """Which pairs of a tile are outside the zone; True: all."""
         a, b = self.a[x], self.b[y]
@@ -177,26 +197,63 @@ def nearest(cell: Cell, ds: range, sides: str = "ab") -> dict[str, Nearest]:
 
 
 def best(cell: Cell, ds: range, keep: int) -> dict[int, dict[str, np.ndarray]]:
-    """For each d the keep best pairs by (distance, a, b): a, b, distance, dims, dim_dists."""
+    """For each d the keep best pairs by (distance, a, b): a, b, distance, dims, dim_dists.
+
+    Once there are keep pairs, a tile counts only if one of its pairs has a dimension within the last one's distance over d, as the smallest of d distances has
+    to be; and after keep pairs of distance 0, only rows up to the last one's, as tiles go by rows.
+    """
     kinds = {"a": np.int64, "b": np.int64, "distance": float}
     out = {d: {c: np.zeros(0, t) for c, t in kinds.items()} | {"dims": np.zeros((0, d), np.int64), "dim_dists": np.zeros((0, d))} for d in ds}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in ds}
+    last = lambda d: out[d]["distance"][-1] if len(out[d]["a"]) == keep else np.inf
+    rest = 0
+
+    def settle(d: int) -> None:
+        i, j = (np.concatenate(v) for v in zip(*held[d])) if held[d] else (np.zeros(0, np.int64),) * 2
+        held[d] = []
+        for k in range(0, len(i), AGAIN):
+            p, q = i[k : k + AGAIN], j[k : k + AGAIN]
+            order, part, running = ranked(cell.exact(p, q))
+            new = {"a": cell.a[p], "b": cell.b[q], "distance": running[:, d - 1], "dims": order[:, :d], "dim_dists": part[:, :d]}
+            both = {c: np.concatenate([out[d][c], v]) for c, v in new.items()}
+            at = np.lexsort((both["b"], both["a"], both["distance"]))[:keep]
+            out[d] = {c: v[at] for c, v in both.items()}
+
+    def hold(d: int, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            held[d].append((i, j))
+            if last(d) == np.inf or sum(len(x) for x, _ in held[d]) >= max(keep, 64):
+                settle(d)
+
     for x, y in cell.tiles():
-        for d, far in zip(ds, cell.running(cell.distances(x, y), ds[-1])[ds[0] - 1 :]):
-            have, slack = out[d], d * cell.error
-            if len(have["a"]) == keep:
-                limit = have["distance"][-1] + slack
+        wanted = [d for d in ds if last(d) > 0 or cell.a[x.start] <= out[d]["a"][-1]]
+        if not wanted:
+            break
+        full = all(last(d) < np.inf for d in wanted) and not (cell.only and not cell.one)
+        if full and not rest:
+            if (pairs := cell.close(x, y, max(last(d) / d for d in wanted) + cell.error)) is not None:
+                for d in wanted:
+                    hold(d, *pairs)
+                continue
+            rest = REST
+        rest = max(0, rest - 1)
+        running = cell.running(cell.distances(x, y, not full), wanted[-1])
+        for d in wanted:
+            far, slack = running[d - 1].ravel(), d * cell.error
+            if last(d) < np.inf:
+                limit = last(d) + slack
                 if far.min() > limit:
                     continue
             else:
-                limit = np.inf if far.size <= keep else np.partition(far, keep - 1, None)[keep - 1] + 2 * slack
-            i, j = np.nonzero((far <= limit) & np.isfinite(far))
-            for k in range(0, len(i), AGAIN):
-                p, q = i[k : k + AGAIN] + x.start, j[k : k + AGAIN] + y.start
-                order, part, running = ranked(cell.exact(p, q))
-                new = {"a": cell.a[p], "b": cell.b[q], "distance": running[:, d - 1], "dims": order[:, :d], "dim_dists": part[:, :d]}
-                both = {c: np.concatenate([have[c], v]) for c, v in new.items()}
-                at = np.lexsort((both["b"], both["a"], both["distance"]))[:keep]
-                have = out[d] = {c: v[at] for c, v in both.items()}
+                limit = np.inf if far.size <= keep else np.partition(far, keep - 1)[keep - 1] + 2 * slack
+            at = np.flatnonzero(far <= limit if limit < np.inf else np.isfinite(far))
+            i, j = at // (y.stop - y.start) + x.start, at % (y.stop - y.start) + y.start
+            if full and cell.one:
+                ok = cell.one(i, j)
+                i, j = i[ok], j[ok]
+            hold(d, i, j)
+    for d in ds:
+        settle(d)
     return out
 
 
@@ -218,7 +275,7 @@ def summary(cell: Cell, high: int | None = None) -> dict[str, np.ndarray]:
             out["most"][k] = max(out["most"][k], inside.max())
             low = inside.min()
             if out["least"][k] and low <= out["least"][k] + (k + 1) * cell.error:
-                i, j = np.nonzero((far <= low + 2 * (k + 1) * cell.error) & np.isfinite(far))
+                i, j = np.divmod(np.flatnonzero((far <= low + 2 * (k + 1) * cell.error) & np.isfinite(far)), far.shape[1])
                 for at in range(0, len(i), AGAIN):
                     dist = cell.exact(i[at : at + AGAIN] + x.start, j[at : at + AGAIN] + y.start)
                     out["least"][k] = min(out["least"][k], (ranked(dist)[2] if high else dist)[:, k].min())
