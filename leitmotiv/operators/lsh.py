@@ -104,6 +104,39 @@ class Buckets:
             out *= counted
         return out
 
+    def met_one(self, prefix: int, least_dims: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """met() of single pairs, given their rows on both sides."""
+        out = np.zeros(len(i), bool)
+        for dims in self.sides[prefix]:
+            out |= sum((a[i] == b[j]).astype(np.uint16) for a, b in dims) >= least_dims
+        return out
+
+    def count_met(self, prefix: int, least_dims: int) -> int:
+        """How many pairs of the cell are met(). A bucket's windows b are a row of bits, so 64 pairs are looked at at once."""
+        a, b = self.cell.a, self.cell.b
+        words = np.arange(-(-len(b) // 64))
+        met = np.zeros((len(a), len(words)), np.uint64)
+        for dims in self.sides[prefix]:
+            tables = [_bits(q, int(max(p.max(), q.max())) + 1) for p, q in dims]
+            for k in range(0, len(a), tiles.ROWS):
+                x = slice(k, k + tiles.ROWS)
+                level = [np.zeros_like(met[x]) for _ in range(least_dims)]  # agree on 1, 2, ... dimensions at least
+                for (p, _), table in zip(dims, tables):
+                    hit = table[p[x]]
+                    for m in range(least_dims - 1, 0, -1):
+                        level[m] |= level[m - 1] & hit
+                    level[0] |= hit
+                met[x] |= level[-1]
+        total = 0
+        for k in range(0, len(a), tiles.ROWS):
+            x = slice(k, k + tiles.ROWS)
+            first = np.searchsorted(b, a[x] + self.cell.least, "right")[:, None]  # the b before are inside the zone
+            if first.max() > 0:
+                part = ~np.uint64(0) << (first % 64).astype(np.uint64)
+                met[x] &= np.where(words > first // 64, ~np.uint64(0), np.where(words == first // 64, part, np.uint64(0)))
+            total += int(np.bitwise_count(met[x]).sum(dtype=np.int64))
+        return total
+
     def met(self, prefix: int, least_dims: int, x: slice, y: slice) -> np.ndarray:
         """Which pairs of a tile agree on least_dims dimensions in any repetition."""
         out = np.zeros((x.stop - x.start, y.stop - y.start), bool)
@@ -114,13 +147,35 @@ class Buckets:
 
 def _numbered(codes: np.ndarray) -> np.ndarray:
     """The number of each row among the distinct ones."""
-    out = np.zeros(len(codes), np.int64)
-    for c in codes.T:
-        c = np.unique(c, return_inverse=True)[1]
-        out = np.unique(out * (c.max() + 1) + c, return_inverse=True)[1]
+    low, high = (v.astype(object) for v in (codes.min(0), codes.max(0)))
+    kinds = math.prod(high - low + 1)
+    if kinds < 1 << 62:
+        out = np.zeros(len(codes), np.int64)
+        for c, least, most in zip(codes.T, low, high):
+            out = out * (most - least + 1) + (c - least)
+        if kinds <= 4 * len(codes) + 65_536:  # numbered by a table, without sorting
+            seen = np.zeros(kinds, bool)
+            seen[out] = True
+            out = (np.cumsum(seen) - 1)[out]
+        else:
+            out = np.unique(out, return_inverse=True)[1]
+    else:
+        out = np.zeros(len(codes), np.int64)
+        for c in codes.T:
+            c = np.unique(c, return_inverse=True)[1]
+            out = np.unique(out * (c.max() + 1) + c, return_inverse=True)[1]
     return out.astype(np.uint16 if len(out) < 1 << 16 else np.int64)
 
 
+def _bits(keys: np.ndarray, kinds: int) -> np.ndarray:
+    """For each key below kinds a row of bits, in words of 64, that says where keys has it."""
+    out = np.zeros((kinds, -(-len(keys) // 64) * 8), np.uint8)
+    for k in range(8):
+        part = keys[k::8]
+        out[part, np.arange(len(part))] |= np.uint8(1 << k)  # a byte occurs once
+    return out.view("<u8")
+
+
 #: The largest chunk where cells return pairs: what a cell returns at most, if all its windows share a bucket, is that squared.
 PAIRS_LARGEST = 2048
 
@@ -163,7 +218,7 @@ def pairs_met(points: DataFrame, window: int, projections: Projections, prefixes
 
     def run(cell: tiles.Cell, i: int, j: int) -> dict:
         buckets = Buckets(cell, projections, prefixes)
-        return {"prefix": np.array(prefixes, np.int32), "pairs": np.array([sum(np.count_nonzero(buckets.met(p, least_dims, x, y)) for x, y in cell.tiles()) for p in prefixes])}
+        return {"prefix": np.array(prefixes, np.int32), "pairs": np.array([buckets.count_met(p, least_dims) for p in prefixes])}
 
     return over_cells(points, window, run, "prefix int, pairs bigint").groupBy("prefix").agg(F.sum("pairs").alias("pairs"))
 
@@ -185,6 +240,7 @@ def only_met(projections: Projections, prefix: int, least_dims: int) -> Callable
     def limit(cell: tiles.Cell) -> None:
         buckets = Buckets(cell, projections, (prefix,))
         cell.only = lambda x, y: buckets.met(prefix, least_dims, x, y)
+        cell.one = lambda i, j: buckets.met_one(prefix, least_dims, i, j)
 
     return limit
 
