@@ -70,6 +70,13 @@ class Cell:
                 d[~only] = np.inf
         return out
 
+    def distance(self, m: int, x: slice, y: slice) -> np.ndarray:
+        """Of one dimension, zone and all; the next call overwrites it."""
+        d = self.space[0, : (x.stop - x.start) * (y.stop - y.start)].reshape(x.stop - x.start, -1)
+        np.matmul(self.left[m, x], self.right[m, :, y], out=d)
+        np.abs(d, out=d)
+        return np.sqrt(d, out=d)
+
     def close(self, x: slice, y: slice, most: float) -> tuple[np.ndarray, np.ndarray] | None:
         """The pairs of a tile that have a dimension within most, as rows of both sides; None if they are more than FEW. No distance is taken for that."""
         n = x.stop - x.start, y.stop - y.start
@@ -257,25 +264,38 @@ def best(cell: Cell, ds: range, keep: int) -> dict[int, dict[str, np.ndarray]]:
     return out
 
 
+def distinct(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each window (dimension, window, offset) that differs from those before in some bit, and how often it is there."""
+    flat = np.ascontiguousarray(z.transpose(1, 0, 2)).reshape(z.shape[1], -1)
+    first, times = np.unique(flat.view(np.dtype((np.void, flat.shape[1] * flat.itemsize))).ravel(), return_index=True, return_counts=True)[1:]
+    order = np.argsort(first)
+    return first[order], times[order].astype(float)
+
+
 def summary(cell: Cell, high: int | None = None) -> dict[str, np.ndarray]:
-    """Of each dimension's distances or, given high, of the sums of the 1 to high smallest: pairs, least, most, total. The cell is in double precision."""
-    n = high or len(cell.za)
+    """Of each dimension's distances or, given high, of the sums of the 1 to high smallest: pairs, least, most, total. The cell is in double precision.
+
+    Where no pair is inside the zone, equal windows are compared once and count as often as they are there."""
+    n, times = high or len(cell.za), None
+    if cell.b[0] - cell.a[-1] > cell.least:
+        (a, own), (b, other) = distinct(cell.za), distinct(cell.zb)
+        if len(a) * len(b) < 0.9 * len(cell.a) * len(cell.b):
+            cell, times = Cell(cell.a[a], cell.za[:, a], cell.b[b], cell.zb[:, b], cell.least, double=True), (own, other)
     out = {"pairs": np.zeros(n, np.int64), "least": np.full(n, np.inf), "most": np.full(n, -np.inf), "total": np.zeros(n)}
     for x, y in cell.tiles():
-        found = cell.distances(x, y)
-        if high:
-            found = cell.running(found, high)
-        counted = None if cell.b[y.start] - cell.a[x.stop - 1] > cell.least else cell.b[None, y] - cell.a[x, None] > cell.least
-        for k, far in enumerate(found):
-            inside = far.ravel() if counted is None else far[counted]
+        ranks = cell.running(cell.distances(x, y), high) if high else (cell.distance(m, x, y) for m in range(n))  # of these one is in memory at a time
+        counted = cell.counted(x, y)
+        for k, far in enumerate(ranks):
+            inside = far.ravel() if counted is True else far[counted]
             if not len(inside):
                 continue
-            out["pairs"][k] += len(inside)
-            out["total"][k] += inside.sum()
+            out["pairs"][k] += int(times[0][x].sum() * times[1][y].sum()) if times else len(inside)
+            out["total"][k] += times[0][x] @ far @ times[1][y] if times else inside.sum()
             out["most"][k] = max(out["most"][k], inside.max())
             low = inside.min()
             if out["least"][k] and low <= out["least"][k] + (k + 1) * cell.error:
-                i, j = np.divmod(np.flatnonzero((far <= low + 2 * (k + 1) * cell.error) & np.isfinite(far)), far.shape[1])
+                near = far <= low + 2 * (k + 1) * cell.error
+                i, j = np.divmod(np.flatnonzero(near if counted is True else near & counted), far.shape[1])
                 for at in range(0, len(i), AGAIN):
                     dist = cell.exact(i[at : at + AGAIN] + x.start, j[at : at + AGAIN] + y.start)
                     out["least"][k] = min(out["least"][k], (ranked(dist)[2] if high else dist)[:, k].min())
