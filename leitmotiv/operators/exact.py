@@ -115,12 +115,21 @@ def occurrences(z: DataFrame, motifs: DataFrame, window: int, most: float = 2.0)
     near = z.join(base, ["series_id", "dim"]).where((F.abs(F.col("t") - F.col("a")) >= window) & (F.abs(F.col("t") - F.col("b")) >= window))
     dist = F.sqrt(F.aggregate(F.zip_with("z", "zm", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     found = near.groupBy("series_id", "rank", "t").agg(F.sum(dist).alias("distance")).where(F.col("distance") < most)
-    listed = found.groupBy("series_id", "rank").agg(F.sort_array(F.collect_list(F.struct("distance", "t"))).alias("_all"))
-    chosen = F.aggregate(
-        "_all", F.array().cast("array<struct<distance:double,t:bigint>>"),
-        lambda acc, x: F.when(~F.exists(acc, lambda y: F.abs(x["t"] - y["t"]) < window), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return listed.select("series_id", "rank", F.explode(chosen).alias("x")).select("series_id", "rank", F.col("x.t").alias("t"), F.col("x.distance").alias("distance"))
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        t, far = np.asarray(table["t"]), np.asarray(table["distance"])
+        taken: dict[int, int] = {}  # by t // window, which has one at most
+        kept = []
+        for k in np.lexsort((t, far)).tolist():
+            at = int(t[k])
+            own = at // window
+            if all(abs(at - taken[o]) >= window for o in (own - 1, own, own + 1) if o in taken):
+                taken[own] = at
+                kept.append(k)
+        return table.select(["series_id", "rank", "t", "distance"]).take(pa.array(kept, pa.int64()))
+
+    kind = dict(found.dtypes)["rank"]
+    return found.groupBy("series_id", "rank").applyInArrow(choose, f"series_id string, rank {kind}, t bigint, distance double")
 
 
 def highlight(points: DataFrame, motifs: DataFrame, window: int) -> DataFrame:
