@@ -39,7 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     was = whole.select("doc_id", mark).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     # Lists of ids are written first, so that the joins that read texts know their size.
     changed = materialize(was.join(docs.select("doc_id", mark), ["doc_id", "h"], "left_anti").select("doc_id").distinct(), "changed")
-    linked = shingles.link_documents(docs.select("doc_id", "text").unionByName(whole.join(changed, "doc_id", "left_semi")), size=5, percent=80)
+    # The join reads its texts several times, twice at once: with a table whose row groups are large, two would stand in one executor's memory.
+    before = materialize(whole.join(changed, "doc_id", "left_semi"), "before")
+    linked = shingles.link_documents(docs.select("doc_id", "text").unionByName(before), size=5, percent=80)
     gone = materialize(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated")
