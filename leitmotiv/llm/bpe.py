@@ -34,8 +34,28 @@ from pyspark.sql import DataFrame
 from leitmotiv.llm.common import kept, map_arrow, utf8
 
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Entries that each of a worker's memos holds before it starts anew (some 150 MB in all); it bounds memory and changes no result.
-MEMO = 400_000
+#: Entries of a generation of a worker's memos, of which each has two, and of the memo of pairs before it starts anew (some 150 MB in all, as
+#: two workers and a full heap share an executor's memory); it bounds memory and changes no result.
+MEMO = 100_000
+
+
+class Memo:
+    """Of the last entries asked for, the last `most` for certain and twice as many at most."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        if (out := self.new.get(key)) is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 def byte_characters() -> dict[int, str]:
@@ -83,9 +103,11 @@ class WordBPE:
         self.automaton.make_automaton()
         self.left: dict[int, tuple] = {}
         self.right: dict[int, tuple] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[bytes, tuple[str, int, str]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.shown = {str(i): t for i, t in self.token.items()}
+        # Ids joined by a space, the only form that is kept of a word or piece.
+        self.words = Memo(MEMO)
+        self.pieces = Memo(MEMO)
 
     def _symbols(self, token: str) -> str:
         if self.end and token.endswith(self.end) and token != self.end:
@@ -108,7 +130,7 @@ class WordBPE:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of a's and b's symbols, one after the other, is the two tokens a and b."""
-        if (out := self.pairs.get((a, b))) is None:
+        if (out := self.pairs.get(a << 32 | b)) is None:
             rank = self.rank
             out = not any(
                 (r := rank.get((x, y))) is not None and r < used_x and r <= used_y
@@ -117,11 +139,11 @@ class WordBPE:
             )
             if len(self.pairs) > 4 * MEMO:
                 self.pairs.clear()
-            self.pairs[a, b] = out
+            self.pairs[a << 32 | b] = out
         return out
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """The ids of one word as the splitting pattern yields it."""
+    def encode_word(self, word: str) -> str:
+        """The ids, joined by a space, of one word as the splitting pattern yields it."""
         if (out := self.words.get(word)) is not None:
             return out
         table = self.table
@@ -142,7 +164,7 @@ class WordBPE:
                 before = token[start]
                 if before is None:
                     continue
-                fits = known((before, t))
+                fits = known(before << 32 | t)
                 if fits is None:
                     fits = compatible(before, t)
                 if not fits:
@@ -152,34 +174,29 @@ class WordBPE:
         while at:
             ids.append(token[at])
             at = back[at]
-        out = tuple(reversed(ids))
-        if len(self.words) > MEMO:
-            self.words.clear()
-        self.words[word] = out
+        out = " ".join(map(str, reversed(ids)))
+        self.words.put(word, out)
         return out
 
-    def encode_piece(self, piece: bytes) -> tuple[str, int, str]:
-        """Of text without ASCII white space: ids and tokens, each joined by a space, and how many they are."""
+    def encode_piece(self, piece: bytes) -> str:
+        """Of text without ASCII white space: ids joined by a space."""
         if (out := self.pieces.get(piece)) is not None:
             return out
-        ids: list[int] = []
+        ids: list[str] = []
         text = piece.decode()
         parts = [(text, False)] if self.special_pattern is None or "<|" not in text else self._special_parts(text)
         for part, special in parts:
             if special:
-                ids.append(self.specials[part])
+                ids.append(str(self.specials[part]))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
             for word in (part,) if part.isalpha() else self.pattern.findall(part):
-                ids.extend(self.encode_word(word))
-        out = (" ".join(map(str, ids)), len(ids), " ".join([self.token[i] for i in ids]))
-        if len(piece) > 64:
-            return out
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        self.pieces[piece] = out
+                ids.append(self.encode_word(word))
+        out = " ".join(ids)
+        if len(piece) <= 64:
+            self.pieces.put(piece, out)
         return out
 
     def _special_parts(self, text: str) -> list[tuple[str, bool]]:
@@ -191,8 +208,10 @@ class WordBPE:
 
     def encode(self, text: bytes) -> tuple[str, int, str]:
         """Ids joined by a space, how many, and the decoded text."""
-        parts = [p for p in map(self.encode_piece, text.split()) if p[1]]
-        return " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        known, encode = self.pieces.new.get, self.encode_piece
+        ids = " ".join(filter(None, [known(p) or encode(p) for p in text.split()]))
+        each = ids.split(" ") if ids else []
+        return ids, len(each), " ".join([self.shown[i] for i in each])
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by a space, as the file names no decoder; special tokens stay."""
