@@ -56,15 +56,17 @@ def _discard_all() -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs inside; then the session's own setting is back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of at most so many rows, and about so many bytes if given, for what runs inside; then the session's own settings are back."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {key: spark.conf.get(key) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 #: What a Python worker keeps from task to task: by kind, a key and a value.
@@ -89,6 +91,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, kind: str = "")
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    release()
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
         trim(0)

@@ -35,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.llm.common import materialize, utf8
+from leitmotiv.llm.common import batches_of, materialize, release, slices, utf8
 
 END = b"\n"  # no word has white space
 ADD = 0.1
 BLOCK_BYTES = 6_000_000
 SHARD_TOKENS = 800_000
 HELD_OUT_OF = 10
+#: Of blocks and lists that are sent to a worker at once.
+BATCH_BYTES = 4_000_000
 
 
 def held_out(doc_id: object) -> bool:
@@ -88,7 +90,13 @@ class BackoffAutomaton:
                 number[at] = inverse
                 before = counts
         order = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        self.keys, self.logs, self.to = (np.concatenate(x)[order] if x else np.zeros(0, k) for x, k in ((keys, np.int64), (logs, float), (to, np.int64)))
+
+        def arranged(parts: list[np.ndarray], kind: type) -> np.ndarray:
+            whole = np.concatenate(parts) if parts else np.zeros(0, kind)
+            parts.clear()  # one whole and its copy in memory at a time
+            return whole[order]
+
+        self.keys, self.logs, self.to = arranged(keys, np.int64), arranged(logs, float), arranged(to, np.int64)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The next states and the weights on the way there, failure arcs included, of many walks."""
@@ -198,7 +206,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_bytes: i
         return pa.RecordBatch.from_pydict(data)
 
     number, ids, sizes, tokens, _, held = fresh()
-    for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
+    for part in slices(batches, 500):
         for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
             words = text.lower().split()  # bytes: A-Z, and white space [\x20\x09-\x0D]
             add, size = number.setdefault, number.__len__
@@ -214,6 +222,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: pa.DataType, block_bytes: i
                 number, ids, sizes, tokens, _, held = fresh()
     if ids:
         yield row()
+    number, ids, sizes, tokens, _, held = fresh()
+    release()
 
 
 def _grams(row: dict, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,40 +232,60 @@ def _grams(row: dict, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     Keys are 64-bit for words and 56-bit, moved up by 8 bits, for longer n-grams; both spread over the whole range.
     """
     h = np.frombuffer(row["vocabulary"], np.uint64)
-    t = unpack(row["tokens"]).astype(np.int64)
+    t = unpack(row["tokens"]).astype(np.int32)  # a block has far fewer positions than that holds
     lengths = unpack(row["lengths"]).astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
+    starts = (np.cumsum(lengths) - lengths).astype(np.int32)
     by_key = np.argsort(h)
-    rank = np.empty_like(by_key)
+    rank = np.empty(len(h), np.int32)
     rank[by_key] = np.arange(len(h))
-    yield 1, h[by_key], np.arange(len(t)), rank[t]
+    yield 1, h[by_key], np.arange(len(t), dtype=np.int32), rank[t]
     if order > 1:
-        offset = np.arange(len(t)) - np.repeat(starts, lengths)
+        offset = np.arange(len(t), dtype=np.int32) - np.repeat(starts, lengths)
         token_hash = h[t]
+        del t
         key = token_hash
         for n in range(2, order + 1):
             longer = np.empty_like(key)
             longer[1:] = _mix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(token_hash[1:] + np.uint64(n)))
             longer[:1] = 0
             key = longer
-            at = np.flatnonzero(offset >= n - 1)
-            keys, inverse = np.unique(key[at] & np.uint64(0xFFFFFFFFFFFFFF00), return_inverse=True)
-            yield n, keys, at, inverse
+            del longer
+            at = np.flatnonzero(offset >= n - 1).astype(np.int32)
+            yield n, *_distinct(key[at] & np.uint64(0xFFFFFFFFFFFFFF00), at)
+
+
+def _distinct(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, at, and each key's number; own is overwritten, as np.unique would hold several more copies."""
+    by_key = np.argsort(own).astype(np.int32)
+    own[:] = own[by_key]
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    inverse = np.empty(len(own), np.int32)
+    inverse[by_key] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return own[first], at, inverse
 
 
 def _edges(shards: int) -> np.ndarray:
     return np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)  # as long as the shards are many
 
 
-def _requests(row: dict, order: int, shards: int) -> Iterator[dict]:
-    train = np.repeat(np.frombuffer(row["train"], np.uint8), unpack(row["lengths"]).astype(np.int64))
+REQUESTS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _requests(row: dict, order: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """A batch of REQUESTS for each order, so that one order's lists are in memory."""
+    train = np.repeat(np.frombuffer(row["train"], bool), unpack(row["lengths"]).astype(np.int64))
     for n, keys, at, inverse in _grams(row, order):
-        counts = np.bincount(inverse, weights=train[at], minlength=len(keys)).astype(np.uint64)
+        counts = np.bincount(inverse[train[at]], minlength=len(keys)).astype(np.uint64)
+        del at, inverse
+        out: dict[str, list] = {c: [] for c in REQUESTS.names}
         cuts = np.r_[0, np.searchsorted(keys, _edges(shards)), len(keys)]
         for shard in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[shard], cuts[shard + 1])
             own = keys[s] >> np.uint64(8) if n > 1 else keys[s]
-            yield {"shard": shard, "block": row["block"], "n": n, "keys": pack_sorted(own), "counts": pack(counts[s])}
+            for c, v in (("shard", shard), ("block", row["block"]), ("n", n), ("keys", pack_sorted(own)), ("counts", pack(counts[s]))):
+                out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, REQUESTS)
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -273,6 +303,7 @@ def _answer(table: pa.Table) -> pa.Table:
             for k, v in (("block", r["block"]), ("n", n), ("shard", r["shard"]), ("totals", pack(totals[inverse[at : at + len(keys_of)]])), ("types", 0)):
                 out[k].append(v)
             at += len(keys_of)
+        del lists, keys, inverse, totals
     for k, v in (("block", -1), ("n", 1), ("shard", rows[0]["shard"]), ("totals", b""), ("types", types)):
         out[k].append(v)
     return pa.table(out, ANSWERS)
@@ -302,19 +333,23 @@ def score_documents(docs: DataFrame, order: int = 2, mass: float = 5.0, id_col:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     arrow_kind = docs.select(id_col).limit(0).toArrow().schema.field(0).type
-    blocks = materialize(docs.select(id_col, text_col).mapInArrow(lambda b: _blocks(b, arrow_kind, block_bytes), BLOCK_SCHEMA.format(kind=kind)), "lm-blocks")
+    with batches_of(spark, 500):  # of texts: the JVM holds a batch beside its heap, in room that doubles, and a worker one at a time
+        blocks = materialize(docs.select(id_col, text_col).mapInArrow(lambda b: _blocks(b, arrow_kind, block_bytes), BLOCK_SCHEMA.format(kind=kind)), "lm-blocks")
     n_all, n_train = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     shards = max(8, math.ceil(n_all / SHARD_TOKENS))
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (row,) = batch.slice(k, 1).to_pylist()
-                yield pa.RecordBatch.from_pylist(list(_requests(row, order, shards)), schema)
+        for batch in slices(batches, 1):
+            yield from _requests(*batch.to_pylist(), order, shards)
+
+    def answer(table: pa.Table) -> pa.Table:
+        out = _answer(table)
+        release()
+        return out
 
     asked = blocks.select("block", "lengths", "train", "vocabulary", "tokens").mapInArrow(requests, "shard int, block long, n int, keys binary, counts binary")
-    answers = materialize(asked.groupBy("shard").applyInArrow(_answer, ANSWER_SCHEMA), "lm-answers")
+    with batches_of(spark, 500, BATCH_BYTES):
+        answers = materialize(asked.groupBy("shard").applyInArrow(answer, ANSWER_SCHEMA), "lm-answers")
     n_types = answers.where("block = -1").agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -328,6 +363,7 @@ def score_documents(docs: DataFrame, order: int = 2, mass: float = 5.0, id_col:
                 "id": ids, "held_out": held, "n_tokens": found["n_tokens"], "n_known": found["n_known"],
                 "train_tokens": pa.array(np.full(len(ids), n_train, np.int64)), "base_score": found["base_score"], "score": found["score"],
             }))
+        release()
         return pa.concat_tables(out) if out else pa.schema([("id", arrow_kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
     left = blocks.drop("n_tokens", "n_train", "train").groupBy("block")
