@@ -203,14 +203,15 @@ def nearest(cell: Cell, ds: range, sides: str = "ab") -> dict[str, Nearest]:
     return out
 
 
-def best(cell: Cell, ds: range, keep: int) -> dict[int, dict[str, np.ndarray]]:
-    """For each d the keep best pairs by (distance, a, b): a, b, distance, dims, dim_dists.
+def best(cell: Cell, ds: range, keep: int, so_far: dict[int, dict[str, np.ndarray]] | None = None) -> dict[int, dict[str, np.ndarray]]:
+    """For each d the keep best pairs by (distance, a, b): a, b, distance, dims, dim_dists. so_far: those of other cells, which this one's are added to.
 
     Once there are keep pairs, a tile counts only if one of its pairs has a dimension within the last one's distance over d, as the smallest of d distances has
     to be; and after keep pairs of distance 0, only rows up to the last one's, as tiles go by rows.
     """
     kinds = {"a": np.int64, "b": np.int64, "distance": float}
-    out = {d: {c: np.zeros(0, t) for c, t in kinds.items()} | {"dims": np.zeros((0, d), np.int64), "dim_dists": np.zeros((0, d))} for d in ds}
+    out = so_far or {d: {c: np.zeros(0, t) for c, t in kinds.items()} | {"dims": np.zeros((0, d), np.int64), "dim_dists": np.zeros((0, d))} for d in ds}
+    out = dict(out)
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in ds}
     last = lambda d: out[d]["distance"][-1] if len(out[d]["a"]) == keep else np.inf
     rest = 0

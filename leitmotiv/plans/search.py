@@ -140,8 +140,8 @@ class Kernel:
             pairs = pairs[n >= least_dims]
             yield pairs // self.n, pairs % self.n
 
-    def dense(self, mixed: np.ndarray, least_dims: int) -> bool:
-        """Whether the buckets hold so many pairs that to list them costs more than to look at all pairs, in time or, where they are listed by dimension, in memory."""
+    def held(self, mixed: np.ndarray, least_dims: int) -> float:
+        """How many pairs the buckets hold that candidates would list, a pair once for each choice of dimensions it agrees on."""
         dims = mixed.shape[1]
         listed = math.comb(dims, least_dims) > 256
         held = 0
@@ -151,10 +151,22 @@ class Kernel:
                 key = (key ^ mixed[:, m]) * np.uint64(0xC2B2AE3D27D4EB4F)
             n = np.unique(key, return_counts=True)[1].astype(float)
             held += float((n * (n - 1) / 2).sum())
+        return held
+
+    def dense(self, mixed: np.ndarray, least_dims: int) -> bool:
+        """Whether the buckets hold so many pairs that to list them costs more than to look at all pairs, in time or, where they are listed by dimension, in memory."""
+        return self._dense(mixed, least_dims, self.held(mixed, least_dims))
+
+    def _dense(self, mixed: np.ndarray, least_dims: int, held: float) -> bool:
+        listed = math.comb(mixed.shape[1], least_dims) > 256
         return held > (10 * PAIRS_AT_ONCE if listed else max(PAIRS_AT_ONCE, admissible(self.n, 0) / DENSE))
 
     def search_tiles(self, mixed: np.ndarray, ds: list[int], taken: list[tuple[int, int]]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
-        """Of each d a and b of the KEEP best candidates that don't overlap the pairs taken, and how many candidates there are."""
+        """Of each d a and b of the KEEP best candidates that don't overlap the pairs taken, and how many candidates were seen.
+
+        Blocks go by rows and each goes on with the best pairs so far: once these are full, a tile counts only if it may hold a better one, and after
+        KEEP pairs of distance 0 no later row does.
+        """
         numbers = [np.unique(k, return_inverse=True)[1] for k in mixed.T]
         numbers = [k.astype(np.uint16 if k.max() < 1 << 16 else np.int64) for k in numbers]
         at = np.arange(self.n)
@@ -163,13 +175,17 @@ class Kernel:
             for y in q:
                 free &= np.abs(at - y) >= self.cfg.window
         compared = 0
-        found: dict[int, list] = {d: [] for d in ds}
+        found: dict[int, dict] | None = None
         step = max(256, min(BLOCK, 4_000_000 // (self.cfg.window * len(self.x))))
         z = lambda s: (self.view[:, s] - self.mean[:, s, None]) / self.std[:, s, None]
         for i in range(0, self.n, step):
+            if found and all(len(own["a"]) == KEEP and own["distance"][-1] == 0 and own["a"][-1] < i for own in found.values()):
+                break
+            p = slice(i, min(i + step, self.n))
+            rows = z(p)
             for j in range(i, self.n, step):
-                p, q = slice(i, min(i + step, self.n)), slice(j, min(j + step, self.n))
-                cell = tiles.Cell(at[p], z(p), at[q], z(q), self.cfg.window)
+                q = slice(j, min(j + step, self.n))
+                cell = tiles.Cell(at[p], rows, at[q], rows if i == j else z(q), self.cfg.window)
 
                 def only(x: slice, y: slice) -> np.ndarray:
                     nonlocal compared
@@ -180,16 +196,18 @@ class Kernel:
                     compared += int(np.count_nonzero(met))
                     return met
 
-                cell.only = only
-                for d, own in tiles.best(cell, range(min(ds), max(ds) + 1), KEEP).items():
-                    if d in found:
-                        found[d].append((own["distance"], own["a"], own["b"]))
-        out = {}
-        for d, parts in found.items():
-            far, a, b = (np.concatenate(v) for v in zip(*parts))
-            order = np.lexsort((b, a, far))[:KEEP]
-            out[d] = a[order], b[order]
-        return out, compared
+                def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                    nonlocal compared
+                    agree = np.zeros(len(x), np.uint16)
+                    for k in numbers:
+                        agree += k[p][x] == k[q][y]
+                    met = (agree >= min(ds)) & free[p][x] & free[q][y]
+                    compared += int(np.count_nonzero(met))
+                    return met
+
+                cell.only, cell.one = only, one
+                found = tiles.best(cell, range(min(ds), max(ds) + 1), KEEP, found)
+        return {d: (found[d]["a"], found[d]["b"]) for d in ds}, compared
 
     def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.empty((len(a), len(self.x)))
@@ -203,21 +221,25 @@ class Kernel:
                 out[k : k + step, m] = np.sqrt(np.einsum("ij,ij->i", za, za))
         return out
 
-    def search(self, rep: int, prefix: int, ds: list[int], taken: list[tuple[int, int]] = ()) -> tuple[list[dict], dict[int, tuple], int, float]:
+    def search(self, rep: int, prefix: int, ds: list[int], taken: list[tuple[int, int]] = (), most: float = math.inf) -> tuple[list[dict], dict[int, tuple], int, float] | None:
         """Of each d the KEEP best candidates of one repetition that don't overlap the pairs taken; for each d of which some were
-        left out, the last one kept, as (distance, a, b); how many distances; seconds of hashing."""
+        left out, the last one kept, as (distance, a, b); how many distances; seconds of hashing. None if all pairs would be looked at as the
+        buckets hold `most` or more."""
         began = time.perf_counter()
         mixed = self.keys(rep, prefix)
         hashed = time.perf_counter() - began
         best: dict[int, list] = {d: [] for d in ds}
         compared, left_out = 0, set()
-        if self.dense(mixed, min(ds)):
+        held = self.held(mixed, min(ds))
+        if self._dense(mixed, min(ds), held):
+            if held >= most:
+                return None
             near, compared = self.search_tiles(mixed, ds, taken)
             for d, (a, b) in near.items():
                 dist = self.distances(a, b)
                 order, ranked, running = tiles.ranked(dist)
                 best[d] = sorted((running[i, d - 1], int(a[i]), int(b[i]), order[i, :d].tolist(), ranked[i, :d].tolist()) for i in range(len(a)))
-                if compared > KEEP:
+                if len(a) == KEEP:
                     left_out.add(d)
             return self._rows(best, left_out, compared, hashed)
         for a, b in self.candidates(mixed, min(ds)):
@@ -353,24 +375,27 @@ def _resident(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
     open_ds, found = list(range(cfg.low, cfg.high + 1)), {d: Found() for d in range(cfg.low, cfg.high + 1)}
     compared, hashed, done = 0, 0.0, 0
     chosen: dict[int, list[dict]] = {}
-    out = "rep int, d int, distance double, a bigint, b bigint, dims array<int>, dim_dists array<double>, last boolean, compared bigint, hashed double"
+    out = "rep int, d int, distance double, a bigint, b bigint, dims array<int>, dim_dists array<double>, last boolean, compared bigint, hashed double, dense boolean"
     if cfg.window >= len(x):
         yield SearchResult(_frame(spark, {}), 0, 0.0, time.perf_counter() - began, 0, False)
         return
 
-    def look(reps: list[int], prefix: int, ds: list[int], taken: list[tuple[int, int]] = ()) -> None:
-        """Searches the repetitions, past the pairs taken."""
+    def look(reps: list[int], prefix: int, ds: list[int], taken: list[tuple[int, int]] = (), most: float = math.inf) -> bool:
+        """Searches the repetitions, past the pairs taken; False if one of them is given up, as Kernel.search says."""
         nonlocal compared, hashed
         past = [(int(a - origin), int(b - origin)) for a, b in taken]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _kernel(key, shared)
-            schema = pa.schema([("rep", pa.int32()), ("d", pa.int32()), ("distance", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("dims", pa.list_(pa.int32())), ("dim_dists", pa.list_(pa.float64())), ("last", pa.bool_()), ("compared", pa.int64()), ("hashed", pa.float64())])
+            schema = pa.schema([("rep", pa.int32()), ("d", pa.int32()), ("distance", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("dims", pa.list_(pa.int32())), ("dim_dists", pa.list_(pa.float64())), ("last", pa.bool_()), ("compared", pa.int64()), ("hashed", pa.float64()), ("dense", pa.bool_())])
             for b in batches:
                 for rep in b.column(0).to_pylist():
-                    rows, ends, n, seconds = own.search(rep, prefix, ds, past)
-                    none = {"d": None, "distance": None, "a": None, "b": None, "dims": None, "dim_dists": None, "last": False}
-                    rows = [f | {"rep": rep, "last": (f["distance"], f["a"], f["b"]) == ends.get(f["d"]), "compared": 0, "hashed": 0.0} for f in rows]
+                    none = {"d": None, "distance": None, "a": None, "b": None, "dims": None, "dim_dists": None, "last": False, "dense": False}
+                    if (done := own.search(rep, prefix, ds, past, most)) is None:
+                        yield pa.RecordBatch.from_pylist([none | {"rep": rep, "compared": 0, "hashed": 0.0, "dense": True}], schema)
+                        continue
+                    rows, ends, n, seconds = done
+                    rows = [f | {"rep": rep, "last": (f["distance"], f["a"], f["b"]) == ends.get(f["d"]), "compared": 0, "hashed": 0.0, "dense": False} for f in rows]
                     yield pa.RecordBatch.from_pylist([*rows, none | {"rep": rep, "compared": n, "hashed": seconds}], schema)
 
         table = spark.createDataFrame([(r,) for r in reps], "id long").repartition(len(reps))
@@ -380,15 +405,22 @@ def _resident(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
             compared, hashed = compared + g["compared"], hashed + g["hashed"]
             if g["d"] is not None:
                 rows[g["rep"], g["d"]].append({**g, "a": g["a"] + origin, "b": g["b"] + origin})
+        if any(g["dense"] for g in got):
+            return False
         for (rep, d), own in rows.items():
             end = next(((m["distance"], m["a"], m["b"]) for m in own if m["last"]), ALL)
             found[d].add((prefix, rep), taken, own, end)
+        return True
 
     plan = Batches(cfg, len(x))
     for i, reps in plan:
-        look(list(reps), cfg.K - i, open_ds)
+        # One repetition that looks at all pairs costs what the exact search does.
+        usual = look(list(reps), cfg.K - i, open_ds, most=plan.pairs / CANDIDATE_COST if cfg.may_end_exact else math.inf)
         done += len(reps)
         plan.count(done, compared)
+        if not usual:
+            yield SearchResult(_exactly(points, cfg), compared + plan.pairs, hashed, time.perf_counter() - began, done, True)
+            return
         for d in open_ds:
             chosen[d], again = found[d].choose(cfg.k, cfg.window)
             while again:
@@ -469,6 +501,7 @@ def _distributed(points: DataFrame, cfg: MotifConfig) -> Iterator[SearchResult]:
 
 def anytime(points: DataFrame, cfg: MotifConfig, resident: int = RESIDENT) -> Iterator[SearchResult]:
     """The best motifs so far, after every batch of repetitions. points: one series; several are refused."""
+    points = written(points, "series")  # else each of the looks at it, and the exact search, makes it from its source again
     first, last = points.agg(F.min("series_id"), F.max("series_id")).first()
     if first != last:
         raise ValueError(f"one series at a time, not {first!r} and {last!r}")
