@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leitmotiv.llm import bpe, decontam, linedup, quality, registry, shingles
-from leitmotiv.llm.common import materialize
+from leitmotiv.llm.common import materialize, sent
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Lists of ids are written first, so that the joins that read texts know their size.
     changed = materialize(was.join(docs.select("doc_id", mark), ["doc_id", "h"], "left_anti").select("doc_id").distinct(), "changed")
     # The join reads its texts several times, twice at once: with a table whose row groups are large, two would stand in one executor's memory.
-    before = materialize(whole.join(changed, "doc_id", "left_semi"), "before")
+    before = materialize(whole.join(sent(changed), "doc_id", "left_semi"), "before")
     linked = shingles.link_documents(docs.select("doc_id", "text").unionByName(before), size=5, percent=80)
     gone = materialize(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(sent(gone), "doc_id", "left_anti").select(docs.columns)
     repeated = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return left

@@ -40,6 +40,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of at most so many ids (some 40 MB as a hash table) goes to all executors.
+SENT_IDS = 500_000
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """A written list of ids; if it is short it goes to all executors, so that rows with texts aren't shuffled to meet it in a join."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leitmotiv.llm.common import batches_of, connected_components, materialize, slices, utf8
+from leitmotiv.llm.common import batches_of, connected_components, materialize, sent, slices, utf8
 
 #: Documents whose hashes are counted to order them, a bound for any corpus; and in how many of them a hash must be to come last.
 ORDER_SAMPLE = 30_000
@@ -118,7 +118,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"h": shingles(h, size).view(np.int64)})
 
     ids = docs.select("id").orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE).distinct()
-    counted = docs.join(ids, "id", "left_semi").select("text").mapInArrow(run, "h long").groupBy("h").count()
+    counted = docs.join(F.broadcast(ids), "id", "left_semi").select("text").mapInArrow(run, "h long").groupBy("h").count()
     counted = materialize(counted.where(F.col("count") >= COMMON), "common")
     least, held = COMMON, 0
     for count, n in sorted(counted.groupBy("count").agg(F.count("*")).collect(), reverse=True):  # one row a count, of ORDER_SAMPLE at most
@@ -315,7 +315,9 @@ def _link(docs: DataFrame, size: int, percent: int, groups: int, id_col: str, te
         return both.mapInArrow(lambda b: _ordered(b, percent, common.value), "a long, b long")
 
     def verify(found: DataFrame) -> DataFrame:
-        texts = base.where("id is not null and text is not null").join(found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct(), "id", "left_semi")
+        met = materialize(found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct(), "met")
+        # Both sides of the join read texts at once, and row groups of the caller's may be large: so those that are asked for are written first.
+        texts = materialize(base.where("id is not null and text is not null").join(sent(met), "id", "left_semi"), "texts")
         text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
         both = found.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b")
         return both.mapInArrow(lambda b: _verified(b, size, percent), "a long, b long").distinct()
